@@ -32,12 +32,12 @@ WEIGHTS = (5, 2, 1)
 CAP = 3.0
 BUCKETS = 1024
 #: Documents past the border of a stratum that may fill what is left over.
-NEXT = 4
+NEXT = 16
 
 
 @dataclass(frozen=True)
 class Mix:
-    """sources: source, source_size, target, whole, part; strata: source, class, cut_rank."""
+    """sources: source, source_size, target, whole, part; strata: source, class, low, cut_rank."""
 
     sources: DataFrame
     strata: DataFrame
@@ -115,6 +115,7 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     near = near.withColumn("end", F.col("base") + F.sum("size").over(ranked)).withColumn("place", F.row_number().over(stratum.orderBy("rank", "size")))
     border = near.groupBy("source", "class").agg(
         F.first("goal").alias("goal"),
+        F.first("low").alias("low"),
         F.coalesce(F.max(F.when(F.col("end") <= F.col("goal"), F.col("end"))), F.first("base")).alias("have"),
         F.max(F.when(F.col("end") <= F.col("goal"), F.col("rank"))).alias("last"),
         F.count(F.when(F.col("end") <= F.col("goal"), 1)).alias("n_in"),
@@ -129,31 +130,32 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         """The strata of one source, long documents first: a few rows each."""
         pdf = pdf.sort_values("class", ascending=False)
-        need, cuts = float((pdf["goal"] - pdf["have"]).sum()), []
-        for last, nexts in zip(pdf["last"], pdf["next"], strict=True):
-            cut = None if pd.isna(last) else float(last)
-            for x in nexts if nexts is not None else []:
-                if x["size"] > 2 * need:  # further from the target with it than without
-                    break
-                need -= x["size"]
-                cut = float(x["rank"])
-                if need <= 0:
-                    break
-            cuts.append(cut)
-        return pd.DataFrame({"source": pdf["source"], "class": pdf["class"], "cut_rank": cuts})
-
-    strata = both.groupBy("source").applyInPandas(fill, "source string, class int, cut_rank double")
+        need = float((pdf["goal"] - pdf["have"]).sum())
+        cuts = [None if pd.isna(x) else float(x) for x in pdf["last"]]
+        queues = [list(x) if x is not None else [] for x in pdf["next"]]
+        for k, queue in enumerate(queues):
+            while queue and queue[0]["size"] <= need:
+                x = queue.pop(0)
+                need, cuts[k] = need - x["size"], float(x["rank"])
+        over = [(abs(need - q[0]["size"]), k) for k, q in enumerate(queues) if q]
+        if over and min(over)[0] < need:  # nearer to the target with one more than without
+            cuts[min(over)[1]] = float(queues[min(over)[1]][0]["rank"])
+        return pd.DataFrame({"source": pdf["source"], "class": pdf["class"], "low": pdf["low"], "cut_rank": cuts})
+
+    strata = both.groupBy("source").applyInPandas(fill, "source string, class int, low int, cut_rank double")
     return Mix(sources, stash(strata, "mix-strata"))
 
 
 def decide(rows: DataFrame, mix: Mix) -> DataFrame:
     """``rows`` with source, size, u, to which it adds source_size, target, copies."""
     src = mix.sources.select(F.col("source").alias("_s"), "source_size", "target", "whole", "part")
-    cut = mix.strata.select(F.col("source").alias("_s2"), F.col("class").alias("_c2"), "cut_rank")
+    cut = mix.strata.select(F.col("source").alias("_s2"), F.col("class").alias("_c2"), "low", "cut_rank")
     rows = rows.withColumn("_class", size_class())
     rows = rows.join(src, F.col("source").eqNullSafe(F.col("_s")), "left").join(cut, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_class") == F.col("_c2")), "left")
-    taken = F.when((F.col("part") > 0) & (pareto_rank(F.col("u"), F.col("part")) <= F.col("cut_rank")), 1).otherwise(0)
-    return rows.withColumn("copies", F.col("whole") + taken).drop("_s", "_s2", "_c2", "_class", "whole", "part", "cut_rank")
+    rank = pareto_rank(F.col("u"), F.col("part"))
+    best = (rank_bucket(rank) < F.col("low")) | (rank <= F.col("cut_rank"))
+    taken = F.when((F.col("part") > 0) & best, 1).otherwise(0)
+    return rows.withColumn("copies", F.col("whole") + taken).drop("_s", "_s2", "_c2", "_class", "whole", "part", "low", "cut_rank")
 
 
 def size_up(docs: DataFrame, seed: int) -> DataFrame:
