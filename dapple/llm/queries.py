@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from dapple.llm.mixing import op5_pareto_mix
+from dapple.llm.pii import op1_bootstrapped_pii
 from dapple.llm.tokenbin import op4_token_frames
 
-QUERIES = {f.__name__: f for f in (op4_token_frames, op5_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_bootstrapped_pii, op4_token_frames, op5_pareto_mix)}
 ORACLE_SQL: dict[str, str] = {}
