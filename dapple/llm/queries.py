@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dapple.llm import licenses, rollups
+from dapple.llm.licenses import op3_licence_digests
 from dapple.llm.mixing import op5_pareto_mix
 from dapple.llm.pii import op1_bootstrapped_pii
+from dapple.llm.rollups import op6_token_rollups
 from dapple.llm.tokenbin import op4_token_frames
 
-QUERIES = {f.__name__: f for f in (op1_bootstrapped_pii, op4_token_frames, op5_pareto_mix)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bootstrapped_pii, op3_licence_digests, op4_token_frames, op5_pareto_mix, op6_token_rollups)}
+ORACLE_SQL: dict[str, str] = {"op3_licence_digests": licenses.ORACLE, "op6_token_rollups": rollups.ORACLE}
