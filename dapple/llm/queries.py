@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dapple.llm import licenses, rollups
+from dapple.llm.annsearch import op9_anisotropic_search
 from dapple.llm.decontam import op8_benchmark_leaks
 from dapple.llm.licenses import op3_licence_digests
 from dapple.llm.mixing import op5_pareto_mix
@@ -12,5 +13,5 @@ from dapple.llm.rollups import op6_token_rollups
 from dapple.llm.tokenbin import op4_token_frames
 from dapple.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_bootstrapped_pii, op3_licence_digests, op4_token_frames, op5_pareto_mix, op6_token_rollups, op7_weighted_minhash, op8_benchmark_leaks, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bootstrapped_pii, op3_licence_digests, op4_token_frames, op5_pareto_mix, op6_token_rollups, op7_weighted_minhash, op8_benchmark_leaks, op9_anisotropic_search, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op3_licence_digests": licenses.ORACLE, "op6_token_rollups": rollups.ORACLE}
