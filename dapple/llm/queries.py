@@ -10,8 +10,9 @@ from dapple.llm.mixing import op5_pareto_mix
 from dapple.llm.neardup import op7_weighted_minhash
 from dapple.llm.pii import op1_bootstrapped_pii
 from dapple.llm.rollups import op6_token_rollups
+from dapple.llm.suffixtree import op2_suffix_tree_scores
 from dapple.llm.tokenbin import op4_token_frames
 from dapple.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_bootstrapped_pii, op3_licence_digests, op4_token_frames, op5_pareto_mix, op6_token_rollups, op7_weighted_minhash, op8_benchmark_leaks, op9_anisotropic_search, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bootstrapped_pii, op2_suffix_tree_scores, op3_licence_digests, op4_token_frames, op5_pareto_mix, op6_token_rollups, op7_weighted_minhash, op8_benchmark_leaks, op9_anisotropic_search, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op3_licence_digests": licenses.ORACLE, "op6_token_rollups": rollups.ORACLE}
