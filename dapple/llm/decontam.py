@@ -208,14 +208,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no benchmark item, all their columns."""
     for block in blocks_of(benchmark, block_chars):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, q, rate))
+        docs = docs.filter(clean(docs.sparkSession, Index(block, q, rate))(text_of()))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, index=index) -> pd.Series:
-            return pd.Series([not x for x in index.value.find(list(text))])
 
-        docs = docs.filter(clean(text_of()))
-    return docs
+def clean(spark: SparkSession, index: Index):
+    """Whether texts hold no item of the index, as a column function."""
+    held = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def check(text: pd.Series) -> pd.Series:
+        return pd.Series([not x for x in held.value.find(list(text))])
+
+    return check
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
