@@ -33,6 +33,6 @@ def replay(events: DataFrame, subject: str, at: Column, precedence: Column, kind
 def as_of(replayed: DataFrame, subject: str, when: Column) -> DataFrame:
     """The state of each subject at a time: its last step up to then; active beyond its validity is expired."""
     last = F.element_at(F.filter("steps", lambda s: s["at"] <= when), -1)
-    seen = replayed.select(subject, when.cast("long").alias("asked"), F.when(F.exists("steps", lambda s: s["at"] <= when), last).alias("s"))
-    state = F.when(F.col("s").isNull(), "none").when((F.col("s.state") == "active") & (F.col("s.valid_until") < F.col("asked")), "expired").otherwise(F.col("s.state"))
-    return seen.select(subject, state.alias("state"), F.col("s.valid_until").alias("valid_until"))
+    seen = replayed.select(subject, when.cast("long").alias("asked"), F.when(F.exists("steps", lambda s: s["at"] <= when), last).alias("_step"))
+    state = F.when(F.col("_step").isNull(), "none").when((F.col("_step.state") == "active") & (F.col("_step.valid_until") < F.col("asked")), "expired").otherwise(F.col("_step.state"))
+    return seen.select(subject, state.alias("state"), F.col("_step.valid_until").alias("valid_until"))
