@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dapple.operators.graph import cut
+
 Keys = Sequence[str]
 
 
@@ -111,3 +113,35 @@ def upsert_with_history(current: DataFrame, incoming: DataFrame, keys: Keys, con
     names = [F.coalesce(F.col(k), F.col(f"o_{k}")).alias(k) for k in keys]
     values = [F.when(F.col("_new").isNull(), F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in content]
     return both.select(*names, *values, status.alias("status"), step.cast("int").alias(version))
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 in a total order, without one task that sees them all.
+
+    Rows are dealt out by range, numbered within their range, and the sizes of the ranges before
+    are added; only one row for each range meets in a window.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt.withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)), "numbered")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"))
+    return dealt.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
+def greedy_match(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
+    """Pairs by falling score, each side used once, ties to the smaller left, then right.
+
+    In each round every pair that is the best of both its sides is taken, which is what the greedy
+    pass would take of them; rounds go on until no pair is free.
+    """
+    best = lambda rows, k: rows.groupBy(k).agg(F.max_by(F.struct(left, right), F.struct(score, -F.col(left), -F.col(right))).alias("_best"))
+    free, taken = cut(pairs.select(left, right, score), "free"), None
+    while True:
+        one = best(free, left).select("_best.*")
+        other = best(free, right).select("_best.*")
+        got = cut(free.join(one.join(other, [left, right], "left_semi"), [left, right], "left_semi"), "taken")
+        if got.isEmpty():
+            return got if taken is None else taken
+        taken = got if taken is None else taken.unionByName(got)
+        free = cut(free.join(got.select(left), left, "left_anti").join(got.select(right), right, "left_anti"), "free")

@@ -260,8 +260,8 @@ WITH m AS (SELECT o_orderkey AS old, row_number() OVER (ORDER BY o_orderdate, o_
 SELECT l.l_orderkey, l.l_linenumber, m.new AS new_key, m.new IS NULL AS missing FROM lineitem l LEFT JOIN m ON l.l_orderkey = m.old WHERE l.l_linenumber = 1""")
 def _(t: Tables) -> DataFrame:
     """JN-18: old ids to new ones; what has none is flagged."""
-    rank = F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey"))
-    m = t.orders.filter("o_totalprice > 100000").select(F.col("o_orderkey").alias("l_orderkey"), rank.cast("long").alias("new_key"))
+    big = t.orders.filter("o_totalprice > 100000").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    m = R.numbered(big, [F.col("o_orderdate"), F.col("l_orderkey")], "new_key").select("l_orderkey", "new_key")
     return t.lineitem.filter("l_linenumber = 1").select("l_orderkey", "l_linenumber").join(m, "l_orderkey", "left").withColumn("missing", F.col("new_key").isNull())
 
 

@@ -97,3 +97,25 @@ def test_text_functions(spark):
     text = "a" * 900 + "\n" + "b" * 900
     assert T.cut_chunks(text)[0] == "a" * 900 + "\n"
     assert one(T.boundary_chunks(F.lit(text)))[1].startswith("a" * 179)
+
+
+def test_numbered(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    got = relational.numbered(rows, [F.col("v")], "n").collect()
+    assert {r["v"]: r["n"] for r in got} == {v: v + 1 for v in range(1000)}
+
+
+def test_greedy_match_equals_one_pass(spark):
+    import random
+
+    r = random.Random(4)
+    pairs = [(a, b, r.randrange(6) / 5) for a in range(15) for b in range(12) if r.random() < 0.6]
+    want, left, right = set(), set(), set()
+    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in left and b not in right:
+            want.add((a, b, s))
+            left.add(a)
+            right.add(b)
+    got = relational.greedy_match(spark.createDataFrame(pairs, "a long, b long, s double"), "a", "b", "s")
+    assert {tuple(x) for x in got.collect()} == want
+    assert relational.greedy_match(spark.createDataFrame([], "a long, b long, s double"), "a", "b", "s").collect() == []
