@@ -107,9 +107,9 @@ def _(t: Tables) -> DataFrame:
     return s.withColumn("grade", F.when(F.col("share") >= 5, "A").when(F.col("share") >= 4, "B").when(F.col("share") >= 3.5, "C").otherwise("D"))
 
 
-@query("mth3_to_6_scores", f"""{_FACTS} SELECT k, CASE WHEN balance IS NULL THEN NULL WHEN balance >= 8000 THEN 10.0 WHEN balance >= 4000 THEN 6.0 WHEN balance >= 0 THEN 3.0 ELSE 0.0 END AS band,
+@query("mth3_to_6_scores", f"""{_FACTS} SELECT k, CAST(CASE WHEN balance IS NULL THEN NULL WHEN balance >= 8000 THEN 10.0 WHEN balance >= 4000 THEN 6.0 WHEN balance >= 0 THEN 3.0 ELSE 0.0 END AS DOUBLE) AS band,
  CASE WHEN n IS NULL THEN NULL WHEN n < 5 THEN 0.0 WHEN 2 + floor((n - 5) / 3.0) * 1.5 > 8 THEN 8.0 ELSE 2 + floor((n - 5) / 3.0) * 1.5 END AS steps,
- greatest(coalesce(n, 0) * 0.5, CASE WHEN segment = 'BUILDING' THEN 4.0 ELSE 1.0 END) AS route, CASE WHEN balance BETWEEN 0 AND 5000 THEN round(balance / 1000, 6) END AS reviewed FROM facts""")
+ CAST(greatest(coalesce(n, 0) * 0.5, CASE WHEN segment = 'BUILDING' THEN 4.0 ELSE 1.0 END) AS DOUBLE) AS route, CASE WHEN balance BETWEEN 0 AND 5000 THEN round(balance / 1000, 6) END AS reviewed FROM facts""")
 def _(t: Tables) -> DataFrame:
     """MTH-3 to MTH-6: banded, stepped, best of alternative routes, range-checked."""
     b = F.col("balance")

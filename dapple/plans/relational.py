@@ -10,7 +10,7 @@ from dapple.plans.registry import Tables, query
 
 
 def year(c: str):
-    return F.year(c)
+    return F.year(c).cast("long")
 
 
 # filters ------------------------------------------------------------------------------------------
@@ -441,7 +441,7 @@ def _(t: Tables) -> DataFrame:
     """AGG-22: a queue by usage; only what is used gets a rank."""
     g = t.events.groupBy((F.col("user_id") % 50).alias("p")).agg(F.count_if(F.col("event_type") == "purchase").alias("usage"), F.count_distinct("user_id").alias("users"))
     rank = F.row_number().over(Window.orderBy((F.col("usage") > 0).desc(), F.desc("usage"), F.desc("users"), "p"))
-    return g.withColumn("rank", F.when(F.col("usage") > 0, rank))
+    return g.withColumn("rank", F.when(F.col("usage") > 0, rank.cast("long")))
 
 
 @query("agg23_percentiles", """
@@ -464,7 +464,7 @@ def _(t: Tables) -> DataFrame:
 @query("win1_row_number", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations")
 def _(t: Tables) -> DataFrame:
     """WIN-1: place within a pack."""
-    return t.conversations.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("seq"))
+    return t.conversations.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"))
 
 
 @query("win2_root_of_pack", "SELECT conv_id, turn, first_value(turn) OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn) AS root FROM conversations")
@@ -497,7 +497,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """WIN-9: distinct values in the order in which they first occur."""
     f = t.events.groupBy("event_type").agg(F.min("event_id").alias("f"))
-    return f.select("event_type", F.row_number().over(Window.orderBy("f")).alias("place"))
+    return f.select("event_type", F.row_number().over(Window.orderBy("f")).cast("long").alias("place"))
 
 
 @query("win10_growth", """
@@ -526,7 +526,7 @@ def _(t: Tables) -> DataFrame:
 @query("srt6_top_per_group", "SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5")
 def _(t: Tables) -> DataFrame:
     """SRT-6."""
-    return R.top_per_group(t.documents.select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 5).drop("n_chars")
+    return R.top_per_group(t.documents.select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 5).drop("n_chars").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("srt7_confidence_band", "SELECT s_suppkey, CASE WHEN s_acctbal / m >= 0.75 THEN 'high' WHEN s_acctbal / m >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM supplier, (SELECT max(s_acctbal) AS m FROM supplier)")
@@ -542,7 +542,7 @@ def _(t: Tables) -> DataFrame:
     """SRT-8: terms in the order of their first mention."""
     spots = F.array(*[F.struct(F.instr(F.lower("text"), x).alias("pos"), F.lit(x).alias("term")) for x in ("the", "que", "and", "der")])
     there = F.array_sort(F.filter(spots, lambda s: s["pos"] > 0))
-    return t.documents.select("doc_id", F.posexplode(there).alias("place", "s")).select("doc_id", "s.term", "s.pos", (F.col("place") + 1).alias("place"))
+    return t.documents.select("doc_id", F.posexplode(there).alias("place", "s")).select("doc_id", "s.term", F.col("s.pos").cast("long").alias("pos"), (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query("set1_2_candidates", "SELECT k, min(src) AS src FROM (SELECT c_nationkey AS k, 1 AS src FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_nationkey, 2 FROM supplier UNION ALL SELECT n_nationkey, 3 FROM nation) GROUP BY 1")

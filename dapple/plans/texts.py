@@ -49,7 +49,7 @@ def _(t: Tables) -> DataFrame:
     return once.groupBy("g").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
 
 
-@query("fts5_snippet", "SELECT doc_id, CASE WHEN at > 0 THEN substr(text, greatest(at - 35, 1), at - greatest(at - 35, 1)) || '<mark>' || substr(text, at, 5) || '</mark>' || substr(text, at + 5, 65) END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'under') AS at FROM documents) WHERE at > 0")
+@query("fts5_snippet", "SELECT doc_id, substr(text, greatest(p - 35, 1), p - greatest(p - 35, 1)) || '<mark>' || substr(text, p, 5) || '</mark>' || substr(text, p + 5, 65) AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'under') AS p FROM documents) WHERE p > 0")
 def _(t: Tables) -> DataFrame:
     """FTS-5, STR-11: the text around a term."""
     return t.documents.filter(F.contains(F.lower("text"), F.lit("under"))).select("doc_id", T.snippet(F.col("text"), "under").alias("snippet"))
@@ -76,7 +76,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """PRJ-1: columns derived from a text."""
     v = F.regexp_extract("text", r"(?i)version ([0-9]+(?:\.[0-9]+)?)", 1)
-    return t.documents.select("doc_id", F.when(v != "", v).alias("version"), F.when(F.col("lang") == "en", "main").otherwise("other").alias("region"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("line_breaks"))
+    return t.documents.select("doc_id", F.when(v != "", v).alias("version"), F.when(F.col("lang") == "en", "main").otherwise("other").alias("region"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("line_breaks"))
 
 
 @query("prj2_first_rule", "SELECT doc_id, CASE WHEN text ILIKE '%license%' THEN 'legal' WHEN text LIKE '%@%' THEN 'contact' WHEN text LIKE '%$$$%' THEN 'junk' ELSE 'prose' END AS role, CASE WHEN text LIKE '%@%' OR text LIKE '%password%' THEN 'sensitive' ELSE 'public' END AS sensitivity FROM documents")
@@ -243,7 +243,7 @@ def _(t: Tables) -> DataFrame:
 @query("dt6_batches", "SELECT o_orderkey, year(o_orderdate) AS y, 'batch ' || (year(o_orderdate) - 1991) AS batch FROM orders")
 def _(t: Tables) -> DataFrame:
     """DT-6: batch names by year."""
-    y = F.year("o_orderdate")
+    y = F.year("o_orderdate").cast("long")
     return t.orders.select("o_orderkey", y.alias("y"), F.concat(F.lit("batch "), (y - 1991).cast("string")).alias("batch"))
 
 
