@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dapple.llm.common import stash, table
+from dapple.llm.common import batch_rows, stash, table
 
 SUB = 2
 SAMPLE = 20_000
@@ -141,6 +141,7 @@ def column(b: pa.RecordBatch, i: int, dim: int) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, keep: int = KEEP, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of ``queries`` (vec_id, embedding)."""
     spark = vectors.sparkSession
+    batch_rows(spark, 10_000)
     rows, asked = usable(vectors), usable(queries)
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

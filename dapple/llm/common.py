@@ -45,12 +45,30 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stash`` that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files and "/dapple/" in files[0]:
+            drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has at most ``rows`` rows, else for a sort-merge join."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """How many rows Python tasks get at a time; few, where a row is a whole text, so memory stays bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def held_out(remainder_of: int) -> Column:
     """crc32 of the doc_id written as text, modulo ``remainder_of``, is 2; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % remainder_of == 2

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dapple.llm.common import table, text_of
+from dapple.llm.common import batch_rows, table, text_of
 
 Q = 12
 EDIT_RATE = 0.06
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: Characters of document text that are hashed at a time.
 STEP_CHARS = 2_000_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -188,6 +188,7 @@ def blocks_of(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tu
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item that it holds: the place in the normalised text and the edits."""
+    batch_rows(docs.sparkSession)
     spark, rows = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     found = spark.createDataFrame([], HIT)
     for block in blocks_of(benchmark, block_chars):
@@ -214,6 +215,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
 
 def clean(spark: SparkSession, index: Index):
     """Whether texts hold no item of the index, as a column function."""
+    batch_rows(spark)
     held = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("boolean")

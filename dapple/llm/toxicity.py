@@ -33,12 +33,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dapple.llm.common import held_out, stash, table, text_of
+from dapple.llm.common import batch_rows, held_out, stash, table, text_of
 
 SAMPLE = 20_000
 LEXICON = 3_000
 BEGINNINGS = (4, 5, 6)
 SHARES = 8
+#: Distinct entries that a task gathers before it gives them on.
+FLUSH = 150_000
 THRESHOLD = 0.3
 #: Accuracy of the given labels in the label model.
 GIVEN = 0.97
@@ -94,14 +96,22 @@ def mine(rows: DataFrame, size: int = LEXICON) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = list(pos.keys() | neg.keys())
+            for i in range(0, len(keys), 50_000):
+                part = keys[i : i + 50_000]
+                yield pa.RecordBatch.from_pydict({"entry": part, "pos": [pos[k] for k in part], "neg": [neg[k] for k in part]})
+            pos.clear()
+            neg.clear()
+
         for b in batches:
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
                 (pos if toxic else neg).update(hits_of(text))
                 (pos if toxic else neg)[""] += 1
-        keys = list(pos.keys() | neg.keys())
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"entry": part, "pos": [pos[k] for k in part], "neg": [neg[k] for k in part]})
+            if len(neg) > FLUSH:
+                yield from out()
+        yield from out()
 
     counts = stash(rows.mapInArrow(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos >= 3 OR entry = ''"), "toxicity-counts")
     every = counts.filter("entry = ''").first()
@@ -163,6 +173,7 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     spark = docs.sparkSession
+    batch_rows(spark)
     rows = stash(labelled(docs, labels, sample), "toxicity-sample")
     lexicon = mine(rows)
     place = {x: i for i, x in enumerate(lexicon)}
@@ -192,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
 
 def score_documents(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
     """``columns`` of every document, its score and whether that reaches the threshold."""
+    batch_rows(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
