@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dapple.llm.common import fresh_path, table, text_of
+from dapple.llm.common import batch_rows, fresh_path, table, text_of
 
 #: Fixed values of the public zstd seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -236,6 +236,7 @@ def write_tokens(
             }
             yield pa.RecordBatch.from_pydict(row, MANIFEST_SCHEMA)
 
+    batch_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = ordered.mapInArrow(encode, MANIFEST)
