@@ -14,8 +14,11 @@ candidates, verified on the whole shingle sets: a link is a weighted or plain Ja
 Exact copies are one class from the start. Buckets are then worked off in rounds: per bucket each
 class is one member, the best-linked one; buckets of up to ``FEW`` classes compare all pairs, larger
 ones compare every class with the centre of the largest. Links join classes, and rounds go on until
-none brings a link, so a group of n copies costs about n comparisons and no pair list of a group is
-ever made.
+none brings a link, so a group of n copies costs about n comparisons. What the rounds leave is then
+compared whole: every two texts of different classes that share a bucket meet, unless a bound shows
+that they cannot be links. Texts are ordered rarest shingle first; two that are linked share a shingle
+within the first part of both, beyond which less than 0.8 of either is left (prefix filter), and what
+is left from there on bounds what they share. So after it no untried pair of a bucket can be a link.
 
 Defined cases: null and empty texts, and texts without words, stay alone; texts of one to four words
 are one shingle; repeated rows are exact copies; a null doc_id is a row like any other, and a class
@@ -280,6 +283,66 @@ def draw_of(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
+PREFIXES = "rid long, token long, n int, weight double, n_left int, weight_left double"
+
+
+def prefixes(sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Of each text the shingles among which it has its first common one with any text it is linked with.
+
+    In order of their number of texts here; with each how many shingles the text has, what they weigh,
+    and the same from this one on.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                seen += np.bincount(slot_of(np.unique(np.frombuffer(x, "<u4"))), minlength=SLOTS)
+        at = np.flatnonzero(seen)
+        if len(at):
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "n": pa.array(seen[at], pa.int64())})
+
+    sums = sets.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    texts = np.zeros(SLOTS, np.int64)
+    texts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    held = sets.sparkSession.sparkContext.broadcast((idf, texts))
+    share = SIMILAR - 1e-9
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, texts = held.value
+        for b in batches:
+            parts: list[list[np.ndarray]] = []
+            for rid, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h, w = weigh(np.frombuffer(x, "<u4"), idf)
+                order = np.lexsort((h, texts[slot_of(h)]))
+                h, w = h[order], w[order]
+                n, left = np.arange(len(h), 0, -1), np.cumsum(w[::-1])[::-1]
+                k = max(int((n >= share * len(h)).sum()), int((left >= share * left[0]).sum()))
+                parts.append([np.full(k, rid), h[:k].astype(np.int64), np.full(k, len(h), np.int32), np.full(k, left[0]), n[:k].astype(np.int32), left[:k]])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["rid", "token", "n", "weight", "n_left", "weight_left"])
+
+    return sets.select("rid", "shingles").mapInArrow(make, PREFIXES)
+
+
+def untried_pairs(buckets: DataFrame, roots: DataFrame | None, sets: DataFrame, idf: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs (a, b) of texts of different classes in a bucket that no bound excludes, and spent tables."""
+    named = buckets.withColumn("root", F.col("rid")) if roots is None else buckets.join(roots.select(F.col("node").alias("rid"), F.col("root").alias("r")), "rid", "left").select("bucket", "rid", F.coalesce("r", "rid").alias("root"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    open_ = stash(named.join(several, "bucket"), "neardup-left")
+    some = stash(open_.select("rid").distinct(), "neardup-some")
+    first = stash(prefixes(sets.join(small_side(some, BROADCAST_IDS), "rid", "left_semi"), idf), "neardup-prefixes")
+    keyed = open_.hint("merge").join(first, "rid").withColumn("key", F.xxhash64("bucket", "token")).drop("bucket", "token")
+    # most shingles have one text in a bucket
+    shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    keyed = stash(keyed.hint("merge").join(shared, "key"), "neardup-keys")
+    other = keyed.select("key", *[F.col(c).alias(f"{c}_2") for c in keyed.columns if c != "key"])
+    most = lambda c: F.least(f"{c}_left", f"{c}_left_2")
+    may = lambda c: most(c) >= (SIMILAR - 1e-9) * (F.col(c) + F.col(f"{c}_2") - most(c))
+    met = keyed.hint("merge").join(other, "key").filter((F.col("rid") < F.col("rid_2")) & (F.col("root") != F.col("root_2")) & (may("n") | may("weight")))
+    return met.select(F.col("rid").alias("a"), F.col("rid_2").alias("b")).distinct(), [open_, some, first, keyed]
+
+
 def link_classes(feats: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(copy, rid) of one document of each exact copy class, the links (a, b) between them, and spent tables."""
     first = stash(feats.groupBy("copy").agg(F.min("rid").alias("rid")), "neardup-copies")
@@ -292,6 +355,7 @@ def link_classes(feats: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFram
     links = spark.createDataFrame([], "a long, b long")
     tried, turn = links, 0
     roots = None
+    spent = [some, sets, buckets]
     while True:
         turn += 1
         if roots is None:
@@ -307,17 +371,22 @@ def link_classes(feats: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFram
         pairs = few.select(F.explode("c").alias("a"), "c").select("a", F.explode(F.filter("c", lambda x: x > F.col("a"))).alias("b"))
         pairs = stash(star.unionByName(pairs).distinct().join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
         if pairs.isEmpty():
-            return first, links, [some, sets, buckets, open_, pairs]
+            spent += [open_, pairs]
+            break
         new = stash(verified(pairs, sets, idf).select("a", "b"), "neardup-links")
         tried = tried.unionByName(pairs)
         discard(open_)
         if new.isEmpty() and turn > 2:
-            return first, links, [some, sets, buckets]
+            break
         links = stash(links.unionByName(new), "neardup-links")
         roots = components(links)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         best = roots.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre"), F.count("*").alias("size"))
         roots = stash(roots.join(best, "root").select("node", "root", "centre", "size"), "neardup-roots")
+    pairs, used = untried_pairs(buckets, roots, sets, idf)
+    pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+    links = stash(links.unionByName(verified(pairs, sets, idf).select("a", "b")), "neardup-links")
+    return first, links, [*spent, *used, pairs]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

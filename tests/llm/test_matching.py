@@ -83,6 +83,36 @@ def test_near_duplicates_equal_brute_force(spark, odd_rows):
     assert groups(have) == groups(want)
 
 
+def test_hot_bucket_is_compared_whole(spark):
+    """One bucket: a large class, pairs that are alike but unlike it, and a chain whose ends are not alike."""
+    r = np.random.default_rng(4)
+    fresh = lambda n: r.integers(0, 1 << 32, n, dtype=np.uint64).astype("<u4")
+    sets = [np.concatenate([core, fresh(4)]) for core in [fresh(96)] for _ in range(20)]
+    sets += [np.concatenate([core, fresh(10)]) for core in (fresh(90) for _ in range(12)) for _ in range(2)]
+    line = fresh(200)
+    sets += [line[8 * k : 8 * k + 100] for k in range(10)]
+    sets = [np.sort(x) for x in sets]
+    feats = spark.createDataFrame([(i, i, b"%d" % i, [7], x.tobytes()) for i, x in enumerate(sets)], neardup.FEATURES)
+    _, links, _ = neardup.link_classes(feats, np.ones(neardup.SLOTS))
+    have = {x["node"]: x["root"] for x in neardup.components(links).collect()}
+    got = [have.get(i, i) for i in range(len(sets))]
+    assert got == [0] * 20 + [20 + i // 2 * 2 for i in range(24)] + [44] * 10
+
+
+def test_prefixes_lose_no_link(spark):
+    r, idf = np.random.default_rng(6), np.where(np.arange(neardup.SLOTS) % 3 == 0, 0.5, 1.0)
+    cores = [r.integers(0, 1 << 32, 60, dtype=np.uint64) for _ in range(5)]
+    sets = []
+    for i in range(60):
+        x = cores[i % 5][r.random(60) > 0.12]
+        sets.append(np.sort(np.concatenate([x, r.integers(0, 1 << 32, 3, dtype=np.uint64), np.repeat(x[:1], r.integers(0, 12))]).astype("<u4")).tobytes())
+    pairs = {(a, b) for b in range(60) for a in range(b) if neardup.similarity(sets[a], sets[b], idf) >= neardup.SIMILAR}
+    buckets = spark.createDataFrame([(1, i) for i in range(60)], "bucket long, rid long")
+    texts = spark.createDataFrame(list(enumerate(sets)), "rid long, shingles binary")
+    got = {tuple(x) for x in neardup.untried_pairs(buckets, None, texts, idf)[0].collect()}
+    assert pairs and pairs <= got
+
+
 def test_drop_near_duplicates(spark, odd_rows, tmp_path):
     make(spark, [*odd_rows, (60, prose(5, 40) + " end", "s")], extra=True).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
