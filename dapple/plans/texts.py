@@ -127,15 +127,18 @@ _BRANDS = "WITH p AS (SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE
 
 @query("str3_4_similar_names")
 def _(t: Tables) -> DataFrame:
-    """STR-3, STR-4, JN-13, JN-14: similar names within a block; the ratio runs on pairs of a block only.
+    """STR-3, STR-4, JN-13, JN-14: similar names within a block; the ratio runs on distinct names of a block only.
 
-    Lengths bound the ratio, so pairs whose lengths differ too much never reach it.
+    The ratio is at most 2 * shorter / (shorter + longer), so pairs whose lengths bound it below the threshold
+    never reach it. It depends on the order of its texts, so both orders of two names are scored.
     """
     p = t.part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), "p_brand", "p_size")
     q = p.select(F.col("a").alias("b"), F.col("x").alias("y"), "p_brand", "p_size")
-    pairs = p.join(q, ["p_brand", "p_size"]).filter("a < b AND least(length(x), length(y)) / greatest(length(x), length(y)) >= 0.79")
+    most = F.round(2 * F.least(F.length("x"), F.length("y")) / (F.length("x") + F.length("y")), 4)
+    names = p.drop("a").distinct().join(q.drop("b").distinct(), ["p_brand", "p_size"]).filter((F.col("x") == F.col("y")) | (most >= 0.6))
     score = F.when(F.col("x") == F.col("y"), 1.0).when(T.contained_ratio(F.col("x"), F.col("y")) >= 0.6, 0.94).otherwise(T.sequence_ratio("x", "y"))
-    return pairs.select("a", "b", F.round(score, 4).alias("score")).filter("score >= 0.6")
+    names = names.withColumn("score", F.round(score, 4)).filter("score >= 0.6")
+    return names.join(p, ["p_brand", "p_size", "x"]).join(q, ["p_brand", "p_size", "y"]).filter("a < b").select("a", "b", "score")
 
 
 @query("sim1_3_jaccard", """
