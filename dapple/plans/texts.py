@@ -153,6 +153,27 @@ def _(t: Tables) -> DataFrame:
     return p.join(q, "p_brand").filter("a < b AND b - a <= 50").select("a", "b", F.round(score, 4).alias("score"), score.alias("s")).filter("s >= 20").drop("s")
 
 
+@query("sim1_3_jaccard_names")
+def _(t: Tables) -> DataFrame:
+    """SIM-1, SIM-3 without a window of ids: pairs of distinct names of a brand with their trigram Jaccard.
+
+    A Jaccard of 1/4 needs a quarter of each name's trigrams shared, so both hold one among their first in order,
+    beyond which less than a quarter is left. ``sim1_3_name_parts`` has the parts of each name.
+    """
+    p = t.part.select("p_brand", F.col("p_name").alias("x")).distinct()
+    g = p.withColumn("g", F.array_sort(T.ngrams(F.col("x"), 3))).filter(F.size("g") > 0)
+    g = g.select("p_brand", "x", F.explode(F.slice("g", 1, F.size("g") - F.floor((F.size("g") + 3) / 4).cast("int") + 1)).alias("gram"))
+    met = g.join(g.withColumnRenamed("x", "y"), ["p_brand", "gram"]).filter("x < y").select("p_brand", "x", "y").distinct()
+    score = T.jaccard(T.ngrams(F.col("x"), 3), T.ngrams(F.col("y"), 3)) * 80
+    return met.withColumn("s", score).filter("s >= 20").select("p_brand", "x", "y", F.round("s", 4).alias("score"))
+
+
+@query("sim1_3_name_parts", "SELECT p_brand, p_name AS x, p_partkey AS a FROM part")
+def _(t: Tables) -> DataFrame:
+    """SIM-1, SIM-3: the parts behind each name of ``sim1_3_jaccard_names``."""
+    return t.part.select("p_brand", F.col("p_name").alias("x"), F.col("p_partkey").alias("a"))
+
+
 @query("str5_urls", r"""
 WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS h, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g') AS p,
  array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(lower(q), '^(utm_[a-z]+|gclid|fbclid|ref|spm)(=|$)'))), '&') AS q FROM pages)

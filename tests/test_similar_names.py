@@ -25,3 +25,15 @@ def test_similar_names_equal_brute_force(spark, tmp_path):
     want = sorted((a, b, score(x, y)) for (a, x), (b, y) in combinations(parts, 2) if score(x, y) >= 0.6)
     got = sorted(tuple(r) for r in QUERIES["str3_4_similar_names"](spark, str(tmp_path)).collect())
     assert got == want and (1, 61, 0.625) in got
+
+
+def test_jaccard_of_names_has_no_id_window(spark, tmp_path):
+    parts = write_parts(spark, tmp_path)
+    grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
+    want = set()
+    for x, y in combinations(sorted({x for _, x in parts}), 2):
+        g, h = grams(x), grams(y)
+        if g | h and len(g & h) / len(g | h) >= 0.25:
+            want.add(("Brand#1", x, y, round(80 * len(g & h) / len(g | h), 4)))
+    assert want and {tuple(r) for r in QUERIES["sim1_3_jaccard_names"](spark, str(tmp_path)).collect()} == want
+    assert QUERIES["sim1_3_name_parts"](spark, str(tmp_path)).count() == len(parts) + 2
