@@ -7,13 +7,13 @@ footer with the frame count, a descriptor and 0x8F92EAB1). A frame's content is
 whole documents as little-endian unsigned 32-bit integers, so one document costs one frame to read.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; rows that share
-a doc_id are ordered by text; a text larger than ``frame_tokens`` has a frame of its own; an empty
+a doc_id are ordered by a hash of the text, then the text; the string of a special token in a text is
+its id, as the library has it; a text larger than ``frame_tokens`` has a frame of its own; an empty
 table makes no file and an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
 import zlib
@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dapple.llm.bytebpe import encoder
 from dapple.llm.common import batch_rows, fresh_path, table, text_of
 
 #: Fixed values of the public zstd seekable format.
@@ -34,66 +35,11 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_TOKENS = 1 << 16
-CACHE_PIECES = 300_000
-
-#: Characters on which every Unicode version agrees; a text of these may be cut into pieces here.
-PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞€]*"
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_frames int, n_bytes long"
 DOCS = "doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
-class Encoder:
-    """Text to the bytes of its ids with a tokenizers file.
-
-    Byte-level BPE never merges across the pieces of its pre-tokenizer, so equal pieces are
-    encoded once and kept (``CACHE_PIECES`` at most). Texts outside ``PLAIN`` and tokenizers of
-    another build go through the library whole.
-    """
-
-    def __init__(self, path: str, end_id: int):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.end = struct.pack("<I", end_id)
-        spec = json.loads(self.tok.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = (
-            pre.get("type") == "ByteLevel"
-            and not pre.get("add_prefix_space", True)
-            and pre.get("use_regex", True)
-            and spec.get("normalizer") is None
-            and spec["model"].get("dropout") is None
-        )
-        self.plain = regex.compile(PLAIN)
-        #: The published split of byte-level BPE.
-        self.pieces = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        ).findall
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tok.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_piece or self.plain.fullmatch(text) is None:
-            return self.whole([text])[0] + self.end
-        pieces, known = self.pieces(text), self.known
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) > CACHE_PIECES:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self.whole(new), strict=True))
-        return b"".join(map(known.__getitem__, pieces)) + self.end
-
-
 def open_fs(path: str):
     """A pyarrow file system and the path within it; plain paths are local ones."""
     from pyarrow import fs
@@ -207,23 +153,21 @@ def write_tokens(
 ) -> DataFrame:
     """Encode ``docs`` into files under ``folder``, doc_id ascending through the files; their manifest.
 
-    One range shuffle of (doc_id, text); a task then encodes and writes its own range, so ids are
+    One range shuffle of the rows; a task then encodes and writes its own range, so ids are
     never shuffled. A task that is run again writes the same bytes under a name of its own first.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, n = TaskContext.get().partitionId(), None, 0
-        encoder = fs = out = None
+        fs = out = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer, end_id).encode(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
-                    encoder = Encoder(tokenizer, end_id)
                     fs, inner = open_fs(folder)
                     fs.create_dir(inner, recursive=True)
                     name, own = f"{inner}/part-{part:05d}.tok", f"{inner}/_{part:05d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(own)
                     writer = FrameWriter(out, frame_tokens)
-                ids = encoder.encode(text)
                 n += len(ids) // 4
                 writer.add(doc_id, ids)
         if writer is not None:
@@ -238,8 +182,10 @@ def write_tokens(
 
     batch_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ordered.mapInArrow(encode, MANIFEST)
+    # equal or null ids, and equal rows, may still be dealt to several tasks
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
+    ordered = rows.repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "text", "n")
+    manifest = ordered.select("doc_id", "text").mapInArrow(encode, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
