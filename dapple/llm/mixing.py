@@ -1,20 +1,25 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words. A document's expected number of copies is its source's
-target over its source's size; the whole part of it is allocated for certain and the fraction is its
-inclusion probability. Documents then rank by their random odds over their inclusion odds, in strata
-of (source, power of two of the size), and the best of each stratum are taken up to the stratum's
-share of the words that are still to be had. What the whole documents leave over is filled with the
-next documents in rank, the strata of long documents first, so a source ends within about one of its
-short documents of the target.
-
-The rank is a function of the row's doc_id and text, so reruns agree. The words before a rank come
-from sums over rank buckets; only the rows of the bucket at the border of a stratum are sorted, so no
-source meets in one task.
+Each source gets a target number of words. A document's expected number of copies is proportional,
+within its source, to a measure of the document (its size to the power ``GAMMA``, in steps of a
+quarter octave), stops at ``CAP`` copies, and is scaled so that the expected words make the target.
+Its whole part is allocated for certain; the fraction is its inclusion probability. The documents of
+a source are then ordered by their random odds over their inclusion odds, and from the first on they
+are taken as long as their words stay within what the whole copies leave of the target. So each
+source has one draw of fixed size in words with unequal probabilities.
+
+Where the next document is too long for what is left, the order goes on with those that fit, pass
+after pass, until less than ``NEAR`` of the target is left or nothing fits; then the shortest of the
+rest is taken if that is nearer.
+
+The order is a function of the row's doc_id and text, so reruns agree. The words before a place come
+from sums over buckets of the order; the bucket at the border is split into finer ones until it has
+at most ``BORDER_ROWS`` places, so no source meets in one task. Tables with a row for each source, or
+for each source and size step, are the only ones that windows run over.
 
 Defined cases: a null text has size 0; rows of size 0 take no words; a null source is a source of its
 own, last in order; a table without words gives targets of 0; rows alike in doc_id and text share
-their rank and so get the same number of copies; a null doc_id ranks by its text. In ``mix_rows``
+their place and so get the same number of copies; a null doc_id is placed by its text. In ``mix_rows``
 every input column stays, and columns of the input that clash with working names are kept apart.
 """
 
@@ -22,25 +27,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dapple.llm.common import WORD, stash, table, text_of
+from dapple.llm.common import WORD, discard, small_side, stash, table, text_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
+GAMMA = 0.5
+#: Size steps to a doubling.
+STEPS = 4
 BUCKETS = 1024
-#: Documents past the border of a stratum that may fill what is left over.
-NEXT = 16
+BORDER_ROWS = 20_000
+NEAR = 0.0005
+#: Rows of a small table that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
 class Mix:
-    """sources: source, source_size, target, whole, part; strata: source, class, low, cut_rank."""
+    """sources: source, source_size, target; shares: source, step, copies; cuts: source, cuts, pick."""
 
     sources: DataFrame
-    strata: DataFrame
+    shares: DataFrame
+    cuts: DataFrame
 
 
 def word_count() -> Column:
@@ -53,12 +63,12 @@ def draw(seed: int) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def size_class() -> Column:
-    return F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) + 1e-9)).otherwise(-1).cast("int")
+def size_step() -> Column:
+    return F.when(F.col("size") > 0, F.floor(STEPS * F.log2(F.col("size").cast("double")) + 1e-9)).otherwise(-1).cast("int")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0) -> DataFrame:
-    """(source, size) rows to a row for each source: source_size, target, whole, part.
+    """(source, size) rows to a row for each source: source_size, target.
 
     Targets share ``share`` of all sizes by weight; a target stops at ``cap`` times its source's size
     and the excess goes to the others by weight. That is one level L with target = min(cap, w * L):
@@ -77,85 +87,141 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     rows = rows.withColumn("capped", F.col("most") / F.col("w") < F.col("level_here"))
     level = F.min_by(F.when(~F.col("capped"), F.col("level_here")), F.when(~F.col("capped"), F.col("n"))).over(every)
     rows = rows.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(F.col("w") * level))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return rows.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)).select("source", "source_size", "target", "whole", "part")
-
-
-def pareto_rank(u: Column, pi: Column) -> Column:
-    """Log of the random odds over the inclusion odds; the smallest are taken first."""
-    return F.log(u / (1.0 - u)) - F.log(pi / (1.0 - pi))
-
-
-def rank_bucket(rank: Column) -> Column:
-    return F.floor(F.lit(float(BUCKETS)) / (1.0 + F.exp(-rank))).cast("int")
-
-
-def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0) -> Mix:
-    """``sized`` has source, size, u. It is read three times; give a written table."""
-    sources = stash(targets(sized, weights, cap, share), "mix-sources")
-    live = (
-        sized.filter("size > 0").join(sources.select(F.col("source").alias("src"), "part"), F.col("source").eqNullSafe(F.col("src")))
-        .filter("part > 0").withColumn("class", size_class())
-        .withColumn("rank", pareto_rank(F.col("u"), F.col("part"))).withColumn("bucket", rank_bucket(F.col("rank")))
-    )
-    stratum = Window.partitionBy("source", "class")
-    so_far = stratum.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = (
-        live.groupBy("source", "class", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("part").alias("part"))
-        .withColumn("goal", F.sum("words").over(stratum) * F.col("part"))
-        .withColumn("end", F.sum("words").over(so_far)).withColumn("n_end", F.sum("n").over(so_far))
-        .withColumn("border_n", F.min(F.when(F.col("end") > F.col("goal"), F.col("n_end"))).over(stratum))
-        .filter("end > goal AND n_end - n < border_n + " + str(NEXT))
-    )
-    first = sums.groupBy("source", "class").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.min(F.col("end") - F.col("words")).alias("base"), F.first("goal").alias("goal"))
-    first = stash(first, "mix-borders")
-    edge = first.select(F.col("source").alias("s"), F.col("class").alias("c"), "low", "high", "base", "goal")
-    near = live.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & F.col("bucket").between(F.col("low"), F.col("high")))
-    ranked = stratum.orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = near.withColumn("end", F.col("base") + F.sum("size").over(ranked)).withColumn("place", F.row_number().over(stratum.orderBy("rank", "size")))
-    border = near.groupBy("source", "class").agg(
-        F.first("goal").alias("goal"),
-        F.first("low").alias("low"),
-        F.coalesce(F.max(F.when(F.col("end") <= F.col("goal"), F.col("end"))), F.first("base")).alias("have"),
-        F.max(F.when(F.col("end") <= F.col("goal"), F.col("rank"))).alias("last"),
-        F.count(F.when(F.col("end") <= F.col("goal"), 1)).alias("n_in"),
-    )
-    after = (
-        near.join(border.select(F.col("source").alias("s2"), F.col("class").alias("c2"), "n_in"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("class") == F.col("c2")))
-        .filter(F.col("place").between(F.col("n_in") + 1, F.col("n_in") + NEXT))
-        .groupBy("source", "class").agg(F.array_sort(F.collect_list(F.struct("rank", "size"))).alias("next"))
-    )
-    both = border.join(after.select(F.col("source").alias("s3"), F.col("class").alias("c3"), "next"), F.col("source").eqNullSafe(F.col("s3")) & (F.col("class") == F.col("c3")), "left").drop("s3", "c3")
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The strata of one source, long documents first: a few rows each."""
-        pdf = pdf.sort_values("class", ascending=False)
-        need = float((pdf["goal"] - pdf["have"]).sum())
-        cuts = [None if pd.isna(x) else float(x) for x in pdf["last"]]
-        queues = [list(x) if x is not None else [] for x in pdf["next"]]
-        for k, queue in enumerate(queues):
-            while queue and queue[0]["size"] <= need:
-                x = queue.pop(0)
-                need, cuts[k] = need - x["size"], float(x["rank"])
-        over = [(abs(need - q[0]["size"]), k) for k, q in enumerate(queues) if q]
-        if over and min(over)[0] < need:  # nearer to the target with one more than without
-            cuts[min(over)[1]] = float(queues[min(over)[1]][0]["rank"])
-        return pd.DataFrame({"source": pdf["source"], "class": pdf["class"], "low": pdf["low"], "cut_rank": cuts})
-
-    strata = both.groupBy("source").applyInPandas(fill, "source string, class int, low int, cut_rank double")
-    return Mix(sources, stash(strata, "mix-strata"))
+    return rows.select("source", F.col("source_size").cast("long").alias("source_size"), "target")
+
+
+def same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def expected_copies(steps: DataFrame, sources: DataFrame, cap: float = CAP, gamma: float = GAMMA) -> DataFrame:
+    """source, step, copies from the words (source, step, words) and the targets of the sources.
+
+    copies = min(cap, k * measure): the steps above some step are at the cap, and k gives the rest of
+    the target to the others. The highest step that stays within the cap under its k decides.
+    """
+    measure = F.pow(F.lit(2.0), F.col("step") * (gamma / STEPS))
+    rows = steps.filter("step >= 0").join(sources.select(F.col("source").alias("s"), "target"), same("source", "s")).withColumn("m", measure)
+    down = Window.partitionBy("source").orderBy(F.col("step").desc())
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * F.col("m")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumn("k", (F.col("target") - cap * above) / rest)
+    fits = F.col("k") * F.col("m") <= cap
+    k = F.max_by(F.when(fits, F.col("k")), F.when(fits, F.col("step"))).over(Window.partitionBy("source"))
+    return rows.select("source", "step", "words", F.greatest(F.lit(0.0), F.coalesce(F.least(F.lit(cap), k * F.col("m")), F.lit(cap))).alias("copies"))
+
+
+def pareto_place(u: Column, pi: Column) -> Column:
+    """The random odds over the inclusion odds, q, as q / (1 + q): from 0 on, the smallest are taken first."""
+    q = u / (1.0 - u) * (1.0 - pi) / pi
+    return q / (1.0 + q)
+
+
+def part_of(copies: Column) -> Column:
+    return copies - F.floor(copies)
+
+
+def border(live: DataFrame, goals: DataFrame) -> DataFrame:
+    """source, cut, have, n: up to which place the words of (source, place, size) stay within each goal.
+
+    cut is 2 where all stay; have are the words up to it, n the rows in all. Written out.
+    """
+    fine, buckets = None, BUCKETS
+    spent = []
+    while True:
+        rows = live if fine is None else live.join(fine.select(F.col("source").alias("s"), "low", "base"), same("source", "s")).filter(F.floor(F.col("place") * (buckets // BUCKETS)) == F.col("low"))
+        base = F.lit(0).cast("long").alias("base") if fine is None else F.col("base")
+        sums = rows.groupBy("source", F.floor(F.col("place") * buckets).alias("low"), base).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        run = Window.partitionBy("source").orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumn("end", F.col("base") + F.sum("words").over(run)).join(goals.select(F.col("source").alias("s"), "goal"), same("source", "s")).drop("s")
+        over = F.col("end") > F.col("goal")
+        edge = sums.groupBy("source").agg(F.min_by(F.struct("low", (F.col("end") - F.col("words")).alias("base"), "n"), F.when(over, F.col("low"))).alias("edge"), F.max("end").alias("all"), F.sum("n").alias("n_all"))
+        edge = stash(edge.select("source", "edge.*", "all", "n_all"), "mix-edge")
+        spent.append(edge)
+        if fine is None:
+            first = edge
+        fine = edge.filter("low IS NOT NULL")
+        most = fine.agg(F.max("n")).first()[0]
+        if most is None or most <= BORDER_ROWS or buckets >= BUCKETS**4:
+            break
+        buckets *= BUCKETS
+    near = live.join(fine.select(F.col("source").alias("s"), "low", "base"), same("source", "s")).filter(F.floor(F.col("place") * buckets) == F.col("low"))
+    near = near.groupBy("source", "place", "base").agg(F.sum("size").alias("words"))
+    run = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("end", F.col("base") + F.sum("words").over(run)).join(goals.select(F.col("source").alias("s"), "goal"), same("source", "s")).drop("s")
+    inside = F.col("end") <= F.col("goal")
+    # without a row of the border bucket the cut is before all of its places
+    before = F.col("low") / F.lit(float(buckets))
+    at = near.groupBy("source").agg(F.max(F.when(inside, F.col("place"))).alias("place"), F.max(F.when(inside, F.col("end"))).alias("end"))
+    at = at.join(fine.select(F.col("source").alias("s"), "low", "base"), same("source", "s")).select("source", F.coalesce("place", before * (1 - 2.0**-50) - 2.0**-60).alias("cut"), F.coalesce("end", "base").alias("have"))
+    at = at.withColumnRenamed("source", "s")
+    out = first.join(at, same("source", "s"), "left").select("source", F.coalesce("cut", F.lit(2.0)).alias("cut"), F.coalesce("have", "all").alias("have"), F.col("n_all").alias("n"))
+    out = stash(out, "mix-border")
+    discard(*spent)
+    return out
+
+
+def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0, gamma: float = GAMMA) -> Mix:
+    """``sized`` has source, size, u. It is read several times; give a written table."""
+    steps = stash(sized.groupBy("source", size_step().alias("step")).agg(F.sum("size").alias("words"), F.sum("size").alias("size")), "mix-steps")
+    sources = stash(targets(steps, weights, cap, share), "mix-sources")
+    shares = stash(expected_copies(steps, sources, cap, gamma), "mix-shares")
+    part = part_of(F.col("copies"))
+    live = with_copies(sized.filter("size > 0"), shares).filter(part > 0).select("source", "size", pareto_place(F.col("u"), part).alias("place"))
+    goals = shares.groupBy("source").agg(F.sum(F.col("words") * part).alias("goal")).filter("goal > 0")
+    goals = stash(goals.join(sources.select(F.col("source").alias("s"), "target"), same("source", "s")).drop("s"), "mix-goals")
+
+    passes, open_ = [], goals.select("source", "goal", "target", F.lit(-1.0).alias("after"), F.lit(2**62).alias("most"))
+    while True:
+        mine = open_.select(F.col("source").alias("s"), "after", "most")
+        fitting = live.join(mine, same("source", "s")).filter((F.col("place") > F.col("after")) & (F.col("size") <= F.col("most"))).select("source", "place", "size")
+        got = border(fitting, open_)
+        left = open_.join(got.select(F.col("source").alias("s"), "cut", "have"), same("source", "s"), "left").select(
+            "source", "target", "after", "most", F.coalesce("cut", F.col("after")).alias("cut"), (F.col("goal") - F.coalesce("have", F.lit(0))).alias("goal"), (F.coalesce("have", F.lit(0)) > 0).alias("took")
+        )
+        left = stash(left, "mix-left")
+        passes.append(left)
+        # the first pass may take nothing only because the first document is too long
+        more = left.filter((F.col("goal") > NEAR * F.col("target")) & (F.col("goal") >= 1) & (F.col("took") | F.lit(len(passes) == 1)))
+        if more.isEmpty():
+            break
+        open_ = more.select("source", "goal", "target", F.col("cut").alias("after"), F.floor("goal").alias("most"))
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    every = stash(every, "mix-passes")
+    cuts = every.filter("took").groupBy("source").agg(F.collect_list(F.struct("after", "cut", "most")).alias("cuts"))
+    rest = every.groupBy("source").agg(F.min("goal").alias("rest"), F.first("target").alias("target"))
+    cuts = rest.join(cuts.select(F.col("source").alias("s"), "cuts"), same("source", "s"), "left").drop("s")
+    cuts = stash(cuts.select("source", "rest", "target", F.coalesce("cuts", F.from_json(F.lit("[]"), "array<struct<after:double,cut:double,most:bigint>>")).alias("cuts")), "mix-cuts")
+    short = cuts.filter(F.col("rest") > NEAR * F.col("target")).select(F.col("source").alias("s"), "rest", "cuts")
+    left_over = live.join(short, same("source", "s")).filter(~in_cuts() & (F.col("size") < 2 * F.col("rest")))
+    pick = left_over.groupBy("source").agg(F.min(F.struct("size", "place")).alias("x")).select(F.col("source").alias("s"), F.col("x.place").alias("pick"))
+    cuts = stash(cuts.join(pick, same("source", "s"), "left").select("source", "cuts", "pick"), "mix-cuts")
+    discard(steps, goals, *passes, every)
+    return Mix(sources, shares, cuts)
+
+
+def in_cuts() -> Column:
+    return F.exists("cuts", lambda c: (F.col("place") > c["after"]) & (F.col("place") <= c["cut"]) & (F.col("size") <= c["most"]))
+
+
+def with_copies(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """``rows`` with source, size, to which it adds the expected copies."""
+    own = small_side(shares.select(F.col("source").alias("_s"), F.col("step").alias("_t"), "copies"), BROADCAST_ROWS)
+    return rows.withColumn("_step", size_step()).join(own, same("source", "_s") & (F.col("_step") == F.col("_t")), "left").drop("_s", "_t", "_step")
 
 
 def decide(rows: DataFrame, mix: Mix) -> DataFrame:
     """``rows`` with source, size, u, to which it adds source_size, target, copies."""
-    src = mix.sources.select(F.col("source").alias("_s"), "source_size", "target", "whole", "part")
-    cut = mix.strata.select(F.col("source").alias("_s2"), F.col("class").alias("_c2"), "low", "cut_rank")
-    rows = rows.withColumn("_class", size_class())
-    rows = rows.join(src, F.col("source").eqNullSafe(F.col("_s")), "left").join(cut, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_class") == F.col("_c2")), "left")
-    rank = pareto_rank(F.col("u"), F.col("part"))
-    best = (rank_bucket(rank) < F.col("low")) | (rank <= F.col("cut_rank"))
-    taken = F.when((F.col("part") > 0) & best, 1).otherwise(0)
-    return rows.withColumn("copies", F.col("whole") + taken).drop("_s", "_s2", "_c2", "_class", "whole", "part", "low", "cut_rank")
+    src = small_side(mix.sources.select(F.col("source").alias("_s"), "source_size", "target"), BROADCAST_ROWS)
+    cut = small_side(mix.cuts.select(F.col("source").alias("_s2"), "cuts", "pick"), BROADCAST_ROWS)
+    rows = with_copies(rows, mix.shares).join(src, same("source", "_s"), "left").join(cut, same("source", "_s2"), "left")
+    part = part_of(F.col("copies"))
+    rows = rows.withColumn("place", F.when(part > 0, pareto_place(F.col("u"), part)))
+    taken = F.when(in_cuts() | (F.col("place") == F.col("pick")), 1).otherwise(0)
+    copies = F.coalesce(F.floor("copies"), F.lit(0)) + F.when(F.col("place").isNotNull(), taken).otherwise(0)
+    return rows.withColumn("copies", copies).drop("_s", "_s2", "cuts", "pick", "place")
 
 
 def size_up(docs: DataFrame, seed: int) -> DataFrame:

@@ -8,8 +8,7 @@ the estimate's error stays the same share of them at any size.
 
 Each of ``BANDS * ROWS`` samples draws one shingle (and weight step) of a document so that two
 documents draw alike with the probability of their weighted Jaccard similarity. Equal bands make
-candidates, verified on the whole shingle sets: a link is a weighted or plain Jaccard similarity of
-0.8 or more.
+candidates, verified on the whole shingle sets: a link is a weighted Jaccard similarity of 0.8 or more.
 
 Exact copies are one class from the start. Buckets are then worked off in rounds: per bucket each
 class is one member, the best-linked one; buckets of up to ``FEW`` classes compare all pairs, larger
@@ -23,7 +22,8 @@ is left from there on bounds what they share. So after it no untried pair of a b
 Defined cases: null and empty texts, and texts without words, stay alone; texts of one to four words
 are one shingle; repeated rows are exact copies; a null doc_id is a row like any other, and a class
 of null ids alone has a null class_id; an empty table gives an empty result; other columns are only
-carried by ``drop_near_duplicates``, which expects documents that are read from files.
+carried by ``drop_near_duplicates``. Its rows get their numbers once, in a table that is written before
+anything else is read from it, so it holds however the documents come and whatever executors are lost.
 """
 
 from __future__ import annotations
@@ -207,9 +207,12 @@ def sample(block: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
 FEATURES = "rid long, doc_id long, copy binary, bands array<long>, shingles binary"
 
 
-def features(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """A row for each document: what exact copies share, bands, sorted shingle hashes. Written out."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+def features(docs: DataFrame, rid: Column | None = None) -> tuple[DataFrame, np.ndarray]:
+    """A row for each document: what exact copies share, bands, sorted shingle hashes. Written out.
+
+    ``rid`` numbers the rows; without it they are numbered as they are written.
+    """
+    rows = docs.select((F.monotonically_increasing_id() if rid is None else rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     batch_rows(docs.sparkSession)
     idf = document_weights(rows)
     held = docs.sparkSession.sparkContext.broadcast(idf)
@@ -238,12 +241,12 @@ def features(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def similarity(a: bytes, b: bytes, idf: np.ndarray) -> float:
-    """The larger of the weighted and the plain Jaccard similarity."""
+    """The weighted Jaccard similarity."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     (h, v), (g, w) = weigh(x, idf), weigh(y, idf)
     _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
     shared = np.minimum(v[i], w[j]).sum()
-    return max(shared / (v.sum() + w.sum() - shared), len(i) / (len(h) + len(g) - len(i)))
+    return shared / (v.sum() + w.sum() - shared)
 
 
 def verified(pairs: DataFrame, feats: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -283,14 +286,14 @@ def draw_of(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
-PREFIXES = "rid long, token long, n int, weight double, n_left int, weight_left double"
+PREFIXES = "rid long, token long, weight double, weight_left double"
 
 
 def prefixes(sets: DataFrame, idf: np.ndarray) -> DataFrame:
     """Of each text the shingles among which it has its first common one with any text it is linked with.
 
-    In order of their number of texts here; with each how many shingles the text has, what they weigh,
-    and the same from this one on.
+    In order of their number of texts here; with each what the text's shingles weigh, in all and from
+    this one on.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,11 +319,11 @@ def prefixes(sets: DataFrame, idf: np.ndarray) -> DataFrame:
                 h, w = weigh(np.frombuffer(x, "<u4"), idf)
                 order = np.lexsort((h, texts[slot_of(h)]))
                 h, w = h[order], w[order]
-                n, left = np.arange(len(h), 0, -1), np.cumsum(w[::-1])[::-1]
-                k = max(int((n >= share * len(h)).sum()), int((left >= share * left[0]).sum()))
-                parts.append([np.full(k, rid), h[:k].astype(np.int64), np.full(k, len(h), np.int32), np.full(k, left[0]), n[:k].astype(np.int32), left[:k]])
+                left = np.cumsum(w[::-1])[::-1]
+                k = int((left >= share * left[0]).sum())
+                parts.append([np.full(k, rid), h[:k].astype(np.int64), np.full(k, left[0]), left[:k]])
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["rid", "token", "n", "weight", "n_left", "weight_left"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["rid", "token", "weight", "weight_left"])
 
     return sets.select("rid", "shingles").mapInArrow(make, PREFIXES)
 
@@ -337,9 +340,9 @@ def untried_pairs(buckets: DataFrame, roots: DataFrame | None, sets: DataFrame,
     shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     keyed = stash(keyed.hint("merge").join(shared, "key"), "neardup-keys")
     other = keyed.select("key", *[F.col(c).alias(f"{c}_2") for c in keyed.columns if c != "key"])
-    most = lambda c: F.least(f"{c}_left", f"{c}_left_2")
-    may = lambda c: most(c) >= (SIMILAR - 1e-9) * (F.col(c) + F.col(f"{c}_2") - most(c))
-    met = keyed.hint("merge").join(other, "key").filter((F.col("rid") < F.col("rid_2")) & (F.col("root") != F.col("root_2")) & (may("n") | may("weight")))
+    most = F.least("weight_left", "weight_left_2")
+    may = most >= (SIMILAR - 1e-9) * (F.col("weight") + F.col("weight_2") - most)
+    met = keyed.hint("merge").join(other, "key").filter((F.col("rid") < F.col("rid_2")) & (F.col("root") != F.col("root_2")) & may)
     return met.select(F.col("rid").alias("a"), F.col("rid_2").alias("b")).distinct(), [open_, some, first, keyed]
 
 
@@ -389,9 +392,9 @@ def link_classes(feats: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFram
     return first, links, [*spent, *used, pairs]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rid: Column | None = None) -> DataFrame:
     """rid, doc_id, class_id (smallest doc_id of the class), class_rid (its first row), n_links of the text, class_size."""
-    feats, idf = features(docs)
+    feats, idf = features(docs, rid)
     first, links, spent = link_classes(feats, idf)
     discard(*spent)
     roots = components(links)
@@ -410,7 +413,8 @@ def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; all columns."""
-    gone = stash(near_duplicates(docs).filter(F.col("rid") != F.col("class_rid")).select("rid"), "neardup-gone")
-    held = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    gone = small_side(gone, BROADCAST_IDS)
-    return held.join(gone, held["_rid"] == gone["rid"], "left_anti").select("_row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = stash(docs.select(F.monotonically_increasing_id().alias("_rid"), row), "neardup-docs")
+    found = near_duplicates(held.select("_rid", "_row.doc_id", "_row.text"), F.col("_rid"))
+    gone = stash(found.filter(F.col("rid") != F.col("class_rid")).select(F.col("rid").alias("_rid")), "neardup-gone")
+    return held.join(small_side(gone, BROADCAST_IDS), "_rid", "left_anti").select("_row.*")

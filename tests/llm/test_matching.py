@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -46,9 +48,23 @@ def test_leaks_odd_cases(spark, odd_rows):
     assert decontam.find_leaks(docs, items.limit(0)).collect() == [] and decontam.find_leaks(docs.limit(0), items).collect() == []
 
 
-def shingle_set(text):
+def shingle_counts(text):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def weights_of(bags):
+    """The stated weight of each shingle: 1 below a share of 1/50 of the documents, 1/2 in all of them."""
+    n, seen = len(bags), Counter(s for b in bags for s in b)
+    mean = sum(seen.values()) / neardup.SLOTS
+    share = {s: max(c - mean, 1e-9) / n for s, c in seen.items()}
+    return {s: 1.0 if x < neardup.FREE_SHARE else min(1.0, 0.5 + 0.5 * math.log(x) / math.log(neardup.FREE_SHARE)) for s, x in share.items()}
+
+
+def weighted_jaccard(a, b, w):
+    shared = sum(min(n, b[s]) * w[s] for s, n in a.items() if s in b)
+    every = sum(n * w[s] for s, n in a.items()) + sum(n * w[s] for s, n in b.items())
+    return shared / (every - shared) if shared else 0.0
 
 
 def test_near_duplicates_equal_brute_force(spark, odd_rows):
@@ -62,7 +78,8 @@ def test_near_duplicates_equal_brute_force(spark, odd_rows):
             rows.append((1000 + 10 * g + k, " ".join(own), "s"))
     rows += [(2000 + i, " ".join(prose(900, 100).split()) + f" tail{i}", "s") for i in range(30)] + [(3000, "ONE   two", "s")]
     got = neardup.near_duplicates(make(spark, rows, extra=True)).collect()
-    sets = [shingle_set(t) for _, t, _ in rows]
+    bags = [shingle_counts(t) for _, t, _ in rows]
+    weights = weights_of(bags)
     parent = list(range(len(rows)))
 
     def root(x):
@@ -72,7 +89,7 @@ def test_near_duplicates_equal_brute_force(spark, odd_rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            if weighted_jaccard(bags[a], bags[b], weights) >= 0.8:
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     groups = lambda pairs: sorted(sorted(v) for v in pairs.values())
     want, have = {}, {}
