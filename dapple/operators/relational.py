@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dapple.operators.graph import cut
+from dapple.operators.storage import cut
 
 Keys = Sequence[str]
 
@@ -129,6 +129,21 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return dealt.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
 
 
+def running_totals(rows: DataFrame, keys: Keys, by: str, amount: str, name: str) -> DataFrame:
+    """The sum of ``amount`` up to and with each row of its key in order of ``by``, and the key's sum as ``name``_all.
+
+    Rows are dealt out by range of key and ``by``, so a key with a third of all rows is spread; sums within a
+    range are windows, and the sums of the ranges before, one row for each range and key, are added.
+    """
+    order = [*keys, by]
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
+    within = F.sum(amount).over(Window.partitionBy("_part", *keys).orderBy(by))
+    parts = dealt.groupBy("_part", *keys).agg(F.sum(amount).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", *keys, before.alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias(f"{name}_all"))
+    return dealt.withColumn("_within", within).join(parts, ["_part", *keys]).withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
+
+
 def greedy_match(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """Pairs by falling score, each side used once, ties to the smaller left, then right.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -80,3 +82,24 @@ def conclusion(statuses: Column) -> Column:
     """What an array of requirement statuses amounts to."""
     has = lambda s: F.array_contains(statuses, s)
     return F.when(has("blocked"), "blocked").when(has("failed"), "ineligible").when(has("unknown"), "undetermined").when(has("pending"), "conditional").otherwise("eligible")
+
+
+def first_of(text: Column, named: Sequence[tuple[str, str]]) -> Column:
+    """The name of the first phrase, in the order given, that a lower-case text holds as whole words."""
+    return F.coalesce(*[F.when(text.rlike(rf"\b{re.escape(phrase)}\b"), F.lit(name)) for name, phrase in named])
+
+
+def rule_candidates(rows: DataFrame, key: str, text: str, fields: Sequence[tuple[str, str]], compares: Sequence[tuple[str, str]], units: Sequence[str]) -> DataFrame:
+    """RUL-6: (key, clause, field, op, value, unit) of each clause that has a field, an operator and a number after it.
+
+    Clauses end with a semicolon, line break or full stop; they are numbered from 1. The number is the first
+    after the operator's phrase, the unit the known word after it, or ''. The results are leaves for
+    ``three_valued``, to be reviewed first.
+    """
+    ends = r"[;\n]|\.(?![0-9])"
+    clauses = rows.select(key, F.posexplode(F.split(F.lower(text), ends)).alias("i", "c"))
+    phrases = "|".join(re.escape(p) for _, p in compares)
+    after = F.regexp_extract("c", rf"\b(?:{phrases})\b\D*([0-9]+(?:\.[0-9]+)?)\s*({'|'.join(map(re.escape, units))})?", 1)
+    unit = F.regexp_extract("c", rf"\b(?:{phrases})\b\D*([0-9]+(?:\.[0-9]+)?)\s*({'|'.join(map(re.escape, units))})?", 2)
+    found = clauses.select(key, (F.col("i") + 1).alias("clause"), first_of(F.col("c"), fields).alias("field"), first_of(F.col("c"), compares).alias("op"), F.nullif(after, F.lit("")).cast("double").alias("value"), unit.alias("unit"))
+    return found.filter("field IS NOT NULL AND op IS NOT NULL AND value IS NOT NULL")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dapple.operators import evidence as E
+from dapple.operators import formula as M
 from dapple.operators import graph as G
 from dapple.operators import lifecycle as L
+from dapple.operators import relational as R
 from dapple.operators import rules as U
 from dapple.plans.registry import Tables, query
 
@@ -82,19 +85,60 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("agg13_fact_ledger", """
-WITH v AS (SELECT user_id, event_type, count(DISTINCT round(value, 0)) AS kinds, arg_max(round(value, 0), event_id) AS last FROM events WHERE value IS NOT NULL GROUP BY 1, 2)
-SELECT user_id, event_type, CASE WHEN kinds > 1 THEN 'conflict' ELSE 'resolved' END AS state, CASE WHEN kinds = 1 THEN last END AS value FROM v""")
+WITH v AS (SELECT user_id, event_type, count(DISTINCT round(value, 0)) FILTER (value >= 5) AS kinds, bool_or(CAST(json_extract_string(props, '$.k') AS BIGINT) = 13) AS explicit, arg_max(round(value, 0), event_id) FILTER (value >= 5) AS last, arg_max(round(value, 0), event_id) FILTER (value IS NOT NULL) AS other FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, CASE WHEN explicit OR kinds > 1 THEN 'conflict' WHEN kinds = 1 THEN 'resolved' WHEN other IS NOT NULL THEN 'fallback' ELSE 'missing' END AS state, CASE WHEN explicit OR kinds > 1 THEN NULL WHEN kinds = 1 THEN last ELSE other END AS value FROM v""")
 def _(t: Tables) -> DataFrame:
-    """AGG-13, RUL-7: different supported values conflict, else the last one holds."""
-    v = F.round("value", 0)
-    g = t.events.filter("value IS NOT NULL").groupBy("user_id", "event_type").agg(F.count_distinct(v).alias("kinds"), F.max_by(v, "event_id").alias("last"))
-    return g.select("user_id", "event_type", F.when(F.col("kinds") > 1, "conflict").otherwise("resolved").alias("state"), F.when(F.col("kinds") == 1, F.col("last")).alias("value"))
-
-
-@query("mth1_ratios", f"{_FACTS} SELECT k, round(spent / nullif(n, 0), 4) AS mean_order, round((spent - balance) / nullif(spent, 0), 4) AS margin, round(balance / nullif(spent, 0) * 365, 4) AS days FROM facts")
+    """AGG-13: a stated conflict or different supporting values conflict; else the last supporting value holds, or the last other one."""
+    v, supports = F.round("value", 0), F.col("value") >= 5
+    stated = F.coalesce(F.get_json_object("props", "$.k").cast("long") == 13, F.lit(False))
+    g = t.events.groupBy("user_id", "event_type").agg(
+        F.count_distinct(F.when(supports, v)).alias("kinds"), F.max(stated).alias("explicit"), F.max_by(v, F.when(supports, F.col("event_id"))).alias("last"), F.max_by(v, F.when(F.col("value").isNotNull(), F.col("event_id"))).alias("other")
+    )
+    conflict, one = F.col("explicit") | (F.col("kinds") > 1), F.col("kinds") == 1
+    state = F.when(conflict, "conflict").when(one, "resolved").when(F.col("other").isNotNull(), "fallback").otherwise("missing")
+    return g.select("user_id", "event_type", state.alias("state"), F.when(~conflict, F.when(one, F.col("last")).otherwise(F.col("other"))).alias("value"))
+
+
+@query("rul7_evidence", """
+WITH c AS (SELECT o_custkey AS subject, o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'original' WHEN 'P' THEN 'citation' ELSE 'basis' END AS role, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS channel, year(o_orderdate) AS y, o_totalprice > 100000 AS official, o_orderkey % 4 <> 0 AS in_force, CASE WHEN o_orderkey % 3 = 0 THEN ['deadline', 'bonus'] END AS quoted FROM orders),
+a AS (SELECT subject, arg_min({'id': id, 'role': role, 'quoted': quoted}, (CASE role WHEN 'original' THEN 0 ELSE 1 END, channel, id)) FILTER (official AND role IN ('original', 'citation') AND y = 1996) AS a, arg_min(id, (-y, channel, id)) FILTER (official AND role = 'basis' AND in_force) AS s FROM c GROUP BY 1),
+w AS (SELECT *, list_concat(CASE WHEN s IS NULL THEN [] ELSE ['threshold'] END, CASE WHEN a IS NULL THEN [] ELSE ['batch', 'deadline'] END) AS wide FROM a),
+l AS (SELECT *, CASE WHEN a IS NULL OR a.quoted IS NULL THEN wide WHEN a.role = 'citation' THEN list_filter(wide, lambda x: x = 'threshold' OR list_contains(a.quoted, x)) ELSE list_distinct(list_concat(wide, a.quoted)) END AS allowed FROM w)
+SELECT subject, CASE WHEN a.role = 'original' THEN 'original' WHEN a IS NOT NULL THEN 'citation_fallback' WHEN s IS NOT NULL THEN 'baseline_only' ELSE 'not_found' END AS status, a.id AS annual_id, s AS stable_id, array_to_string(list_sort(allowed), ',') AS allowed,
+ array_to_string(list_filter(['batch', 'bonus', 'deadline', 'threshold'], lambda x: NOT list_contains(allowed, x)), ',') AS prohibited, a IS NOT NULL AND list_contains(allowed, 'batch') AND list_contains(allowed, 'deadline') AS conclusive FROM l""")
 def _(t: Tables) -> DataFrame:
-    """MTH-1: ratios that are null where a part is missing or a denominator 0."""
-    return facts(t).select("k", F.round(F.try_divide("spent", "n"), 4).alias("mean_order"), F.round(F.try_divide(F.col("spent") - F.col("balance"), F.col("spent")), 4).alias("margin"), F.round(F.try_divide("balance", "spent") * 365, 4).alias("days"))
+    """RUL-7: the best source of a year with fallback, the stable one beside it, what may be claimed and what not."""
+    k = F.col("o_orderkey")
+    c = t.orders.select(
+        F.col("o_custkey").alias("subject"), k.alias("id"), F.when(F.col("o_orderstatus") == "O", "original").when(F.col("o_orderstatus") == "P", "citation").otherwise("basis").alias("role"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("channel"), F.year("o_orderdate").alias("year"), (F.col("o_totalprice") > 100000).alias("official"), (k % 4 != 0).alias("in_force"),
+        F.when(k % 3 == 0, F.array(F.lit("deadline"), F.lit("bonus"))).alias("quoted"),
+    )
+    got = E.select_evidence(c, "subject", 1996, ["deadline", "batch", "threshold", "bonus"], ["batch", "deadline"], ["threshold"])
+    return got.withColumns({n: F.array_join(n, ",") for n in ("allowed", "prohibited")})
+
+
+#: What the positions of a statement stand for here.
+_POSITIONS = {
+    "revenue": "spent", "cost": "spent * 0.6", "net_profit": "balance", "profit_before_tax": "balance * 1.25", "interest": "n * 11", "assets": "spent * 2", "assets_open": "spent * 1.5", "equity": "spent + balance", "equity_open": "spent",
+    "liabilities": "spent - balance", "current_assets": "spent * 0.8", "current_liabilities": "n * 1013", "inventory": "spent * 0.1", "inventory_open": "spent * 0.2", "cash": "balance", "receivables": "n * 500", "receivables_open": "n * 400",
+    "other_receivables": "n * 7", "advances": "n * 3", "research": "spent * 0.05", "taxes_paid": "spent * 0.03", "sales_cash": "spent * 0.9", "operating_cash": "balance * 2", "capex": "n * 50",
+}
+_RATIO_SQL = {
+    "gross_margin": "(revenue - cost) / nullif(revenue, 0)", "net_margin": "net_profit / nullif(revenue, 0)", "debt_ratio": "liabilities / nullif(assets, 0)", "current_ratio": "current_assets / nullif(current_liabilities, 0)",
+    "quick_ratio": "(current_assets - inventory) / nullif(current_liabilities, 0)", "cash_ratio": "cash / nullif(current_liabilities, 0)", "roe": "net_profit / nullif((equity + equity_open) / 2, 0)", "roa": "net_profit / nullif((assets + assets_open) / 2, 0)",
+    "ar_days": "(receivables + receivables_open) / 2 / nullif(revenue, 0) * 365", "inventory_days": "(inventory + inventory_open) / 2 / nullif(cost, 0) * 365", "other_ar_to_assets": "other_receivables / nullif(assets, 0)",
+    "other_ar_to_revenue": "other_receivables / nullif(revenue, 0)", "advance_to_revenue": "advances / nullif(revenue, 0)", "research_to_revenue": "research / nullif(revenue, 0)", "cash_tax_payment_rate": "taxes_paid / nullif(revenue, 0)",
+    "sales_cash_to_revenue": "sales_cash / nullif(revenue, 0)", "ocf_to_profit": "operating_cash / nullif(net_profit, 0)", "free_cash_flow": "operating_cash - capex", "interest_coverage": "(profit_before_tax + interest) / nullif(interest, 0)", "working_capital": "current_assets - current_liabilities",
+}
+
+
+@query("mth1_ratios", f"{_FACTS}, p AS (SELECT k, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in _POSITIONS.items())} FROM facts) SELECT k, {', '.join(f'round({x}, 4) + 0.0 AS {n}' for n, x in _RATIO_SQL.items())} FROM p")
+def _(t: Tables) -> DataFrame:
+    """MTH-1: the twenty ratios; null where a part is missing or a divisor is 0. The positions are formulas over the facts (MTH-8)."""
+    inputs = {c: F.col(c) for c in ("spent", "balance", "n")}
+    rows = facts(t).select("k", *[M.formula(x, inputs).alias(n) for n, x in _POSITIONS.items()])
+    return rows.select("k", *[F.round(c, 4).alias(n) for n, c in M.ratios({n: F.col(n) for n in _POSITIONS}).items()])
 
 
 @query("mth2_share", """
@@ -117,12 +161,38 @@ def _(t: Tables) -> DataFrame:
     return facts(t).select("k", U.banded(b, [(0, 3), (4000, 6), (8000, 10)]).alias("band"), U.stepped(F.col("n"), 5, 2, 3.0, 1.5, 8).alias("steps"), route.alias("route"), F.when(b.between(0, 5000), F.round(b / 1000, 6)).alias("reviewed"))
 
 
-@query("mth7_8_9_scenarios", f"{_FACTS} SELECT nation, round(sum(spent) * 1.1 / 10000, 6) AS target, round(sum(spent) * 1.0 / 10000, 6) AS conservative, round(sum(spent) * 0.8 / 10000, 6) AS stress FROM facts GROUP BY 1")
+@query("mth7_scenarios", f"""{_FACTS}, y AS (SELECT o_custkey AS k, sum(CASE WHEN year(o_orderdate) = 1996 THEN CAST(round(o_totalprice) AS BIGINT) END) AS old, sum(CASE WHEN year(o_orderdate) = 1997 THEN CAST(round(o_totalprice) AS BIGINT) END) AS new FROM orders GROUP BY 1),
+r AS (SELECT facts.k, n, (new - old) / nullif(CAST(old AS DOUBLE), 0) AS rate FROM facts LEFT JOIN y ON y.k = facts.k),
+s AS (SELECT k, n, rate, CASE WHEN rate IS NULL OR rate <= 0 THEN 0 WHEN rate >= 0.35 THEN 9 WHEN rate >= 0.25 THEN 7 WHEN rate >= 0.15 THEN 5 WHEN rate >= 0.05 THEN 3 ELSE 1 END AS low, CASE WHEN rate IS NULL OR rate <= 0 THEN 0 WHEN rate >= 0.35 THEN 10 WHEN rate >= 0.25 THEN 8 WHEN rate >= 0.15 THEN 6 WHEN rate >= 0.05 THEN 4 ELSE 2 END AS high FROM r)
+SELECT k, coalesce(n, 0) * 4 + high AS target, coalesce(n, 0) * 3 + low AS conservative, coalesce(n, 0) * 2 + low AS stress, CASE WHEN rate IS NULL THEN 'review' WHEN coalesce(n, 0) * 3 + low >= 45 THEN 'ready' WHEN coalesce(n, 0) * 3 + low >= 36 THEN 'borderline' ELSE 'not_ready' END AS readiness FROM s""")
+def _(t: Tables) -> DataFrame:
+    """MTH-7: growth bands, scenario totals, readiness by the conservative one."""
+    o = t.orders.select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"), F.round("o_totalprice").cast("long").alias("v"))
+    o = o.groupBy("k").agg(F.sum(F.when(F.col("y") == 1996, F.col("v"))).alias("old"), F.sum(F.when(F.col("y") == 1997, F.col("v"))).alias("new"))
+    rate = F.try_divide(F.col("new") - F.col("old"), F.col("old"))
+    low, high = M.growth_scores(F.col("rate"))
+    n = F.coalesce("n", F.lit(0))
+    rows = facts(t).join(o, "k", "left").select("k", n.alias("n"), rate.alias("rate"))
+    rows = rows.select("k", "rate", (F.col("n") * 4 + high).alias("target"), (F.col("n") * 3 + low).alias("conservative"), (F.col("n") * 2 + low).alias("stress"))
+    ready = F.when(F.col("rate").isNull(), "review").when(F.col("conservative") >= 45, "ready").when(F.col("conservative") >= 36, "borderline").otherwise("not_ready")
+    return rows.select("k", "target", "conservative", "stress", ready.alias("readiness"))
+
+
+@query("mth8_formula", f"{_FACTS} SELECT k, round((spent - balance * 2) / nullif(CAST(n AS DOUBLE), 0) * 0.05 + -3, 4) AS result FROM facts")
+def _(t: Tables) -> DataFrame:
+    """MTH-8: a formula in text over declared inputs, checked against its grammar."""
+    result = M.formula("(spent − balance × 2) ÷ n × 5% + -3 = 12".replace("−", "-"), {c: F.col(c) for c in ("spent", "balance", "n")})
+    return facts(t).select("k", F.round(result, 4).alias("result"))
+
+
+@query("mth9_units", """
+WITH u AS (SELECT p_partkey, p_retailprice AS v, CASE p_size % 3 WHEN 0 THEN 'unit' WHEN 1 THEN 'thousand' ELSE 'dozen' END AS unit FROM part)
+SELECT p_partkey, round(CASE unit WHEN 'unit' THEN v WHEN 'thousand' THEN v * 1000 END, 4) AS units FROM u""")
 def _(t: Tables) -> DataFrame:
-    """MTH-7, MTH-8, MTH-9: scenario totals in another unit, the formulas given as checked expressions."""
-    scenarios = {"target": 1.1, "conservative": 1.0, "stress": 0.8}
-    g = facts(t).groupBy("nation").agg(F.sum("spent").alias("spent"))
-    return g.select("nation", *[F.round(F.col("spent") * f / 10000, 6).alias(n) for n, f in scenarios.items()])
+    """MTH-9: values in one unit by a table of factors; a unit that the table lacks gives null."""
+    factors = t.spark.createDataFrame([("unit", 1.0), ("thousand", 1e3), ("million", 1e6)], "unit string, factor double")
+    unit = F.when(F.col("p_size") % 3 == 0, "unit").when(F.col("p_size") % 3 == 1, "thousand").otherwise("dozen")
+    return t.part.select("p_partkey", "p_retailprice", unit.alias("unit")).join(factors, "unit", "left").select("p_partkey", F.round(F.col("p_retailprice") * F.col("factor"), 4).alias("units"))
 
 
 # lifecycle ----------------------------------------------------------------------------------------
@@ -139,14 +209,27 @@ def log(t: Tables) -> DataFrame:
     return L.replay(t.events.select("user_id", kind.alias("kind"), at.alias("at"), order.alias("o")), "user_id", F.col("at"), F.col("o"), F.col("kind"), 10)
 
 
-@query("win4_5_replay", f"""
+_REPLAY = f"""
 WITH e AS (SELECT user_id, {_AT} AS d, {_KIND} AS kind FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, CASE kind WHEN 'published' THEN 0 WHEN 'recognised' THEN 1 WHEN 'revoked' THEN 2 ELSE 3 END, kind) AS i FROM e),
 s AS (SELECT *, max(CASE WHEN kind IN ('recognised', 'revoked') THEN i END) OVER w AS m, max(CASE WHEN kind = 'published' THEN i END) OVER w AS p FROM n WINDOW w AS (PARTITION BY user_id ORDER BY i))
 SELECT s.user_id, CAST(s.i AS INTEGER) AS step, s.kind, CASE WHEN s.m IS NOT NULL THEN CASE m.kind WHEN 'recognised' THEN 'active' ELSE 'revoked' END WHEN s.p IS NOT NULL THEN 'published' ELSE 'none' END AS state,
- CASE m.kind WHEN 'recognised' THEN m.d + 10 WHEN 'revoked' THEN m.d END AS valid_until FROM s LEFT JOIN n m ON m.user_id = s.user_id AND m.i = s.m""")
+ CASE m.kind WHEN 'recognised' THEN m.d + 10 WHEN 'revoked' THEN m.d END AS valid_until FROM s LEFT JOIN n m ON m.user_id = s.user_id AND m.i = s.m"""
+
+
+@query("win4_5_replay", _REPLAY)
+def _(t: Tables) -> DataFrame:
+    """WIN-4: the state after each event."""
+    return log(t).select("user_id", "step", "kind", "state", "valid_until")
+
+
+@query("win5_verify_replay", f"""
+WITH r AS ({_REPLAY}) SELECT user_id, step, CASE WHEN step % 50 = 49 THEN 'missing' ELSE CASE WHEN state <> 'none' AND step % 50 = 7 THEN CASE WHEN step % 100 = 7 THEN 'state,valid_until' ELSE 'state' END ELSE 'valid_until' END END AS problem
+FROM r WHERE step % 50 = 49 OR (state <> 'none' AND step % 50 = 7) OR step % 100 = 7""")
 def _(t: Tables) -> DataFrame:
-    """WIN-4, WIN-5: the state after each event."""
-    return log(t).select("user_id", F.posexplode("steps").alias("i", "s")).select("user_id", (F.col("i") + 1).alias("step"), "s.kind", "s.state", "s.valid_until")
+    """WIN-5: stored steps replayed and compared. (Here some stored ones are missing or spoilt.)"""
+    replayed = log(t)
+    spoilt = replayed.filter("step % 50 <> 49").withColumns({"state": F.when(F.col("step") % 50 == 7, "none").otherwise(F.col("state")), "valid_until": F.when(F.col("step") % 100 == 7, -1).otherwise(F.col("valid_until"))})
+    return E.verify_replay(spoilt, replayed, ["user_id", "step"], ["state", "valid_until"])
 
 
 @query("win6_as_of", f"""
@@ -162,15 +245,14 @@ def _(t: Tables) -> DataFrame:
 
 
 def trade(t: Tables) -> DataFrame:
-    """Suppliers that delivered together in one order, as edges between them; a sparse part of it."""
-    one = t.lineitem.filter("l_quantity >= 48").select("l_orderkey", "l_suppkey").distinct()
-    pairs = one.join(one.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey").filter("l_suppkey < other")
-    return pairs.select(F.col("l_suppkey").alias("src"), F.col("other").alias("dst")).distinct().filter("(src + dst) % 9 = 0")
+    """Suppliers of an order as a star around the smallest of them: edges that connect what delivered together."""
+    one = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    first = one.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("src"))
+    return one.join(first, "l_orderkey").filter("src < l_suppkey").select("src", F.col("l_suppkey").alias("dst")).distinct()
 
 
 _TRADE = """
-one AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity >= 48),
-edges AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM one a JOIN one b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE (a.l_suppkey + b.l_suppkey) % 9 = 0)"""
+edges AS (SELECT DISTINCT a.src, l.l_suppkey AS dst FROM lineitem l JOIN (SELECT l_orderkey, min(l_suppkey) AS src FROM lineitem GROUP BY 1) a ON a.l_orderkey = l.l_orderkey WHERE a.src < l.l_suppkey)"""
 
 
 @query("grf1_components", f"""
@@ -182,28 +264,32 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("grf2_3_reachable", f"""
-WITH RECURSIVE {_TRADE}, walk AS (SELECT DISTINCT src AS start, src AS node, 0 AS distance FROM edges WHERE src <= 10 UNION SELECT w.start, e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.distance < 3)
-SELECT start, node, min(distance) AS distance FROM walk GROUP BY 1, 2""")
+WITH RECURSIVE {_TRADE}, walk AS (SELECT DISTINCT src AS start, src AS node, 0 AS distance FROM edges UNION SELECT w.start, e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.distance < 3),
+near AS (SELECT start, node, min(distance) AS distance FROM walk GROUP BY 1, 2)
+SELECT n.start, n.node, n.distance, min(p.node) AS via FROM near n LEFT JOIN (near p JOIN edges e ON e.src = p.node) ON p.start = n.start AND e.dst = n.node AND p.distance = n.distance - 1 GROUP BY 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    """GRF-2, GRF-3: reached within three steps, by the first discovery."""
+    """GRF-2, GRF-3: reached within three steps from every start, by the first discovery, with the edge that led there."""
     e = trade(t)
-    return G.reachable(e, e.filter("src <= 10").select(F.col("src").alias("node")).distinct(), 3)
+    return G.reachable(e, e.select(F.col("src").alias("node")).distinct(), 3)
 
 
-@query("grf4_5_paths", f"""
-WITH RECURSIVE {_TRADE}, walk AS (SELECT DISTINCT [src] AS path FROM edges WHERE src <= 3 UNION ALL SELECT list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.path[-1] WHERE len(w.path) < 3 AND NOT list_contains(w.path, e.dst))
-SELECT array_to_string(path, '>') AS path, len(path) - 1 AS steps FROM walk""")
+@query("grf4_5_paths", """
+WITH o AS (SELECT 'o' || o_orderkey AS o, 'c' || o_custkey AS c FROM orders), c AS (SELECT 'c' || c_custkey AS c, 'n' || c_nationkey AS n FROM customer), n AS (SELECT 'n' || n_nationkey AS n, 'r' || n_regionkey AS r FROM nation)
+SELECT o || '>' || o.c || '>' || c.n || '>' || r AS path, 3 AS steps FROM o JOIN c ON o.c = c.c JOIN n ON c.n = n.n""")
 def _(t: Tables) -> DataFrame:
-    """GRF-4, GRF-5: all paths of up to two steps, cycles cut."""
-    e = trade(t)
-    got = G.paths(e, e.filter("src <= 3").select(F.col("src").alias("node")).distinct(), 2)
-    return got.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("steps"))
+    """GRF-4, GRF-5: all paths of every order's lineage to its roots, cycles cut."""
+    mark = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    up = lambda d, a, x, b, y: d.select(mark(a, x).alias("src"), mark(b, y).alias("dst"))
+    e = up(t.orders, "o", "o_orderkey", "c", "o_custkey").unionAll(up(t.customer, "c", "c_custkey", "n", "c_nationkey")).unionAll(up(t.nation, "n", "n_nationkey", "r", "n_regionkey"))
+    got = G.paths(e, t.orders.select(mark("o", "o_orderkey").alias("node")), 3)
+    roots = got.filter(F.element_at("path", -1).startswith("r"))
+    return roots.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("steps"))
 
 
 @query("grf6_9_property_graph", """
 SELECT 'nation' AS kind, 'n' || n_nationkey AS id, 'r' || n_regionkey AS target FROM nation UNION ALL SELECT 'supplier', 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'customer', 'c' || c_custkey, 'n' || c_nationkey FROM customer""")
 def _(t: Tables) -> DataFrame:
-    """GRF-6, GRF-9: nodes of several kinds with their edges."""
+    """GRF-6: nodes of several kinds with their edges."""
 
     def kind(rows: DataFrame, name: str, key: str, to: str, mark: str) -> DataFrame:
         return rows.select(F.lit(name).alias("kind"), F.concat(F.lit(name[0]), F.col(key).cast("string")).alias("id"), F.concat(F.lit(mark), F.col(to).cast("string")).alias("target"))
@@ -213,32 +299,99 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("grf7_8_identity", """
-WITH a AS (SELECT p_name AS alias, count(DISTINCT p_brand) AS brands, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY 1)
-SELECT alias, CASE WHEN brands > 1 THEN 'conflict' WHEN n > 1 THEN 'merged' ELSE 'unique' END AS status, CASE WHEN brands = 1 THEN k END AS identity FROM a""")
+WITH a AS (SELECT p_name AS alias, count(DISTINCT p_brand) AS brands, count(DISTINCT p_type) AS types, count(*) AS n, min(p_partkey) AS k, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS paths FROM part WHERE p_size > 25 GROUP BY 1)
+SELECT alias, CASE WHEN brands > 1 AND types > 1 THEN 'conflict_both' WHEN brands > 1 THEN 'conflict_brand' WHEN types > 1 THEN 'conflict_type' WHEN n > 1 THEN 'merged' ELSE 'unique' END AS status, CASE WHEN brands = 1 AND types = 1 THEN k END AS identity, CASE WHEN brands > 1 THEN paths END AS conflict_paths FROM a""")
+def _(t: Tables) -> DataFrame:
+    """GRF-7, GRF-8: what an alias stands for, and by which paths it conflicts."""
+    a = t.part.filter("p_size > 25").groupBy(F.col("p_name").alias("alias")).agg(F.count_distinct("p_brand").alias("brands"), F.count_distinct("p_type").alias("types"), F.count("*").alias("n"), F.min("p_partkey").alias("k"), F.array_join(F.array_sort(F.collect_set("p_brand")), "|").alias("paths"))
+    b, y = F.col("brands") > 1, F.col("types") > 1
+    status = F.when(b & y, "conflict_both").when(b, "conflict_brand").when(y, "conflict_type").when(F.col("n") > 1, "merged").otherwise("unique")
+    return a.select("alias", status.alias("status"), F.when(~b & ~y, F.col("k")).alias("identity"), F.when(b, F.col("paths")).alias("conflict_paths"))
+
+
+_POLICIES = "p AS (SELECT c_nationkey AS project, o_orderkey AS document, year(o_orderdate) AS y, o_orderstatus = 'F' AND o_orderkey % 50 = 0 AS in_force, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey), x AS (SELECT document, lag(document) OVER (PARTITION BY o_custkey ORDER BY document) AS cited FROM p)"
+
+
+def policies(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges: nations as projects, orders as the policies that govern them and cite the one before."""
+    docs = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    docs = docs.select(F.col("c_nationkey").alias("project"), F.col("o_orderkey").alias("document"), F.year("o_orderdate").alias("year"), ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 50 == 0)).alias("in_force"), F.lit(None).cast("string").alias("relation"))
+    cited = t.orders.select(F.col("o_orderkey").alias("document"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("cited")).filter("cited IS NOT NULL")
+    return E.dependency_graph(t.nation.select(F.col("n_nationkey").alias("project")), docs, cited, 1998, 3)
+
+
+@query("grf9_policy_nodes", f"WITH {_POLICIES} SELECT 'project:' || n_nationkey AS id, 'project' AS kind, NULL::VARCHAR AS bucket FROM nation UNION ALL SELECT 'policy:' || document, 'policy', CASE WHEN bool_or(in_force OR y BETWEEN 1996 AND 1998) THEN 'execution' ELSE 'archive' END FROM p GROUP BY document")
+def _(t: Tables) -> DataFrame:
+    """GRF-9: projects and policies, for execution or in the archive."""
+    return policies(t)[0]
+
+
+@query("grf9_policy_edges", f"WITH {_POLICIES} SELECT 'project:' || project AS src, 'policy:' || document AS dst, 'governed-by' AS relation FROM p UNION SELECT 'policy:' || document, 'policy:' || cited, 'cites' FROM x WHERE cited IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    """GRF-9: what governs a project, and what cites what."""
+    return policies(t)[1]
+
+
+@query("rul9_structure_audit", """
+SELECT p_partkey, 'all[0]' AS path, lower(p_type) || '_met' AS field, CASE WHEN p_size > 25 THEN 'composite' ELSE 'undeclared' END AS problem FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, 'all[1].any[1]', 'size_met', 'composite' FROM part WHERE p_size % 5 <> 0""")
 def _(t: Tables) -> DataFrame:
-    """GRF-7, GRF-8: what an alias stands for, and where it conflicts."""
-    a = t.part.groupBy(F.col("p_name").alias("alias")).agg(F.count_distinct("p_brand").alias("brands"), F.count("*").alias("n"), F.min("p_partkey").alias("k"))
-    status = F.when(F.col("brands") > 1, "conflict").when(F.col("n") > 1, "merged").otherwise("unique")
-    return a.select("alias", status.alias("status"), F.when(F.col("brands") == 1, F.col("k")).alias("identity"))
+    """RUL-9: rule trees whose leaves still rest on one truth value for several conditions."""
+    none, size = F.lit(None).cast("string"), F.col("p_size")
+    leaf = lambda f, s, q: F.struct(f.alias("field"), s.alias("semantics"), q.alias("quote"))
+    one = leaf(F.concat(F.lower("p_type"), F.when(size % 2 == 0, "_met").otherwise("_size")), none, F.when(size > 25, "large and heavy").otherwise("large"))
+    other = F.array(leaf(F.lit("brand"), none, none), leaf(F.lit("size_met"), F.when(size % 5 == 0, "certificate"), F.lit("either of them")))
+    # members of a list may be of several kinds: the texts of both stand in it as they are
+    joined = F.concat(F.lit('{"all":['), F.to_json(one), F.lit(","), F.to_json(F.struct(other.alias("any"))), F.lit("]}"))
+    return E.composite_leaves(t.part.select("p_partkey", joined.alias("json")), "p_partkey", "json")
 
 
 # incremental maintenance --------------------------------------------------------------------------
 
 
-@query("ups5_delta_apply", "SELECT o_custkey AS k, count(*) AS n, sum(CAST(round(o_totalprice) AS BIGINT))::BIGINT AS spent FROM orders GROUP BY 1")
+_CHANGED = "o AS (SELECT o_orderkey, o_custkey AS k, CAST(round(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 40 = 3 THEN 1000 ELSE 0 END AS v FROM orders WHERE o_orderkey % 40 <> 7)"
+
+
+@query("ups5_delta_apply", f"WITH {_CHANGED} SELECT k, count(*) AS n, sum(v)::BIGINT AS spent FROM o GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    """UPS-5, UPS-6: new rows change the sums of their groups only; the others are used again."""
-    o = t.orders.select(F.col("o_custkey").alias("k"), F.round("o_totalprice").cast("long").alias("v"), "o_orderdate")
-    late = F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ '1996-01-01'")
+    """UPS-5: changed and deleted rows; only the groups they belong to are summed again."""
+    rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.round("o_totalprice").cast("long").alias("v"))
     sums = lambda d: d.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("spent"))
-    return sums(o.filter(~late)).unionByName(sums(o.filter(late))).groupBy("k").agg(F.sum("n").alias("n"), F.sum("spent").alias("spent"))
+    m = F.col("o_orderkey") % 40
+    delta = rows.filter(m.isin(3, 7)).select("o_orderkey", "k", (F.col("v") + 1000).alias("v"), (m == 7).alias("deleted"))
+    return E.apply_delta(rows, delta, sums(rows), "o_orderkey", "k", sums)[1]
+
+
+@query("ups6_reuse", """
+SELECT p_partkey, p_name || '/' || p_brand || CASE WHEN p_partkey % 9 = 4 THEN '/new' ELSE '' END AS result, CASE WHEN p_partkey % 9 = 4 OR p_partkey % 5 = 0 THEN 'computed' ELSE 'reused' END AS origin FROM part WHERE p_partkey % 31 <> 0""")
+def _(t: Tables) -> DataFrame:
+    """UPS-6: what was computed before stands where its input is the same; changed and new inputs alone are computed."""
+    p = t.part.select("p_partkey", "p_name", "p_brand")
+    done = lambda d: d.withColumn("result", F.concat_ws("/", "p_name", "p_brand"))
+    before = done(p.filter("p_partkey % 5 <> 0").withColumn("input_hash", R.row_hash(["p_name", "p_brand"]))).select("p_partkey", "input_hash", "result")
+    now = p.filter("p_partkey % 31 <> 0").withColumn("p_brand", F.when(F.col("p_partkey") % 9 == 4, F.concat("p_brand", F.lit("/new"))).otherwise(F.col("p_brand")))
+    return E.reuse_or_compute(now, before, ["p_partkey"], ["p_name", "p_brand"], done).drop("input_hash")
+
+
+@query("ups3_jsonl_upsert", """
+WITH r AS (SELECT event_id, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts >= TIMESTAMP '2024-01-15' AS late FROM events),
+o AS (SELECT user_id, arg_max(k, event_id) AS k FROM r WHERE NOT late AND k IS NOT NULL GROUP BY 1), n AS (SELECT user_id, arg_max(k, event_id) AS k FROM r WHERE late AND k >= 10 GROUP BY 1)
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'kept' WHEN n.k = o.k THEN 'unchanged' ELSE 'updated' END AS status, (SELECT count(*) FROM r WHERE late AND (k < 10 OR k IS NULL)) AS rejected FROM o FULL JOIN n ON o.user_id = n.user_id""")
+def _(t: Tables) -> DataFrame:
+    """UPS-3: JSON records by key, the last of a key wins, bad ones are counted and left out."""
+    r = t.events.select("event_id", "user_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"), (F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-15'")).alias("late"))
+    good = F.coalesce(F.col("k") >= 10, F.lit(False))
+    last = lambda d: d.groupBy("user_id").agg(F.max_by("k", "event_id").alias("k"))
+    old = last(r.filter("NOT late AND k IS NOT NULL")).withColumn("version", F.lit(1))
+    bad = r.filter(F.col("late") & ~good).agg(F.count("*").alias("rejected"))
+    return R.upsert_with_history(old, last(r.filter(F.col("late") & good)), ["user_id"], ["k"]).drop("version").crossJoin(F.broadcast(bad))
 
 
 @query("ups4_stm4_run_ledger", """
 WITH r AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events)
 SELECT event_type, count(*) AS n, count(*) FILTER (k IS NULL OR value < 1) AS rejected, CASE WHEN count(*) FILTER (k IS NULL OR value < 1) = 0 THEN 'success' WHEN count(*) FILTER (k IS NULL OR value < 1) = count(*) THEN 'failed' ELSE 'partial' END AS status FROM r GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    """UPS-3, UPS-4, STM-4: bad rows are set aside and counted, the run goes on."""
+    """UPS-4, STM-4: bad rows are set aside and counted, the run goes on."""
     bad = F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").isNull() | (F.col("value") < 1), F.lit(False))
     g = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(bad).alias("rejected"))
     return g.withColumn("status", F.when(F.col("rejected") == 0, "success").when(F.col("rejected") == F.col("n"), "failed").otherwise("partial"))

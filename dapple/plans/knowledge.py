@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dapple.functions import text as T
+from dapple.operators import dictionary as D
 from dapple.operators import relational as R
+from dapple.operators import rules as U
 from dapple.plans.registry import Tables, query
 
 
@@ -21,19 +23,23 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("flt15_list_routing", """
-SELECT family, count(*) AS n FROM (SELECT CASE WHEN p_type LIKE '%BRASS%' THEN 'brass' WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_type LIKE '%COPPER%' THEN 'copper' ELSE 'unsupported' END AS family FROM part) GROUP BY 1""")
+WITH asked(id, list, field, size, start) AS (VALUES (1, 'volume', 'brand', 500, 0), (2, 'compact', 'size', 50, -5), (3, 'offers', 'brand', 0, 10), (4, 'volume', 'colour', 10, 0), (5, 'antiques', 'brand', 10, 0)),
+kinds(list, type) AS (VALUES ('volume', 'STANDARD'), ('volume', 'LARGE'), ('compact', 'SMALL'), ('compact', 'MEDIUM'), ('offers', 'ECONOMY'), ('offers', 'PROMO')), n AS (SELECT list, count(*) AS rows FROM part JOIN kinds ON p_type = type GROUP BY 1)
+SELECT id, CASE WHEN n.list IS NULL THEN 'unknown list' WHEN field NOT IN ('brand', 'size') THEN 'unsupported filter' ELSE 'accepted' END AS status, CASE WHEN n.list IS NOT NULL AND field IN ('brand', 'size') THEN rows END AS total, least(greatest(size, 1), 200) AS page, greatest(start, 0) AS first FROM asked LEFT JOIN n ON asked.list = n.list""")
 def _(t: Tables) -> DataFrame:
-    """FLT-15: rows to the list family that answers for them; what has none is named."""
-    family = F.lit("unsupported")
-    for name in ("copper", "steel", "brass"):
-        family = F.when(F.col("p_type").contains(name.upper()), name).otherwise(family)
-    return t.part.groupBy(family.alias("family")).agg(F.count("*").alias("n"))
+    """FLT-15: requests to the list family that answers for them; unknown lists and filters are rejected, pages clamped."""
+    asked = t.spark.createDataFrame([(1, "volume", "brand", 500, 0), (2, "compact", "size", 50, -5), (3, "offers", "brand", 0, 10), (4, "volume", "colour", 10, 0), (5, "antiques", "brand", 10, 0)], "id int, list string, field string, size int, start int")
+    kinds = t.spark.createDataFrame([("volume", "STANDARD"), ("volume", "LARGE"), ("compact", "SMALL"), ("compact", "MEDIUM"), ("offers", "ECONOMY"), ("offers", "PROMO")], "list string, p_type string")
+    n = t.part.join(F.broadcast(kinds), "p_type").groupBy("list").agg(F.count("*").alias("rows"))
+    known = F.col("field").isin("brand", "size")
+    status = F.when(F.col("rows").isNull(), "unknown list").when(~known, "unsupported filter").otherwise("accepted")
+    return asked.join(n, "list", "left").select("id", status.alias("status"), F.when(known, F.col("rows")).alias("total"), F.least(F.greatest("size", F.lit(1)), F.lit(200)).alias("page"), F.greatest("start", F.lit(0)).alias("first"))
 
 
 @query("jn15_greedy_assignment")
 def _(t: Tables) -> DataFrame:
     """JN-15: parts to suppliers one to one, by falling similarity of a score."""
-    p = t.part.filter("p_size <= 10").select(F.col("p_partkey").alias("a"), "p_size", "p_retailprice")
+    p = t.part.select(F.col("p_partkey").alias("a"), (F.col("p_size") % 10 + 1).alias("p_size"), "p_retailprice")
     s = t.supplier.select(F.col("s_suppkey").alias("b"), (F.col("s_suppkey") % 10 + 1).cast("int").alias("p_size"), "s_acctbal")
     pairs = p.join(s, "p_size").select("a", "b", F.round(1 / (1 + F.abs(F.col("p_retailprice") - F.abs("s_acctbal"))), 9).alias("score"))
     return R.greedy_match(pairs, "a", "b", "score")
@@ -78,13 +84,22 @@ def _(t: Tables) -> DataFrame:
     return q.select("conv_id", "turn", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("rewritten"), F.regexp_extract("x", r"\b(20[0-9]{2})\b", 1).alias("year"), F.when(F.col("x").rlike(r"\b(not|without|except)\b"), "excluding").otherwise("plain").alias("kind"))
 
 
+#: Field, phrase; operator, phrase. Longer phrases first, so that "not less than" is not "less than".
+FIELDS = (("balance", "account balance"), ("balance", "balance"), ("orders", "number of orders"), ("segment", "market segment"))
+COMPARES = (("gte", "not less than"), ("gte", "at least"), ("lte", "no more than"), ("lte", "at most"), ("gt", "more than"), ("lt", "less than"))
+
+
 @query("rul6_rule_candidates", r"""
-WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(version|license|chars)[^0-9\n]{0,12}[0-9]+(?:\.[0-9]+)?')) AS clause FROM documents)
-SELECT doc_id, lower(regexp_extract(clause, '(?i)^(version|license|chars)', 1)) AS field, CAST(regexp_extract(clause, '([0-9]+(?:\.[0-9]+)?)$', 1) AS DOUBLE) AS value FROM c""")
+WITH c AS (SELECT c_custkey AS k, c_acctbal AS b, c_nationkey AS n FROM customer)
+SELECT k, CAST(1 AS INTEGER) AS clause, 'balance' AS field, CASE WHEN n % 2 = 0 THEN 'gte' ELSE 'lt' END AS op, CAST(round(abs(b), 1) AS DOUBLE) AS value, 'thousand' AS unit FROM c
+UNION ALL SELECT k, 2, 'orders', 'lte', CAST(n AS DOUBLE), '' FROM c""")
 def _(t: Tables) -> DataFrame:
-    """RUL-6: clause, field alias and number from running text."""
-    c = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)(version|license|chars)[^0-9\n]{0,12}[0-9]+(?:\.[0-9]+)?"), F.lit(0))).alias("clause"))
-    return c.select("doc_id", F.lower(F.regexp_extract("clause", r"(?i)^(version|license|chars)", 1)).alias("field"), F.regexp_extract("clause", r"([0-9]+(?:\.[0-9]+)?)$", 1).cast("double").alias("value"))
+    """RUL-6: clauses of a text, each with a field's phrase, an operator's phrase, a number and a unit, as rule candidates."""
+    n = F.col("c_nationkey")
+    text = F.concat(
+        F.lit("The account balance must be "), F.when(n % 2 == 0, "not less than ").otherwise("less than "), F.round(F.abs("c_acctbal"), 1).cast("decimal(18,1)").cast("string"), F.lit(" thousand; the Number of Orders is at most "), n.cast("string"), F.lit("; the market segment is open; nothing else holds.")
+    )
+    return U.rule_candidates(t.customer.select(F.col("c_custkey").alias("k"), text.alias("text")), "k", "text", FIELDS, COMPARES, ("thousand", "million", "percent"))
 
 
 @query("rul8_13_transitions", """
@@ -94,28 +109,33 @@ FROM v LEFT JOIN (SELECT a.id AS old, arg_min(b.id, (b.d, b.id)) AS id FROM v a
 def _(t: Tables) -> DataFrame:
     """RUL-8, RUL-13: what replaces what; drafts neither replace nor are replaced."""
     v = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_orderdate").alias("d"))
-    logs = v.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("d", "id", "s"))).alias("log"))
-    after = F.transform("log", lambda x, i: F.struct(x["id"].alias("id"), x["s"].alias("s"), F.get(F.filter("log", lambda y, j: (j > i) & (y["s"] != "P")), F.lit(0))["id"].alias("next")))
-    rows = logs.select("k", F.explode(after).alias("x")).select("k", "x.*")
+    # seen from the newest on, the last that is no draft before a row is what replaces it
+    later = Window.partitionBy("k").orderBy(F.desc("d"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = v.withColumn("next", F.last(F.when(F.col("s") != "P", F.col("id")), ignorenulls=True).over(later))
     validity = F.when(F.col("s") == "P", "draft").when(F.col("next").isNull(), "current").otherwise("superseded")
     return rows.select("k", "id", validity.alias("validity"), F.when(F.col("s") != "P", F.col("next")).alias("replaced_by"))
 
 
 @query("rul10_claim_matrix", r"""
-SELECT f.term, d.source, count(*) AS n, CASE WHEN count(*) >= 100 THEN 'strong' WHEN count(*) >= 10 THEN 'partial' ELSE 'weak' END AS status FROM documents d, (VALUES ('license'), ('idiot'), ('password'), ('akia')) f(term) WHERE contains(lower(d.text), f.term) GROUP BY 1, 2""")
+WITH b AS (SELECT item_id AS claim, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark), f AS (SELECT DISTINCT claim, array_to_string(w[i:i + 2], ' ') AS feature FROM (SELECT claim, w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS feature FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+m AS (SELECT claim, doc_id, count(*) AS shared FROM f JOIN g USING (feature) GROUP BY 1, 2), n AS (SELECT claim, count(*) AS features FROM f GROUP BY 1)
+SELECT claim, doc_id, shared, CASE WHEN shared >= 0.8 * features THEN 'disclosed' WHEN shared >= 0.3 * features THEN 'partial' ELSE 'trace' END AS status FROM m JOIN n USING (claim)""")
 def _(t: Tables) -> DataFrame:
-    """RUL-10: claims against sources, by the passages that bear on them."""
-    terms = ("license", "idiot", "password", "akia")
-    found = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(x)), F.lit(x)) for x in terms]))
-    g = t.documents.select("source", F.explode(found).alias("term")).groupBy("term", "source").agg(F.count("*").alias("n"))
-    return g.withColumn("status", F.when(F.col("n") >= 100, "strong").when(F.col("n") >= 10, "partial").otherwise("weak"))
+    """RUL-10: claims against documents by the features (runs of three words) of a claim that a document holds."""
+    w = T.words(F.col("text"))
+    f = t.benchmark.select(F.col("item_id").alias("claim"), F.explode(D.grams(w, F.lit(3))).alias("g")).select("claim", F.col("g.gram").alias("feature")).distinct()
+    n = f.groupBy("claim").agg(F.count("*").alias("features"))
+    held = D.dictionary_matches(t.documents, f.select(F.col("feature").alias("term"))).select("doc_id", F.col("term").alias("feature"))
+    m = held.join(f, "feature").groupBy("claim", "doc_id").agg(F.count("*").alias("shared")).join(n, "claim")
+    return m.select("claim", "doc_id", "shared", F.when(F.col("shared") >= F.col("features") * 0.8, "disclosed").when(F.col("shared") >= F.col("features") * 0.3, "partial").otherwise("trace").alias("status"))
 
 
 @query("rul11_15_validators", """
 WITH d AS (SELECT doc_id, text, lang, n_chars, count(*) OVER (PARTITION BY doc_id) AS same FROM documents)
 SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'language' END, CASE WHEN n_chars <> length(text) THEN 'length' END, CASE WHEN same > 1 THEN 'duplicate' END], lambda x: x IS NOT NULL)) AS problem FROM d) GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    """RUL-9, RUL-11, RUL-15: required fields, enumerations, lengths, duplicate ids."""
+    """RUL-11: required fields, enumerations, lengths, duplicate ids."""
     twice = t.documents.groupBy("doc_id").agg(F.count("*").alias("same")).filter("same > 1")
     d = t.documents.select("doc_id", "text", "lang", "n_chars").join(twice, "doc_id", "left")
     checks = {
@@ -136,11 +156,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("ups2_composite_identity", """
-WITH o AS (SELECT l_orderkey || ':' || l_linenumber AS k, min(l_linestatus) AS content FROM lineitem WHERE l_quantity < 10 GROUP BY 1), n AS (SELECT l_orderkey || ':' || l_linenumber AS k, min(l_returnflag) AS content FROM lineitem WHERE l_quantity < 5 GROUP BY 1)
+WITH o AS (SELECT l_orderkey || ':' || l_linenumber AS k, min(l_linestatus) AS content FROM lineitem GROUP BY 1), n AS (SELECT l_orderkey || ':' || l_linenumber AS k, min(l_returnflag) AS content FROM lineitem WHERE l_quantity < 5 GROUP BY 1)
 SELECT o.k, coalesce(n.content, o.content) AS content, CASE WHEN n.content <> o.content THEN 2 ELSE 1 END AS version FROM o LEFT JOIN n ON o.k = n.k""")
 def _(t: Tables) -> DataFrame:
     """UPS-2: identity from several parts, a new version where the content differs."""
     k = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k")
-    old = t.lineitem.filter("l_quantity < 10").groupBy(k).agg(F.min("l_linestatus").alias("content"), F.lit(1).alias("version"))
+    old = t.lineitem.groupBy(k).agg(F.min("l_linestatus").alias("content"), F.lit(1).alias("version"))
     new = t.lineitem.filter("l_quantity < 5").groupBy(k).agg(F.min("l_returnflag").alias("content"))
     return R.upsert_with_history(old, new, ["k"], ["content"]).drop("status")

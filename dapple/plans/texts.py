@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dapple.functions import text as T
+from dapple.operators import dictionary as D
+from dapple.operators import evidence as E
 from dapple.operators import search as S
+from dapple.operators.storage import fresh_path
 from dapple.plans.registry import Tables, query
 
 _PARTS = r"""
@@ -25,28 +28,49 @@ hits AS (SELECT doc_id, chunk, sum(part) AS score, count(*) AS n_terms FROM sc G
 SELECT doc_id, chunk, round(score, 6) AS score, n_terms FROM hits WHERE n_terms = {len(terms)} OR (SELECT max(n_terms) FROM hits) < {len(terms)} ORDER BY round(score, 9) DESC, doc_id, chunk LIMIT 20"""
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(t: Tables) -> S.Index:
+    """The index of the documents: written once a session for a state of the table, and read from then on."""
+    key = (t.spark.sparkContext.applicationId, t.folder, tuple(t.documents.inputFiles()))
+    if key not in _STORED:
+        folder = fresh_path(t.spark, "index")
+        S.write_index(t.documents, folder)
+        _STORED[key] = folder
+    return S.open_index(t.spark, _STORED[key])
+
+
 @query("fts_passage_search", _bm25_sql("license", "under"))
 def _(t: Tables) -> DataFrame:
-    """FTS-2, FTS-3, FTS-4, SRT-3: passages that hold all terms, by BM25."""
-    parts = S.passages(t.documents)
-    return S.bm25(S.postings(parts), S.statistics(parts), ["license", "under"])
+    """FTS-2, FTS-3, FTS-4, SRT-3: passages that hold all terms, by BM25, from the stored index."""
+    i = stored_index(t)
+    return S.bm25(i.postings, i.statistics, ["license", "under"])
 
 
 @query("fts4_any_fallback", _bm25_sql("idiot", "licensed", "qqqq"))
 def _(t: Tables) -> DataFrame:
     """FTS-4: one term occurs nowhere, so any term counts."""
-    parts = S.passages(t.documents)
-    return S.bm25(S.postings(parts), S.statistics(parts), ["idiot", "licensed", "qqqq"])
+    i = stored_index(t)
+    return S.bm25(i.postings, i.statistics, ["idiot", "licensed", "qqqq"])
+
+
+@query("fts1_trigram_index", f"WITH {_PARTS} SELECT g AS gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT doc_id, chunk, substr(x, CAST(i AS INTEGER), 3) AS g FROM (SELECT doc_id, chunk, lower(content) AS x, unnest(range(1, greatest(length(content) - 1, 1))) AS i FROM parts WHERE length(content) >= 3)) GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """FTS-1: the stored trigram postings of all passages, counted."""
+    return stored_index(t).trigrams.groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query("fts1_trigram_index", r"SELECT g, count(DISTINCT item_id) AS df, count(*) AS n FROM (SELECT item_id, substr(x, CAST(i AS INTEGER), 3) AS g FROM (SELECT item_id, lower(text) AS x, unnest(range(1, greatest(length(text) - 1, 1))) AS i FROM benchmark WHERE length(text) >= 3)) GROUP BY 1")
+@query("fts1_trigram_search", f"WITH {_PARTS} SELECT doc_id, chunk FROM parts WHERE contains(lower(content), 'licens')")
 def _(t: Tables) -> DataFrame:
-    """FTS-1, FTS-7: trigram postings, counted; texts under three characters have none."""
-    x = F.lower("text")
-    at = F.sequence(F.lit(1), F.length("text") - 2)
-    rows = t.benchmark.filter(F.length("text") >= 3).select("item_id", F.explode(F.transform(at, lambda i: F.substring(x, i, F.lit(3)))).alias("g"))
-    once = rows.groupBy("g", "item_id").agg(F.count("*").alias("n"))
-    return once.groupBy("g").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    """FTS-1: passages that hold a part of a word, by their trigrams."""
+    return S.passages_with(stored_index(t), "Licens")
+
+
+@query("fts7_short_term", f"WITH {_PARTS} SELECT doc_id, chunk FROM parts WHERE contains(lower(content), '@')")
+def _(t: Tables) -> DataFrame:
+    """FTS-7: a term too short for trigrams is looked for in all passages."""
+    return S.passages_with(stored_index(t), "@")
 
 
 @query("fts5_snippet", "SELECT doc_id, substr(text, greatest(p - 35, 1), p - greatest(p - 35, 1)) || '<mark>' || substr(text, p, 5) || '</mark>' || substr(text, p + 5, 65) AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'under') AS p FROM documents) WHERE p > 0")
@@ -55,19 +79,27 @@ def _(t: Tables) -> DataFrame:
     return t.documents.filter(F.contains(F.lower("text"), F.lit("under"))).select("doc_id", T.snippet(F.col("text"), "under").alias("snippet"))
 
 
-@query("fts6_index_update", rf"WITH {_PARTS} SELECT term, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE doc_id % 50 <> 7 GROUP BY 1 HAVING count(*) >= 20")
+@query("fts6_index_update", _PARTS.join(["WITH ", ""]).replace("coalesce(text, '') AS text, unnest(range(0, CAST(greatest(ceil((length(coalesce(text, '')) - 1200)", "x AS text, unnest(range(0, CAST(greatest(ceil((length(x) - 1200)").replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 8 THEN 'Revised. ' || coalesce(text, '') ELSE coalesce(text, '') END AS x FROM documents WHERE doc_id % 50 <> 7))") + " SELECT term, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    """FTS-6: documents leave the index and others come back changed. (Here they return as they were.)"""
+    """FTS-6: some documents leave the index and others come back changed; the postings of the rest stay as stored."""
     d = t.documents.select("doc_id", "text")
-    index = S.postings(S.passages(d))
-    changed = d.filter("doc_id % 50 = 8")
-    new = S.replace_documents(index, S.passages(changed), d.filter("doc_id % 50 IN (7, 8)"))
-    return new.groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).filter("n >= 20")
+    changed = d.filter("doc_id % 50 = 8").select("doc_id", F.concat(F.lit("Revised. "), F.coalesce("text", F.lit(""))).alias("text"))
+    new = S.replace_documents(stored_index(t).postings, S.passages(changed), d.filter("doc_id % 50 IN (7, 8)"))
+    return new.groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+
+
+@query("fts9_categories", "SELECT p_partkey, CAST(4 * (p_name = 'red ring')::INT + 2 * (p_type IN ('PROMO', 'SMALL'))::INT + (p_name ILIKE '%red%')::INT + (p_name ILIKE '%bolt%')::INT AS INT) AS score FROM part WHERE p_name = 'red ring' OR p_type IN ('PROMO', 'SMALL') OR p_name ILIKE '%red%' OR p_name ILIKE '%bolt%'")
+def _(t: Tables) -> DataFrame:
+    """FTS-9: identity 4, category 2, each feature 1; rows without any go."""
+    score = (F.col("p_name") == "red ring").cast("int") * 4 + F.col("p_type").isin("PROMO", "SMALL").cast("int") * 2
+    for feature in ("red", "bolt"):
+        score = score + F.col("p_name").ilike(f"%{feature}%").cast("int")
+    return t.part.select("p_partkey", score.alias("score")).filter("score > 0")
 
 
 @query("fts8_weighted_keywords", "SELECT p_partkey, CAST((p_name ILIKE '%a%')::INT * 3 + (p_type ILIKE '%e%')::INT * 2 + (p_brand ILIKE '%2%')::INT AS INT) AS score FROM part")
 def _(t: Tables) -> DataFrame:
-    """FTS-8, FTS-9: weights of the fields that hold a keyword."""
+    """FTS-8: weights of the fields that hold a keyword."""
     score = sum(F.col(c).ilike(p).cast("int") * w for c, p, w in (("p_name", "%a%", 3), ("p_type", "%e%", 2), ("p_brand", "%2%", 1)))
     return t.part.select("p_partkey", score.alias("score"))
 
@@ -94,11 +126,35 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(alias("$.k"), alias("$.key"), F.lit("none")).alias("k"))
 
 
-@query("prj4_jsn_flatten", "SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+_JSON = """
+WITH j AS (SELECT o_orderkey AS id, o_orderkey % 3 AS a, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS b, o_orderpriority AS c, o_custkey AS d FROM orders)"""
+
+
+def payloads(t: Tables, later: bool = False) -> DataFrame:
+    """Nested JSON of each order; in its later form some leaves are new, gone or changed."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 5 != 0, F.when(F.lit(later) & (k % 7 == 0), F.lit("X")).otherwise(F.col("o_orderstatus")))
+    items = F.array(F.struct(F.col("o_orderpriority").alias("p")), F.struct(F.col("o_custkey").cast("string").alias("p")))
+    items = F.when(F.lit(later) & (k % 11 == 0), F.slice(items, 1, 1)).otherwise(items)
+    more = F.when(F.lit(later) & (k % 13 == 0), "new")
+    return t.orders.select(k.alias("id"), F.to_json(F.struct((k % 3).alias("a"), F.struct(status.alias("b"), more.alias("n")).alias("s"), items.alias("items"))).alias("json"))
+
+
+@query("prj4_jsn_flatten", f"""{_JSON}
+SELECT id, 'a' AS path, CAST(a AS VARCHAR) AS value FROM j UNION ALL SELECT id, 's.b', '"' || b || '"' FROM j WHERE b IS NOT NULL
+UNION ALL SELECT id, 'items[0].p', '"' || c || '"' FROM j UNION ALL SELECT id, 'items[1].p', '"' || d || '"' FROM j""")
 def _(t: Tables) -> DataFrame:
-    """PRJ-4, JN-12: JSON objects as (path, value) rows."""
-    flat = F.from_json("props", "map<string,string>")
-    return t.events.select("event_id", F.explode(flat).alias("path", "value")).filter("value IS NOT NULL")
+    """PRJ-4, JSN-1: nested JSON as (path, value) rows."""
+    return E.json_leaves(payloads(t), "id", "json")
+
+
+@query("jn12_json_diff", f"""{_JSON}
+SELECT id, 's.b' AS path, 'modified' AS kind, '"' || b || '"' AS old, '"X"' AS new FROM j WHERE b IS NOT NULL AND id % 7 = 0 AND b <> 'X'
+UNION ALL SELECT id, 'items[1].p', 'deleted', '"' || d || '"', NULL FROM j WHERE id % 11 = 0
+UNION ALL SELECT id, 's.n', 'added', NULL, '"new"' FROM j WHERE id % 13 = 0""")
+def _(t: Tables) -> DataFrame:
+    """JN-12: leaves added, deleted, modified between two states of nested JSON."""
+    return E.json_diff(payloads(t), payloads(t, later=True), "id", "json")
 
 
 @query("prj5_priority", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 ELSE 99 END AS priority FROM events")
@@ -122,12 +178,9 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", T.compact_name(F.col("c_name")).alias("name"), T.stable_id(F.col("c_name"), F.col("c_mktsegment")).alias("id"))
 
 
-_BRANDS = "WITH p AS (SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE p_partkey <= 400)"
-
-
 @query("str3_4_similar_names")
 def _(t: Tables) -> DataFrame:
-    """STR-3, STR-4, JN-13, JN-14: similar names within a block; the ratio runs on distinct names of a block only.
+    """STR-3, STR-4, JN-13: similar names within a block; the ratio runs on distinct names of a block only.
 
     The ratio is at most 2 * shorter / (shorter + longer), so pairs whose lengths bound it below the threshold
     never reach it. It depends on the order of its texts, so both orders of two names are scored.
@@ -136,41 +189,30 @@ def _(t: Tables) -> DataFrame:
     q = p.select(F.col("a").alias("b"), F.col("x").alias("y"), "p_brand", "p_size")
     most = F.round(2 * F.least(F.length("x"), F.length("y")) / (F.length("x") + F.length("y")), 4)
     names = p.drop("a").distinct().join(q.drop("b").distinct(), ["p_brand", "p_size"]).filter((F.col("x") == F.col("y")) | (most >= 0.6))
-    score = F.when(F.col("x") == F.col("y"), 1.0).when(T.contained_ratio(F.col("x"), F.col("y")) >= 0.6, 0.94).otherwise(T.sequence_ratio("x", "y"))
+    score = D.material_score(F.col("x"), F.col("y"))
     names = names.withColumn("score", F.round(score, 4)).filter("score >= 0.6")
     return names.join(p, ["p_brand", "p_size", "x"]).join(q, ["p_brand", "p_size", "y"]).filter("a < b").select("a", "b", "score")
 
 
-@query("sim1_3_jaccard", """
-WITH p AS (SELECT p_partkey, p_brand, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, CAST(i AS INTEGER), 3))) AS g FROM part),
-j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.g, b.g)) AS s, len(a.g) AS x, len(b.g) AS y FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_partkey - a.p_partkey <= 50)
-SELECT a, b, round(80.0 * s / (x + y - s), 4) AS score FROM j WHERE x + y - s > 0 AND 80.0 * s / (x + y - s) >= 20""")
+@query("jn14_best_directory")
 def _(t: Tables) -> DataFrame:
-    """SIM-1, SIM-3: trigram Jaccard of names within a block."""
-    p = t.part.select(F.col("p_partkey").alias("a"), "p_brand", T.ngrams(F.col("p_name"), 3).alias("g"))
-    q = p.select(F.col("a").alias("b"), "p_brand", F.col("g").alias("h"))
-    score = T.jaccard(F.col("g"), F.col("h")) * 80
-    return p.join(q, "p_brand").filter("a < b AND b - a <= 50").select("a", "b", F.round(score, 4).alias("score"), score.alias("s")).filter("s >= 20").drop("s")
+    """JN-14: for each name of a list and each type of the directory, all entries of the best score from 0.88 on."""
+    misspelt = F.regexp_replace(F.regexp_replace("p_name", "ll", "l"), "bolt$", "bolts")
+    return D.best_entries(t.part.select(misspelt.alias("item")), t.part.select("p_type", F.col("p_name").alias("entry")), "item", "p_type", "entry")
 
 
-@query("sim1_3_jaccard_names")
+@query("sim1_3_jaccard", """
+WITH p AS (SELECT DISTINCT p_brand, p_name AS x, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, CAST(i AS INTEGER), 3))) AS g FROM part WHERE p_name <> ''),
+j AS (SELECT a.p_brand, a.x, b.x AS y, CASE WHEN a.x = b.x THEN 100.0 WHEN contains(b.x, a.x) AND length(a.x) >= 3 THEN 85 + least(10.0, 10.0 * length(a.x) / length(b.x)) ELSE 80.0 * len(list_intersect(a.g, b.g)) / greatest(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)), 1) END AS s FROM p a JOIN p b ON a.p_brand = b.p_brand)
+SELECT p_brand, x, y, round(CAST(s AS DOUBLE), 4) AS score FROM j WHERE s >= 20""")
 def _(t: Tables) -> DataFrame:
-    """SIM-1, SIM-3 without a window of ids: pairs of distinct names of a brand with their trigram Jaccard.
-
-    A Jaccard of 1/4 needs a quarter of each name's trigrams shared, so both hold one among their first in order,
-    beyond which less than a quarter is left. ``sim1_3_name_parts`` has the parts of each name.
-    """
-    p = t.part.select("p_brand", F.col("p_name").alias("x")).distinct()
-    g = p.withColumn("g", F.array_sort(T.ngrams(F.col("x"), 3))).filter(F.size("g") > 0)
-    g = g.select("p_brand", "x", F.explode(F.slice("g", 1, F.size("g") - F.floor((F.size("g") + 3) / 4).cast("int") + 1)).alias("gram"))
-    met = g.join(g.withColumnRenamed("x", "y"), ["p_brand", "gram"]).filter("x < y").select("p_brand", "x", "y").distinct()
-    score = T.jaccard(T.ngrams(F.col("x"), 3), T.ngrams(F.col("y"), 3)) * 80
-    return met.withColumn("s", score).filter("s >= 20").select("p_brand", "x", "y", F.round("s", 4).alias("score"))
+    """SIM-1, SIM-3: tiered scores of all pairs of distinct names of a brand. ``sim1_3_name_parts`` has the parts of each name."""
+    return D.similar_names(t.part, "p_brand", "p_name", 20.0)
 
 
 @query("sim1_3_name_parts", "SELECT p_brand, p_name AS x, p_partkey AS a FROM part")
 def _(t: Tables) -> DataFrame:
-    """SIM-1, SIM-3: the parts behind each name of ``sim1_3_jaccard_names``."""
+    """SIM-1, SIM-3: the parts behind each name of ``sim1_3_jaccard``."""
     return t.part.select("p_brand", F.col("p_name").alias("x"), F.col("p_partkey").alias("a"))
 
 
@@ -197,22 +239,33 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.trim(F.regexp_replace(head, r"\s+", " ")).alias("head"))
 
 
-@query("str9_entities", r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+'))) AS entity FROM documents")
+@query("str9_entities", r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+e AS (SELECT doc_id, line, 'mail' AS kind, unnest(m) AS entity, unnest(range(1, len(m) + 1)) AS seq FROM (SELECT doc_id, line, regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+') AS m FROM l)
+ UNION ALL SELECT doc_id, line, 'name', unnest(m), unnest(range(1, len(m) + 1)) FROM (SELECT doc_id, line, regexp_extract_all(x, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)+') AS m FROM l))
+SELECT doc_id, CAST(line AS INTEGER) AS line, kind, CAST(seq AS INTEGER) AS seq, entity FROM e""")
 def _(t: Tables) -> DataFrame:
-    """STR-9: distinct entities of each text by a pattern."""
-    return t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"), F.lit(0)))).alias("entity"))
+    """STR-9: names of several capitalised words and mail addresses, by line and order in the line."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    kinds = {"mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "name": r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+"}
+
+    def numbered(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda m, k: F.struct(F.lit(kind).alias("kind"), (k + 1).alias("seq"), m.alias("entity")))
+
+    found = [numbered(kind, F.regexp_extract_all("x", F.lit(p), F.lit(0))) for kind, p in kinds.items()]
+    return lines.select("doc_id", (F.col("i") + 1).alias("line"), F.explode(F.concat(*found)).alias("e")).select("doc_id", "line", "e.*")
 
 
-@query("str10_lexical_units", r"SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS unit FROM benchmark")
+@query("str10_lexical_units", r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS unit FROM documents")
 def _(t: Tables) -> DataFrame:
     """STR-10."""
-    return t.benchmark.select("item_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("unit"))
+    return t.documents.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("unit"))
 
 
-@query("str12_clauses", r"SELECT item_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')) AS n FROM benchmark")
+@query("str12_clauses", r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?。！？；;])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')) AS n FROM documents")
 def _(t: Tables) -> DataFrame:
     """STR-12: sentences, split after their closing sign."""
-    return t.benchmark.select("item_id", F.size(T.clauses(F.col("text"))).cast("long").alias("n"))
+    return t.documents.select("doc_id", F.size(T.clauses(F.col("text"))).cast("long").alias("n"))
 
 
 @query("str13_boundary_chunks")
@@ -237,10 +290,15 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", status.alias("status"))
 
 
-@query("dt1_2_dates", r"SELECT item, list_min(y) AS first, list_max(y) AS last FROM (SELECT doc_id AS item, list_transform(regexp_extract_all(text, '(?:^|[^0-9])(20[0-9]{2})(?:$|[^0-9])', 1), lambda x: CAST(x AS INTEGER)) AS y FROM documents) WHERE len(y) > 0")
+@query("dt1_2_dates", """
+WITH x AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), y AS (SELECT k, [d, d + 30, CASE WHEN k % 3 = 0 THEN DATE '2024-02-29' END] AS l FROM x)
+SELECT k, array_to_string(list_transform(list_sort(list_distinct(list_filter(l, lambda v: v IS NOT NULL))), lambda v: strftime(v, '%Y-%m-%d')), ',') AS dates, list_min(list_filter(list_transform(l, lambda v: year(v)), lambda v: v >= 2000)) AS first, list_max(list_filter(list_transform(l, lambda v: year(v)), lambda v: v >= 2000)) AS last FROM y""")
 def _(t: Tables) -> DataFrame:
-    """DT-1, DT-2: years in a text."""
-    return t.documents.select(F.col("doc_id").alias("item"), T.years(F.col("text")).alias("y")).filter(F.size("y") > 0).select("item", F.array_min("y").alias("first"), F.array_max("y").alias("last"))
+    """DT-1, DT-2: dates of several spellings in a text, what is no date left out; the years from 2000 on."""
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    note = F.concat(F.lit("Placed "), F.date_format(d, "yyyy/M/d"), F.lit(", void 1999-02-30 and 1999.13.01, due "), F.date_format(F.date_add(d, 30), "yyyy.MM.dd"), F.when(k % 3 == 0, " or 2024-2-29").otherwise(""), F.lit("."))
+    rows = t.orders.select(k.alias("k"), note.alias("note")).select("k", T.iso_dates(F.col("note")).alias("dates"), T.years(F.col("note")).alias("y"))
+    return rows.select("k", F.array_join("dates", ",").alias("dates"), F.array_min("y").alias("first"), F.array_max("y").alias("last"))
 
 
 @query("dt3_deadlines", "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') AS INTEGER) AS days_left FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') BETWEEN 0 AND 370")
@@ -250,12 +308,13 @@ def _(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", left.alias("days_left")).filter(F.col("days_left").between(0, 370))
 
 
-@query("dt4_backfill", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error'), r AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS DATE) AS d) SELECT strftime(d, '%Y-%m-%d') AS day FROM r WHERE d NOT IN (SELECT d FROM d)")
+@query("dt4_backfill", "WITH h AS (SELECT date_trunc('hour', ts) AS h, event_type FROM events), r AS (SELECT unnest(generate_series((SELECT min(h) FROM h), (SELECT max(h) FROM h), INTERVAL 1 HOUR)) AS h) SELECT strftime(h, '%Y-%m-%d %H') AS slot FROM r WHERE h NOT IN (SELECT h FROM h WHERE event_type = 'error') ORDER BY h DESC LIMIT 100")
 def _(t: Tables) -> DataFrame:
-    """DT-4, WIN-7: days without a run, to be done again."""
-    e = t.events.select(F.to_date("ts").alias("d"), "event_type")
-    span = e.agg(F.min("d").alias("a"), F.max("d").alias("b")).select(F.explode(F.sequence("a", "b")).alias("d"))
-    return span.join(e.filter("event_type = 'error'").select("d").distinct(), "d", "left_anti").select(F.date_format("d", "yyyy-MM-dd").alias("day"))
+    """DT-4, WIN-7: hours without a run, to be done again; the latest hundred at most."""
+    e = t.events.select(F.date_trunc("hour", "ts").alias("h"), "event_type")
+    span = e.agg(F.min("h").alias("a"), F.max("h").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("h"))
+    missing = span.join(e.filter("event_type = 'error'").select("h").distinct(), "h", "left_anti")
+    return missing.orderBy(F.desc("h")).limit(100).select(F.date_format("h", "yyyy-MM-dd HH").alias("slot"))
 
 
 @query("dt5_cooldown", "SELECT user_id, strftime(max(ts) + INTERVAL 7 DAY, '%Y-%m-%d') AS next_day FROM events GROUP BY 1")
@@ -296,10 +355,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("win8_carry_forward", """
-WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE n_chars < 600)), m AS (SELECT *, max(CASE WHEN length(x) > 120 THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS head FROM l WHERE x <> '')
+WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), m AS (SELECT *, max(CASE WHEN length(x) > 120 THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS head FROM l WHERE x <> '')
 SELECT doc_id, CAST(i AS INTEGER) AS line, CASE WHEN i - head <= 3 THEN CAST(head AS INTEGER) END AS head FROM m""")
 def _(t: Tables) -> DataFrame:
     """WIN-8: a heading holds for the lines that follow it, three at most."""
-    lines = t.documents.filter("n_chars < 600").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x")).filter("x <> ''").withColumn("line", F.col("i") + 1)
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x")).filter("x <> ''").withColumn("line", F.col("i") + 1)
     head = F.max(F.when(F.length("x") > 120, F.col("line"))).over(Window.partitionBy("doc_id").orderBy("line"))
     return lines.withColumn("h", head).select("doc_id", "line", F.when(F.col("line") - F.col("h") <= 3, F.col("h")).alias("head"))

@@ -84,6 +84,18 @@ def export_csv(rows: DataFrame, path: str, order: Sequence[str]) -> None:
     rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """SNK-1, SNK-4: a table replaced as a whole; readers see the old or the new one by the job's commit."""
-    rows.write.mode("overwrite").parquet(path)
+def export_json_lines(rows: DataFrame, path: str, order: Sequence[str]) -> None:
+    """SNK-2: ordered JSON lines, canonical."""
+    canonical_json(rows.orderBy(*order)).write.mode("overwrite").text(path)
+
+
+def export_markdown(rows: DataFrame, path: str, order: Sequence[str]) -> None:
+    """SNK-2: ordered rows of pipe tables; each part file begins with the header."""
+    names = rows.columns
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[|\n]", " ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in names]), F.lit(" |")).alias("value")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(line, F.monotonically_increasing_id().alias("n"))
+    first = F.col("n") == F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    head = [F.lit(f"| {' | '.join(names)} |"), F.lit("|" + "---|" * len(names))]
+    lines = F.when(first, F.array(*head, F.col("value"))).otherwise(F.array("value"))
+    dealt.select(F.explode(lines).alias("value")).write.mode("overwrite").text(path)

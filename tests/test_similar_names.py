@@ -17,7 +17,7 @@ def test_similar_names_equal_brute_force(spark, tmp_path):
         short, long_ = sorted((len(x), len(y)))
         if x == y:
             return 1.0
-        if short and (x in y or y in x) and short / long_ >= 0.6:
+        if short >= 4 and (x in y or y in x) and short / long_ >= 0.6:
             return 0.94
         return round(difflib.SequenceMatcher(None, x, y).ratio(), 4)
 
@@ -27,13 +27,15 @@ def test_similar_names_equal_brute_force(spark, tmp_path):
     assert got == want and (1, 61, 0.625) in got
 
 
-def test_jaccard_of_names_has_no_id_window(spark, tmp_path):
+def test_jaccard_of_names_equals_brute_force(spark, tmp_path):
     parts = write_parts(spark, tmp_path)
     grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
-    want = set()
-    for x, y in combinations(sorted({x for _, x in parts}), 2):
-        g, h = grams(x), grams(y)
-        if g | h and len(g & h) / len(g | h) >= 0.25:
-            want.add(("Brand#1", x, y, round(80 * len(g & h) / len(g | h), 4)))
-    assert want and {tuple(r) for r in QUERIES["sim1_3_jaccard_names"](spark, str(tmp_path)).collect()} == want
+    want, names = {("Brand#2", "small rod", "small rod", 100.0)}, {x for _, x in parts} - {""}
+    for x in names:
+        for y in names:
+            g, h = grams(x), grams(y)
+            score = 100.0 if x == y else 85 + min(10, 10 * len(x) / len(y)) if x in y and len(x) > 2 else 80 * len(g & h) / max(1, len(g | h))
+            if score >= 20:
+                want.add(("Brand#1", x, y, round(score, 4)))
+    assert {tuple(r) for r in QUERIES["sim1_3_jaccard"](spark, str(tmp_path)).collect()} == want
     assert QUERIES["sim1_3_name_parts"](spark, str(tmp_path)).count() == len(parts) + 2
