@@ -8,27 +8,30 @@ squares. A query builds one table of 16 entries per subspace and scans the packe
 lookups; the best ``KEEP`` per query go to exact reranking in double precision on the original
 vectors.
 
-The codebook is fitted on a sample of about ``SAMPLE`` vectors drawn by a hash of their id; every
-vector is encoded and searched. Codes are scanned where they lie: queries come in blocks of
+The codebook is fitted on a sample of about ``SAMPLE`` vectors drawn by a hash of their row number;
+every vector is encoded and searched. Codes are scanned where they lie: queries come in blocks of about
 ``QUERY_BLOCK`` and go to each partition, which gives back its best per query; those candidates, a
-bound number for each query and partition, are reduced in two steps.
-
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part;
-vectors of another length than the most frequent one take no part either; repeated ids are
-candidates of their own and a query skips all rows of its own id; ties go to the smaller vec_id;
-fewer candidates than k give all of them; an empty table gives an empty result.
+bound number for each query and partition, are reduced in two steps. A block's result is written
+before the next block begins, so one block is all that the driver and the tasks hold.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
+those with a null vec_id; vectors of another length than the most frequent one take no part either.
+Rows are told apart by a number they get once, in a written table: each query row has a result list of
+its own, also where ids or rows repeat, and skips its own row only. Ties go to the smaller vec_id; fewer
+candidates than k give all of them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dapple.llm.common import batch_rows, stash, table
+from dapple.llm.common import batch_rows, discard, stash, table
 
 SUB = 2
 SAMPLE = 20_000
@@ -37,7 +40,7 @@ KEEP = 300
 QUERY_BLOCK = 20_000
 SHARES = 16
 ROUNDS = 6
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "n long, query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -138,54 +141,59 @@ def column(b: pa.RecordBatch, i: int, dim: int) -> np.ndarray:
     return b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, keep: int = KEEP, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row of ``queries`` (vec_id, embedding)."""
+def search(vectors: DataFrame, asked: Column, k: int = 20, keep: int = KEEP, sample: int = SAMPLE, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row of ``vectors`` for which ``asked`` holds.
+
+    ``asked`` is a condition on vec_id.
+    """
     spark = vectors.sparkSession
-    batch_rows(spark, 10_000)
-    rows, asked = usable(vectors), usable(queries)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = stash(usable(vectors).select(F.monotonically_increasing_id().alias("n"), "vec_id", "v"), "ann-rows")
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
         return empty
     dim, n = sizes[0]["dim"], sizes[0]["n"]
-    rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
-    drawn = rows if n <= sample else rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    alike = rows.filter(F.size("v") == dim)
+    drawn = alike if n <= sample else alike.filter(F.pmod(F.xxhash64("n"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     some = drawn.select("v").toArrow().column("v").combine_chunks()
     book = spark.sparkContext.broadcast(Codebook(some.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)))
+    batch_rows(spark, 10_000)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = pack(book.value.encode(column(b, 1, dim)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), b.column(1)], names=["vec_id", "code", "v"])
+            packed = pack(book.value.encode(column(b, 2, dim)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in packed], pa.binary()), b.column(2)], names=["n", "vec_id", "code", "v"])
 
-    index = stash(rows.mapInArrow(encode, "vec_id long, code binary, v array<double>"), "ann-index")
-    out, blocks = None, max(1, -(-asked.count() // QUERY_BLOCK))
+    index = stash(alike.mapInArrow(encode, "n long, vec_id long, code binary, v array<double>"), "ann-index")
+    queries = index.filter(asked)
+    found, blocks = [], max(1, -(-queries.count() // query_block))
     for block in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)) == block)
-        got = own.toArrow()
-        q_ids = got.column("vec_id").to_numpy()
-        q = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if got.num_rows else np.empty((0, dim))
-        held = spark.sparkContext.broadcast((q_ids, q))
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("n", F.lit(5)), F.lit(blocks)) == block)
+        got = own.select("n", "vec_id", "v").toArrow()
+        if not got.num_rows:
+            continue
+        q = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        held = spark.sparkContext.broadcast((got.column("n").to_numpy(), got.column("vec_id").to_numpy(), q))
 
         def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, vecs = held.value
+            numbers, ids, vecs = held.value
             kept: list = []
             for b in batches:
-                v_ids, v = b.column(0).to_numpy(zero_copy_only=False), column(b, 2, dim)
-                packed = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(v_ids), -1)
-                found = []
+                own, v_ids, v = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), column(b, 3, dim)
+                packed = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(v_ids), -1)
+                best = []
                 for a in range(0, len(ids), 256):
                     part = vecs[a : a + 256]
                     score = scan(book.value.tables(part), packed)
-                    score[ids[a : a + 256, None] == v_ids[None, :]] = -np.inf
+                    score[numbers[a : a + 256, None] == own[None, :]] = -np.inf
                     at = best_of(score, keep)
                     exact = np.einsum("qd,qkd->qk", part, v[at])
-                    exact[ids[a : a + 256, None] == v_ids[at]] = -np.inf
+                    exact[numbers[a : a + 256, None] == own[at]] = -np.inf
                     # the best of the exact scores, ties to the smaller id
                     order = np.lexsort((v_ids[at], -exact), axis=1)[:, :k]
-                    found.append((np.take_along_axis(v_ids[at], order, 1), np.take_along_axis(exact, order, 1)))
-                if found:
-                    new = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                    best.append((np.take_along_axis(v_ids[at], order, 1), np.take_along_axis(exact, order, 1)))
+                if best:
+                    new = np.concatenate([x for x, _ in best]), np.concatenate([x for _, x in best])
                     if kept:
                         both, score = np.concatenate([kept[0], new[0]], 1), np.concatenate([kept[1], new[1]], 1)
                         order = np.lexsort((both, -score), axis=1)[:, :k]
@@ -193,18 +201,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, keep: int = KEEP
                     kept = list(new)
             if kept:
                 real = np.isfinite(kept[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(kept[0][real]), pa.array(kept[1][real])], names=["query_id", "vec_id", "score"])
+                each = real.sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, each)), pa.array(np.repeat(ids, each)), pa.array(kept[0][real]), pa.array(kept[1][real])], names=["n", "query_id", "vec_id", "score"])
 
-        part = index.mapInArrow(look, FOUND)
-        out = part if out is None else out.unionByName(part)
-    place = F.struct((-F.col("score")).alias("s"), F.col("vec_id"))
-    # first within shares of a query's finds, so that no group grows with the number of partitions alone
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(SHARES)).alias("share")
-    some = out.groupBy("query_id", share).agg(F.slice(F.array_sort(F.collect_list(place)), 1, k).alias("best"))
-    best = some.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+        place = F.struct((-F.col("score")).alias("s"), F.col("vec_id"))
+        # first within shares of a query's finds, so that no group grows with the number of partitions alone
+        share = F.pmod(F.xxhash64("vec_id"), F.lit(SHARES)).alias("share")
+        part = index.mapInArrow(look, FOUND).groupBy("n", "query_id", share).agg(F.slice(F.array_sort(F.collect_list(place)), 1, k).alias("best"))
+        best = part.groupBy("n", "query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+        out = best.select("query_id", F.posexplode("best").alias("rank", "x"))
+        found.append(stash(out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score")), "ann-found"))
+        held.unpersist()
+    discard(rows, index)
+    return reduce(DataFrame.unionByName, found) if found else empty
 
 
 def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return search(vectors, vectors.filter("vec_id % 20 = 0"))
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
