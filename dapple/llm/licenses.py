@@ -3,11 +3,12 @@
 A text is brought to a canonical form (lower case, equivalent spellings, copyright lines and
 punctuation gone, single spaces) and its SHA-256 is hash-joined to the digests of known licences in
 the same form. The whole text is looked up, and so is each of its lines and each block of lines
-between empty ones, so licence statements within a document are found as well; a statement must be
-an entire line, block or text.
+between lines without letters and digits, so licence statements within a document are found as well;
+a statement must be an entire line, block or text. A text is normalised once for all of these.
 
-The known texts are short public statements and licences, ``LICENCES``; ``known`` takes more as a
-table of (licence, text). That table is broadcast only while its rows stay within ``BROADCAST_ROWS``.
+The known texts are the whole public licences in ``licence_texts`` (by SPDX name; those of a page or
+less also under a heading) and short public statements, ``STATEMENTS``; ``known`` takes more as a table
+of (licence, text). That table is broadcast only while its rows stay within ``BROADCAST_ROWS``.
 Lines are reduced to distinct digests before the join, so a line that a third of all rows hold
 meets the known digests once per task.
 
@@ -18,6 +19,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +29,8 @@ from dapple.llm.common import stash, table, text_of
 
 BROADCAST_ROWS = 100_000
 
-#: Public licence statements by SPDX name.
-LICENCES = (
+#: Short public licence statements by SPDX name.
+STATEMENTS = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -53,6 +57,20 @@ LICENCES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Headings under which short licences stand.
+HEADINGS = {"MIT": ("MIT License", "The MIT License (MIT)", "The MIT License"), "ISC": ("ISC License",), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "Zlib": ("zlib License",), "0BSD": ("BSD Zero Clause License",)}
+
+
+def _whole_licences() -> Iterator[tuple[str, str]]:
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        yield path.stem, text
+        for heading in HEADINGS.get(path.stem, ()):
+            yield path.stem, f"{heading}\n\n{text}"
+
+
+LICENCES = (*STATEMENTS, *_whole_licences())
+
 #: Spellings that count as one, as words of the canonical form.
 SPELLINGS = (
     ("licence", "license"),
@@ -65,22 +83,44 @@ SPELLINGS = (
     ("merchantibility", "merchantability"),
     ("non commercial", "noncommercial"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("version", "v"),
     ("https", "http"),
 )
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*+(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*+$"
+#: What a copyright line has after signs at its start: the word with a sign or year, the sign with a year, the usual formula.
+COPYRIGHT = r"copyright\s*(?:\(c\)|©|:|by\b)|copyright\b[^\n]*\b[12][0-9]{3}\b|(?:\(c\)|©)\s*(?:copyright\b|[12][0-9]{3}\b)|all rights reserved"
+COPYRIGHT_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n©(]*+(?:{COPYRIGHT})[^\n]*+$"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; '' if nothing is left."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]++", " "))
-    out = F.concat(F.lit(" "), out, F.lit(" "))
+#: In a marked text: stands for a copyright line, which goes, but leaves its place a line.
+GONE = "\x01"
+
+
+def marked(text: Column) -> Column:
+    """A text in lower case, with lines as they are, two spaces for each run of other signs, single words respelt."""
+    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, GONE)
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}\n{GONE}]++", "  ")
+    # every word has spaces of its own on both sides, so neighbours are respelt alike
+    out = F.concat(F.lit(" "), F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    for old, new in SPELLINGS:
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new} "))
+    return out
+
+
+def finished(part: Column) -> Column:
+    """The canonical form of a part of a marked text: words with single spaces; '' if nothing is left."""
+    out = F.regexp_replace(part, rf"[\x20\n{GONE}]++", " ")
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+        if " " in old:  # across lines
+            out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.trim(out)
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form; '' if nothing is left."""
+    return finished(marked(text))
+
+
 def digest(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.unhex(F.sha2(text, 256)))
 
@@ -94,22 +134,22 @@ def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFr
 
 
 def units_of(text: Column) -> Column:
-    """The whole text, then its blocks and lines where it has several; each with its kind."""
+    """Of a marked text the whole, then its blocks and lines where it has several; each with its kind."""
 
     def kind(name: str, parts: Column, least: int) -> Column:
-        parts = F.filter(parts, lambda p: F.lit(least == 1) | (F.length(p) > 0))
+        parts = F.filter(parts, lambda p: F.length(F.trim(F.replace(p, F.lit("\n"), F.lit(" ")))) > 0) if least > 1 else parts
         return F.transform(F.when(F.size(parts) >= least, parts).otherwise(F.slice(parts, 1, 0)), lambda p: F.struct(F.lit(name).alias("unit"), p.alias("part")))
 
-    return F.concat(kind("text", F.array(text), 1), kind("block", F.split(text, r"(?:\r?\n[\x20\t]*){2,}"), 2), kind("line", F.split(text, r"\r?\n"), 2))
+    return F.concat(kind("text", F.array(text), 1), kind("block", F.split(text, r"\n\x20*(?:\n\x20*)+"), 2), kind("line", F.split(text, r"\n"), 2))
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, whole (licence of the entire text), licences (of all units, distinct, in order), n_units (that match)."""
     digests = stash(known_digests(docs.sparkSession, known), "licence-digests")
     side = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", marked(text_of()).alias("text"))
     units = rows.select("rid", "doc_id", F.explode(units_of(F.col("text"))).alias("u"))
-    units = units.select("rid", "doc_id", F.col("u.unit").alias("unit"), canonical(F.col("u.part")).alias("form"))
+    units = units.select("rid", "doc_id", F.col("u.unit").alias("unit"), finished(F.col("u.part")).alias("form"))
     hits = units.select("rid", "doc_id", "unit", digest(F.col("form")).alias("digest")).join(side, "digest", "left")
     # sums over the units of a document are made where it was read; one row a document is shuffled
     out = hits.groupBy("rid", "doc_id").agg(
@@ -130,11 +170,11 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"trim(regexp_replace(regexp_replace(lower({text}), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    out = f"' ' || {out} || ' '"
+    out = f"trim(regexp_replace(regexp_replace(lower({text}), '(?m)^[^\\p{{L}}\\p{{N}}\\n©(]*(?:{COPYRIGHT})[^\\n]*$', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'))"
+    out = f"'  ' || {out} || '  '"
     for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new} ')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
 ORACLE = f"""
@@ -145,8 +185,8 @@ WITH known AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), parts AS (
   SELECT rid, 'text' AS unit, [text] AS p FROM docs
-  UNION ALL SELECT rid, 'block', list_filter(regexp_split_to_array(text, '(?:\r?\n[\x20\t]*){{2,}}'), lambda x: x <> '') FROM docs
-  UNION ALL SELECT rid, 'line', list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: x <> '') FROM docs
+  UNION ALL SELECT rid, 'block', list_filter(regexp_split_to_array(text, '\n(?:[^\\p{{L}}\\p{{N}}©\n]*\n)+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}©]')) FROM docs
+  UNION ALL SELECT rid, 'line', list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}©]')) FROM docs
 ), units AS (
   SELECT rid, unit, unnest(p) AS part FROM parts WHERE unit = 'text' OR len(p) >= 2
 ), hits AS (

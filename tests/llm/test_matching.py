@@ -167,7 +167,7 @@ def test_search_recall_and_ties(spark):
     vectors = [(i, rng.normal(size=24).tolist()) for i in range(1500)] + [(5000 + i, [1.0] * 24) for i in range(3)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
     queries = [x for x in vectors if x[0] % 20 == 0]
-    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in annsearch.search(df, df.filter("vec_id % 20 = 0"), keep=200).collect()}
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in annsearch.search(df, F.col("vec_id") % 20 == 0, keep=200, query_block=30).collect()}
     want = brute(vectors, queries, 20)
     assert len(got) == len(want) and len({(a, c) for a, _, c in got} & {(a, c) for a, _, c in want}) / len(want) >= 0.9
 
@@ -175,6 +175,38 @@ def test_search_recall_and_ties(spark):
 def test_search_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [2.0, -1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in annsearch.search(df, df.filter("vec_id % 20 = 0")).collect())
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in annsearch.search(df, F.col("vec_id") % 20 == 0).collect())
     assert got == [(1, 1, 2.0), (2, 1, 2.0), (3, 2, 2.0)]
-    assert annsearch.search(df.limit(0), df).collect() == []
+    assert annsearch.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_search_repeated_queries(spark):
+    """Rows alike are queries and candidates of their own."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 60)]
+    twice = [(20, [3.0] * 8), (20, [3.0] * 8), (20, [1.0] * 8)]
+    df = spark.createDataFrame([x for x in rows if x[0] % 20] + twice, "vec_id long, embedding array<double>")
+    got = annsearch.search(df, F.col("vec_id") % 20 == 0, k=5).collect()
+    assert len(got) == 15 and sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4, 5] * 3)
+    # of the two alike each has the other, then the third, among its own
+    assert sorted(r["score"] for r in got if r["vec_id"] == 20) == [24.0, 24.0, 24.0, 24.0, 72.0, 72.0]
+
+
+def test_leaks_of_repetitive_texts():
+    """Items and texts that repeat a few characters: bounded work, and what full alignment finds."""
+    r = random.Random(8)
+    for unit, n in (("ab ", 60), ("a", 100), ("xyz xy ", 20)):
+        item = decontam.normal(unit * n)
+        index = decontam.Index([(1, item), (2, decontam.normal(prose(5, 30)))])
+        for extra in (0, 1, 40):
+            p = list(unit * (n + extra))
+            for _ in range(r.randrange(0, 5)):
+                p[r.randrange(len(p))] = "q"
+            text = decontam.normal(f"{prose(3, 9)} {''.join(p)} {prose(4, 4)}")
+            best = edit_distance_within(item, text)
+            hits = [h for h in index.find([text])[0] if h[0] == 1]
+            assert bool(hits) == (best <= index.edits[0]) and all(h[3] == best for h in hits)
+    item = decontam.normal("ab " * 400)
+    index = decontam.Index([(1, item)])
+    assert [h[3] for h in index.find(["ab " * 30_000])[0]] == [0]
+    assert [h[3] for h in index.find([("ab " * 399 + "qq ") * 60])[0]] == [2]

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,27 @@ def test_licences(spark, odd_rows):
     assert {r["doc_id"]: r["whole"] for r in licenses.scan_licences(make(spark, [(1, "My very, own TERMS!", "a")]), own).collect()} == {1: "Own"}
 
 
+def test_whole_licences(spark):
+    """Files of whole licences, wrapped anew, in other case, spelling and punctuation, with a copyright line of their own."""
+    rows, want = [], {}
+    for i, (name, text) in enumerate(licenses.LICENCES[len(licenses.STATEMENTS) :]):
+        own = f"Copyright (C) {2000 + i} Somebody Else\n\n{text}"
+        rows += [(3 * i, own.replace("\r", ""), "s"), (3 * i + 2, text + " x", "s")]
+        want |= {3 * i: name, 3 * i + 2: None}
+        if name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "Unlicense", "CC0-1.0"):  # no copyright line within
+            rows.append((3 * i + 1, "\n".join(textwrap.wrap(re.sub(r"\bLICENSE\b", "LICENCE", text.upper()).replace("SUBLICENSE", "SUBLICENCE"), 50)).replace(",", " ; "), "s"))
+            want[3 * i + 1] = name
+    got = {r["doc_id"]: r["whole"] for r in licenses.scan_licences(make(spark, rows)).collect()}
+    assert got == want and {"MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "MPL-2.0", "ISC", "Zlib", "Unlicense", "CC0-1.0"} <= set(want.values())
+
+
+def test_canonical_form_is_stable(spark):
+    texts = ["licence licence LICENCE, non-commercial non\ncommercial", "sub licence\nsub-licence", "x (c) y\n© 2020 z\nCopyright notice stays", "a\n---\nb", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("c", licenses.canonical(F.col("t"))).withColumn("d", licenses.canonical(F.col("c")))
+    got = df.collect()
+    assert [r["c"] for r in got] == [r["d"] for r in got] == ["license license license noncommercial noncommercial", "sublicense sublicense", "x c y copyright notice stays", "a b", ""]
+
+
 def test_rollups_are_idempotent(spark, tmp_path):
     schema = "kind string, source string, lang string, tokenizer string, n_tokens long, old_tokens long, extra int"
     e = spark.createDataFrame([("insert", "a", "en", "t", 5, None, 1), ("insert", "a", "en", "t", 7, None, 1), ("insert", None, None, "t", None, None, 1)], schema)
