@@ -63,3 +63,43 @@ def test_toxicity_without_labels(spark):
     docs = make(spark, [(1, "what a moron, a stupid clown", "s"), (2, "a fine day", "s"), (3, None, "s")])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["doc_id"]: r["_predicted"] for r in toxicity.score_documents(docs, model, ["doc_id"]).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def planted_votes(n=60_000, seed=5):
+    """Votes of eight voters with known rates; voter 5 repeats voter 4 for seven tenths of the documents."""
+    r = np.random.default_rng(seed)
+    y = r.random(n) < 0.08
+    fires1, fires0 = np.array([0.8, 0.6, 0.7, 0.5, 0.6, 0.6, 0.4, 0.75]), np.array([0.02, 0.05, 0.01, 0.1, 0.04, 0.04, 0.02, 0.03])
+    v = r.random((n, 8)) < np.where(y[:, None], fires1, fires0)
+    same = r.random(n) < 0.7
+    v[same, 5] = v[same, 4]
+    return y, v, fires1, fires0
+
+
+def test_label_model_finds_rates_and_dependences():
+    y, v, fires1, fires0 = planted_votes()
+    masks, n = np.unique(v @ (1 << np.arange(8)), return_counts=True)
+    model = toxicity.label_model(toxicity.fires_of(masks, 8), n, 0.05)
+    assert abs(model.prior - y.mean()) < 0.01
+    assert np.abs(model.rates[1] - v[y].mean(0)).max() < 0.03 and np.abs(model.rates[0] - v[~y].mean(0)).max() < 0.01
+    assert np.abs(model.rates[1] - fires1).max() < 0.05 and np.abs(model.rates[0] - fires0).max() < 0.02
+    pairs = {frozenset((i, int(p))): model.depends[i] for i, p in enumerate(model.parent) if p >= 0}
+    assert abs(pairs.pop(frozenset((4, 5))) - 0.7) < 0.05 and all(abs(x) < 0.1 for x in pairs.values())
+    # brute force over the planted distribution: the posterior of each pattern
+    odds = model.log_odds(toxicity.fires_of(masks, 8))
+    at = np.searchsorted(masks, v @ (1 << np.arange(8)))
+    share, many = np.bincount(at, y, len(masks)) / n, n > 300
+    assert np.abs(1 / (1 + np.exp(-odds[many])) - share[many]).max() < 0.08
+    # a voter that only repeats another adds nothing
+    twice = np.concatenate([v, v[:, 4:5]], 1)
+    masks2, n2 = np.unique(twice @ (1 << np.arange(9)), return_counts=True)
+    odds2 = toxicity.label_model(toxicity.fires_of(masks2, 9), n2, 0.05).log_odds(toxicity.fires_of(masks2, 9))
+    assert np.abs(odds2[np.argsort(masks2 & 255)] - odds[np.searchsorted(masks, np.sort(masks2 & 255))]).mean() < 0.15
+
+
+def test_calibration_follows_labels():
+    r = np.random.default_rng(2)
+    z = r.normal(-2, 2, 5000)
+    toxic = r.random(5000) < 1 / (1 + np.exp(-(0.5 * z + 1)))
+    slope, shift = toxicity.calibration(z, toxic, np.ones(5000))
+    assert abs(slope - 0.5) < 0.1 and abs(shift - 1) < 0.2
