@@ -6,7 +6,7 @@ lexical patterns: its two left words, its left word, its left and right word. Th
 (pattern, candidate) edges is then scored in rounds, for each kind: a pattern's confidence is the
 sum of the scores of its candidates over their number (plus one), a candidate's score is the noisy-or
 of its patterns. Patterns below ``min_confidence`` or with fewer than ``min_support`` scored
-candidates count for nothing. Candidates outside the base spans whose score reaches ``accept`` and
+candidates count for nothing. Rounds go on until the patterns that count stay as they are, ``rounds`` at most. Candidates outside the base spans whose score reaches ``accept`` and
 whose form fits the kind become spans too; base spans always stay.
 
 Copies of a text add no evidence, as edges are distinct. Sums over a frequent pattern are aggregated
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dapple.llm.common import stash, table, text_of
+from dapple.llm.common import discard, stash, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -37,6 +37,10 @@ BASE = {
 SIGN = {"email": "@", "ip": ".", "phone": "+"}
 CANDIDATE = r"(?:\G|(?<![^\x20\x09-\x0D@]))[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++|(?<![0-9])[+(]{0,2}[0-9](?:[\x20().:-]{0,2}[0-9]){6,}+"
 CONTEXT = 64
+#: Matches of a text that are located one after the other; blocks of them are, too.
+BLOCK = 64
+#: Characters of a tile, by which spans of a text that may overlap are brought together.
+TILE = 256
 
 
 def digits(s: Column) -> Column:
@@ -63,10 +67,17 @@ def valid(kind: str, s: Column) -> Column:
 def located(found: Column, gaps: Column) -> Column:
     """From the matches of a pattern and what lies between them: array of (s, start, end, before, after).
 
-    before and after are up to CONTEXT characters.
+    before and after are up to CONTEXT characters. Places are running sums: first over the lengths of blocks of
+    matches, then within each block, so many matches in a text cost little more than few.
     """
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("b"), F.slice(gaps, F.lit(2), F.size(found)).alias("a"))
-    empty = F.from_json(F.lit('{"at":0,"out":[]}'), "at int, out array<struct<s:string,start:int,end:int,before:string,after:string>>")
+    n = F.size(found)
+    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), n).alias("b"), F.slice(gaps, F.lit(2), n).alias("a"))
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+    block = lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK))
+    long_ = F.transform(blocks, lambda k: F.aggregate(block(k), F.lit(0), lambda a, x: a + F.length(x["b"]) + F.length(x["m"])))
+    begun = F.from_json(F.lit('{"at":0,"out":[]}'), "at int, out array<int>")
+    begins = F.aggregate(long_, begun, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    none = F.from_json(F.lit("[]"), "array<struct<s:string,start:int,end:int,before:string,after:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
@@ -74,11 +85,12 @@ def located(found: Column, gaps: Column) -> Column:
         one = F.struct(x["m"].alias("s"), start.alias("start"), end.alias("end"), F.right(x["b"], F.lit(CONTEXT)).alias("before"), F.left(x["a"], F.lit(CONTEXT)).alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step)["out"])
+    within = F.transform(begins, lambda at, k: F.aggregate(block(k), F.struct(at.alias("at"), none.alias("out")), step)["out"])
+    return F.when(n > 0, F.flatten(within))
 
 
-def matched(docs: DataFrame) -> DataFrame:
-    """doc_id, f0.. the matches of each pattern (leftmost, non-overlapping), g0.. the gaps around them.
+def matched(docs: DataFrame, rid: Column | None = None) -> DataFrame:
+    """rid, doc_id, f0.. the matches of each pattern (leftmost, non-overlapping), g0.. the gaps around them.
 
     Selects that use a column twice are not merged, so each pattern runs once over a text, and once
     more only where it matches.
@@ -89,9 +101,10 @@ def matched(docs: DataFrame) -> DataFrame:
         may = F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9@]")
         found.append(F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(f"f{k}"))
     names = [f"f{k}" for k in range(len(patterns))]
-    seen = docs.select("doc_id", text_of().alias("text")).select("doc_id", "text", *found)
+    number = F.monotonically_increasing_id() if rid is None else rid
+    seen = docs.select(number.alias("rid"), "doc_id", text_of().alias("text")).select("rid", "doc_id", "text", *found)
     gaps = [F.when(F.size(f) > 0, F.split(text, p, -1)).alias(f.replace("f", "g")) for f, (p, _) in zip(names, patterns, strict=True)]
-    return seen.select("doc_id", *names, *gaps)
+    return seen.select("rid", "doc_id", *names, *gaps)
 
 
 def checked(spans: Column, k: int) -> Column:
@@ -135,36 +148,55 @@ def score_candidates(edges: DataFrame, patterns: DataFrame) -> DataFrame:
     return got.filter(fits(F.col("kind"), F.col("s"))).select("s", "kind", (1 - F.exp("miss")).alias("score"))
 
 
-def find_pii(docs: DataFrame, rounds: int = 2, min_support: int = 3, min_confidence: float = 0.5, accept: float = 0.75) -> DataFrame:
-    """doc_id, base and learned spans (arrays of kind, start, end) of every row."""
-    seen = matched(docs)
+def tiles(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(start / TILE), F.floor((end - 1) / TILE))).alias("tile")
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """rid, s, start, end, patterns of every candidate, and the kinds of the base spans within or over it.
+
+    Spans of a text meet by the tiles they stand in, not each with each.
+    """
+    cand = rows.select("rid", F.explode("cand").alias("c")).select("rid", "c.*")
+    spans = rows.select("rid", F.explode("base").alias("b")).select("rid", "b.kind", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
+    near = cand.select("rid", "start", "end", tiles(F.col("start"), F.col("end"))).join(spans.select("rid", "kind", "b_start", "b_end", tiles(F.col("b_start"), F.col("b_end"))), ["rid", "tile"])
+    hits = near.filter("b_start < end AND start < b_end").groupBy("rid", "start", "end").agg(F.collect_set("kind").alias("kinds"))
+    return cand.join(hits, ["rid", "start", "end"], "left")
+
+
+def find_pii(docs: DataFrame, rounds: int = 6, min_support: int = 3, min_confidence: float = 0.5, accept: float = 0.75) -> DataFrame:
+    """rid (a number of the row), doc_id, base and learned spans (arrays of kind, start, end) of every row.
+
+    Rows keep their rid if ``docs`` has one.
+    """
+    own = F.col("rid") if "rid" in docs.columns and "text" in docs.columns and len(docs.columns) == 3 else None
+    seen = matched(docs, own)
     spots = [located(F.col(f"f{k}"), F.col(f"g{k}")).alias(f"b{k}") for k in range(len(KINDS) + 1)]
-    seen = seen.select("doc_id", *spots)
+    seen = seen.select("rid", "doc_id", *spots)
     none = F.from_json(F.lit("[]"), "array<struct<kind:int,start:int,end:int>>")
     base = F.concat(*[F.coalesce(checked(F.col(f"b{k}"), k), none) for k in range(len(KINDS))])
-    seen = seen.select("doc_id", base.alias("base"), F.col(f"b{len(KINDS)}").alias("cand"))
-    # whether a candidate is a seed: a base span lies within it or over it
-    within = F.transform(
-        "cand",
-        lambda c: F.struct(c["s"].alias("s"), c["start"].alias("start"), c["end"].alias("end"), patterns_of(c).alias("patterns"), F.filter("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))["kind"].alias("kinds")),
-    )
-    rows = stash(seen.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", F.filter(within, lambda c: F.size(c["patterns"]) > 0).alias("cand")), "pii-rows")
-
-    occurs = rows.select("rid", F.explode("cand").alias("c")).select("rid", F.col("c.s").alias("s"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), "c.patterns", "c.kinds")
-    pairs = stash(occurs.select("s", F.explode("patterns").alias("pattern"), "kinds").groupBy("s", "pattern").agg(F.max("kinds").alias("kinds")), "pii-edges")
-    seeds = pairs.select("s", F.explode("kinds").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    edges, sizes = pairs.select("s", "pattern"), pairs.groupBy("pattern").agg(F.count("*").alias("n"))
-    scores = seeds
+    cand = F.transform(f"b{len(KINDS)}", lambda c: F.struct(c["s"].alias("s"), c["start"].alias("start"), c["end"].alias("end"), patterns_of(c).alias("patterns")))
+    rows = stash(seen.select("rid", "doc_id", base.alias("base"), F.filter(cand, lambda c: F.size(c["patterns"]) > 0).alias("cand")), "pii-rows")
+
+    occurs = stash(occurrences(rows), "pii-candidates")
+    edges = stash(occurs.select("s", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
+    seeds = stash(occurs.select("s", F.explode("kinds").alias("kind")).distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
+    sizes = stash(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-sizes")
+    scores, state, spent = seeds, None, []
     for _ in range(rounds):
         patterns = stash(score_patterns(edges, scores, sizes, min_support, min_confidence), "pii-patterns")
-        found = score_candidates(edges, patterns)
+        spent.append(patterns)
+        found = stash(score_candidates(edges, patterns), "pii-scores")
+        spent.append(found)
         scores = found.unionByName(seeds).groupBy("s", "kind").agg(F.max("score").alias("score"))
-    won = stash(
-        found.filter(F.col("score") >= accept).groupBy("s").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")), "pii-found"
-    )
-    new = occurs.filter(F.size("kinds") == 0).select("rid", "s", "start", "end").join(won, "s")
-    new = new.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("learned"))
-    return rows.select("rid", "doc_id", "base").join(new, "rid", "left").select("doc_id", "base", F.coalesce("learned", none).alias("learned"))
+        before, state = state, patterns.agg(F.count("*"), F.sum(F.round("confidence", 3).cast("decimal(9,3)")), F.sum(F.hash("pattern", "kind").cast("long"))).first()
+        if state == before:
+            break
+    won = stash(found.filter(F.col("score") >= accept).groupBy("s").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")), "pii-found")
+    new = occurs.filter("kinds IS NULL").select("rid", "s", "start", "end").join(won, "s")
+    new = stash(new.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("learned")), "pii-learned")
+    discard(occurs, edges, seeds, sizes, won, *spent)
+    return rows.select("rid", "doc_id", "base").join(new, "rid", "left").select("rid", "doc_id", "base", F.coalesce("learned", none).alias("learned"))
 
 
 def of_kind(spans: str, k: int) -> Column:
@@ -177,13 +209,13 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("learned").cast("long").alias("n_learned"))
 
 
-def mask_pii(docs: DataFrame, **options) -> DataFrame:
-    """The spans of every document with what stands there, one row a span: doc_id, kind, start, end, value."""
-    found = find_pii(docs, **options).select("doc_id", F.explode(F.concat("base", "learned")).alias("x"))
-    texts = docs.select("doc_id", text_of().alias("text"))
+def extract_pii(docs: DataFrame, **options) -> DataFrame:
+    """The spans of every row with what stands there, one row a span: rid, doc_id, kind, start, end, value."""
+    numbered = stash(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("text")), "pii-texts")
+    found = find_pii(numbered, **options).select("rid", F.explode(F.concat("base", "learned")).alias("x"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    got = found.join(texts, "doc_id")
-    return got.select("doc_id", F.get(names, F.col("x.kind")).alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("value"))
+    got = found.join(numbered, "rid")
+    return got.select("rid", "doc_id", F.get(names, F.col("x.kind")).alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("value"))
 
 
 def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

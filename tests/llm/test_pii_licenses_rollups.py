@@ -49,6 +49,75 @@ def test_contexts_discover_unseen_numbers(spark):
     assert got[52]["spans"] == "" and got[0]["n_phone"] == 1
 
 
+def graph_scores(texts, rounds=6, support=3, least=0.5, accept=0.75):
+    """The pattern-candidate graph scored by hand: (row, kind, start, end) of what is learned."""
+    spot = re.compile(r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]+@[^\x20\x09-\x0D@]+|(?<![0-9])[+(]{0,2}[0-9](?:[\x20().:-]{0,2}[0-9]){6,}")
+    words, occurs = re.compile(r"[^\W\d_]+"), []
+    for row, t in enumerate(texts):
+        spans = [(k, m.start(), m.end()) for k, (_, p, ok) in enumerate(PATTERNS) for m in re.finditer(p, t) if ok(m.group())]
+        cuts = [m.span() for m in spot.finditer(t)]
+        for i, (a, b) in enumerate(cuts):
+            left = words.findall(t[cuts[i - 1][1] if i else 0 : a][-64:].lower())
+            right = words.findall(t[b : cuts[i + 1][0] if i + 1 < len(cuts) else len(t)][:64].lower())
+            pats = [f"{left[-2]} {left[-1]} _"] if len(left) > 1 else []
+            pats += [f"{left[-1]} _"] if left else []
+            pats += [f"{left[-1]} _ {right[0]}"] if left and right else []
+            if pats:
+                occurs.append((row, t[a:b], a, b, pats, {k for k, x, y in spans if x < b and a < y}))
+    edges = {(s, p) for _, s, _, _, ps, _ in occurs for p in ps}
+    seeds = {(s, k): 1.0 for _, s, _, _, _, ks in occurs for k in ks}
+
+    def fits(k, s):
+        n = len(re.sub("[^0-9]", "", s))
+        return "@" in s if k == 0 else bool(re.match(r"[0-9]+(?:[.:-][0-9]+){3,7}$", s)) if k == 1 else "@" not in s and (12 <= n <= 19 if k == 2 else 7 <= n <= 15)
+
+    scores = dict(seeds)
+    for _ in range(rounds):
+        mass, size = {}, {}
+        for s, p in edges:
+            size[p] = size.get(p, 0) + 1
+            for k in range(4):
+                if (s, k) in scores:
+                    m, n = mass.get((p, k), (0.0, 0))
+                    mass[p, k] = (m + scores[s, k], n + 1)
+        conf = {(p, k): m / (size[p] + 1) for (p, k), (m, n) in mass.items() if n >= support and m / (size[p] + 1) >= least}
+        miss = {}
+        for s, p in edges:
+            for k in range(4):
+                if (p, k) in conf and fits(k, s):
+                    miss[s, k] = miss.get((s, k), 1.0) * (1 - min(conf[p, k], 0.999))
+        found = {x: 1 - m for x, m in miss.items()}
+        scores = {x: max(found.get(x, 0), seeds.get(x, 0)) for x in found.keys() | seeds.keys()}
+    best = {}
+    for (s, k), v in found.items():
+        if v >= accept and (s not in best or (v, -k) > best[s]):
+            best[s] = (v, -k)
+    return {(row, -best[s][1], a, b) for row, s, a, b, _, ks in occurs if not ks and s in best}
+
+
+def test_learned_spans_equal_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    texts = []
+    for i in range(120):
+        lead, seed, other = r.choice([("call desk", f"+1 (988) 555-{2000 + i}", f"988 555 {7000 + i}"), ("server at", f"10.1.2.{i}", f"10.1.{i}.300"), ("write to", f"u{i}@host.example", f"u{i}@host"), ("item no", f"{r.randrange(10**9)}", f"+{10**9 + i}")])
+        texts.append(f"{prose(i, 4)} {lead} {seed if r.random() < 0.8 else other} {r.choice(['today', 'now', prose(i, 1)])} {prose(i + 500, 3)} 4111 1111 1111 1111")
+    want = graph_scores(texts)
+    got = {(x["doc_id"], s["kind"], s["start"], s["end"]) for x in pii.find_pii(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect() for s in x["learned"]}
+    assert got == want and len(want) > 5
+
+
+def test_many_matches_in_a_text(spark):
+    many = " ".join(f"write to u{i}@host.example and 10.0.0.{i % 256}" for i in range(6000))
+    docs = make(spark, [(1, many, "s"), (1, "write to a@b.cd", "s"), (None, "x 10.1.1.1", "s")])
+    got = pii.digest(pii.find_pii(docs)).collect()
+    assert sorted((r["n_email"], r["n_ip"]) for r in got) == [(0, 1), (1, 0), (6000, 6000)]
+    assert {r["base_sha256"] for r in got} == {hashlib.sha256(base(t).encode()).hexdigest() for t in (many, "write to a@b.cd", "x 10.1.1.1")}
+    values = pii.extract_pii(docs)  # each span is cut from its own row
+    assert values.count() == 12_002 and values.filter("kind = 'email' AND NOT contains(value, '@')").isEmpty() and values.filter("doc_id IS NULL").first()["value"] == "10.1.1.1"
+
+
 def test_empty_tables(spark):
     none = make(spark, [])
     assert pii.digest(pii.find_pii(none)).collect() == []
