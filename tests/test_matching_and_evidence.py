@@ -163,7 +163,8 @@ def test_exports(spark, tmp_path):
 def test_stored_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red fox " * 300), (2, "Redder sky"), (3, None), (4, "a@b")], "doc_id long, text string")
     i = search.write_index(docs, f"file://{tmp_path}/i", 600, 90)
-    assert search.open_index(spark, f"file://{tmp_path}/i").passages.count() == i.passages.count() == 8
+    search.write_trigrams(i)
+    assert search.Index(spark, f"file://{tmp_path}/i").passages.count() == i.passages.count() == 8
     assert {r["doc_id"] for r in search.passages_with(i, "DDER").collect()} == {2} and {r["doc_id"] for r in search.passages_with(i, "@").collect()} == {4}
     parts = search.passages(docs, 600, 90)
     plain = search.bm25(search.postings(parts), search.statistics(parts), ["red", "fox"]).collect()
