@@ -39,6 +39,69 @@ def test_tree_distribution_sums_to_one():
     assert abs(total - 1) < 1e-9 and len(p) == 2
 
 
+def tree_scores(train, texts, depth, bounds, gain):
+    """The suffix tree by plain dictionaries: log10 probability of each text's symbols, and of rare words' shares."""
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", t), None] for t in train]
+    c = collections.Counter(w for ws in words for w in ws)
+    total = sum(c.values())
+    least_symbol, least, least_pair = bounds.of(total)
+    symbol = lambda w: w if w is None or c[w] >= least_symbol else "<rare>"
+    root = collections.Counter(symbol(w) for ws in words for w in ws)
+    for x in (None, "<rare>"):
+        root[x] += 1
+    every = sum(root.values())
+    p = {(): {x: n / every for x, n in root.items()}}
+    seen = collections.defaultdict(collections.Counter)
+    for ws in words:
+        s = [None, *map(symbol, ws)]  # a context of one symbol may be the start, a longer one ends before it
+        for i in range(1, len(s)):
+            for k in range(1, depth + 1):
+                if i - k < 0 or (k > 1 and None in s[i - k : i]):
+                    break
+                seen[tuple(s[i - k : i])][s[i]] += 1
+    contexts = {x for x, n in seen.items() if (root[x[0]] >= least if len(x) == 1 else sum(n.values()) >= least)}
+    contexts = {x for x in contexts if sum(seen[x].values()) >= least and all(x[j:] in contexts for j in range(1, len(x)))}
+    own, weight, gains = {}, {}, {}
+    for x in sorted(contexts, key=len):
+        n, t, k = seen[x], sum(seen[x].values()), len(seen[x])
+        low = p[x[1:]]
+        weight[x] = (t + k - sum(v for v in n.values() if v >= least_pair)) / (t + k)
+        own[x] = {y for y, v in n.items() if v >= least_pair}
+        p[x] = {y: (n[y] / (t + k) if y in own[x] else 0) + weight[x] * low[y] for y in low}
+        gains[x] = sum(v * math.log((v - 1 + k * low[y]) / (t - 1 + k) / low[y]) for y, v in n.items())
+        assert abs(sum(p[x].values()) - 1) < 1e-9
+    states = {x for x in contexts if gains[x] >= gain}
+    states |= {x[j:] for x in states for j in range(1, len(x))}
+    rare = {w: n for w, n in c.items() if w is not None and n < least_symbol}
+    out = []
+    for t in texts:
+        s, z, ws = [None], 0.0, [*re.findall(r"[^\x20\x09-\x0D]+", t), None]
+        for w in ws:
+            x = symbol(w)
+            k = next(k for k in range(min(depth, len(s)), -1, -1) if not k or (tuple(s[-k:]) in states and not (k > 1 and None in s[-k:])))
+            z += math.log10(p[tuple(s[-k:]) if k else ()][x])
+            if x == "<rare>":
+                z += math.log10((rare[w] - suffixtree.DISCOUNT if w in rare else suffixtree.DISCOUNT * len(rare)) / sum(rare.values()))
+            s.append(x)
+        out.append(z)
+    return out, states
+
+
+def test_scores_equal_brute_force_tree(spark):
+    import random
+
+    r = random.Random(11)
+    phrases = ["the terms of use apply here", "terms of use are long", "we use the long road home", "a road of terms"]
+    texts = [" ".join(r.choice(phrases) if r.random() < 0.7 else f"odd{r.randrange(40)} a the" for _ in range(r.randrange(1, 9))) for _ in range(160)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    bounds = suffixtree.Least(100.0, 400.0, 60.0)
+    train = [t for i, t, _ in rows if not held(i, 7)]
+    got = {x["doc_id"]: x["score"] for x in suffixtree.score_documents(make(spark, rows), 5, bounds, 2.0).collect()}
+    want, states = tree_scores(train, texts, 5, bounds, 2.0)
+    assert {len(x) for x in states} >= {1, 2, 3, 4}
+    assert max(abs(got[i] - z) for i, z in enumerate(want)) < 1e-6
+
+
 def test_lm_without_training_texts(spark):
     only = next(i for i in range(1000) if held(i, 7))
     got = suffixtree.score_documents(make(spark, [(only, "a b", "s")])).collect()
