@@ -12,12 +12,13 @@ candidates, verified on the whole shingle sets: a link is a weighted Jaccard sim
 
 Exact copies are one class from the start. Buckets are then worked off in rounds: per bucket each
 class is one member, the best-linked one; buckets of up to ``FEW`` classes compare all pairs, larger
-ones compare every class with the centre of the largest. Links join classes, and rounds go on until
-none brings a link, so a group of n copies costs about n comparisons. What the rounds leave is then
+ones compare every class with the centre of the largest, and their texts within random shares of about
+``SHARE``, drawn anew each round. Links join classes, and rounds go on as long as they bring links for
+one of fifty open classes, so a group of n copies costs about n comparisons a round. What the rounds leave is then
 compared whole: every two texts of different classes that share a bucket meet, unless a bound shows
 that they cannot be links. Texts are ordered rarest shingle first; two that are linked share a shingle
-within the first part of both, beyond which less than 0.8 of either is left (prefix filter), and what
-is left from there on bounds what they share. So after it no untried pair of a bucket can be a link.
+within the first part of both, beyond which less than 0.8 of the heavier or 0.89 of the lighter is left
+(prefix filter), and what is left from there on bounds what they share. So after it no untried pair of a bucket can be a link.
 
 Defined cases: null and empty texts, and texts without words, stay alone; texts of one to four words
 are one shingle; repeated rows are exact copies; a null doc_id is a row like any other, and a class
@@ -42,9 +43,12 @@ from dapple.llm.common import batch_rows, discard, small_side, stash, table, tex
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
+#: What two linked texts share of the lighter one at least.
+FIRST = 2 * SIMILAR / (1 + SIMILAR) - 1e-9
 SLOTS = 1 << 18
 FREE_SHARE = 1 / 50
 FEW = 6
+SHARE = 6
 BLOCK_BYTES = 1 << 20
 #: Row ids that may be broadcast: at most 16 MB.
 BROADCAST_IDS = 2_000_000
@@ -268,18 +272,45 @@ def verified(pairs: DataFrame, feats: DataFrame, idf: np.ndarray) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); the root is the smallest node it is connected with.
 
-    Labels go to neighbours and then to the label of the label, until nothing changes.
+    Each node takes the smallest label among itself and its neighbours, then that node's label. Edges between
+    labels that still differ are the graph of the next round, which is soon small; the labels of the rounds
+    are then followed back.
     """
-    both = stash(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = stash(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "cc-labels")
+    edges = stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "cc-edges")
+    rounds, spent = [], [edges]
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "r").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        new = stash(new.join(jump, "low").select("node", "root", F.least("low", "far").alias("new")), "cc-labels")
-        labels = new.select("node", F.col("new").alias("root"))
-        if new.filter("root <> new").isEmpty():
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = stash(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "cc-near")
+        labels = stash(near.join(near.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", F.col("far").alias("root")), "cc-labels")
+        rounds.append(labels)
+        side = lambda c, labels=labels: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        left = edges.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb")
+        edges = stash(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        spent += [near, edges]
+        if edges.isEmpty():
+            break
+    out = rounds.pop()
+    for labels in reversed(rounds):
+        top = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        out = stash(labels.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "cc-roots")
+    discard(*spent)
+    return out
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: those that join two of the classes so far are followed between classes alone."""
+    if roots is None:
+        return components(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = roots.select("node", "root")
+    every = stash(every.unionByName(ends.join(every, "node", "left_anti").select("node", F.col("node").alias("root"))), "cc-nodes")
+    side = lambda c: every.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb")
+    between = stash(between.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-links")
+    if between.isEmpty():
+        return every
+    top = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def draw_of(*cols: Column) -> Column:
@@ -329,25 +360,32 @@ def prefixes(sets: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def untried_pairs(buckets: DataFrame, roots: DataFrame | None, sets: DataFrame, idf: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
-    """All pairs (a, b) of texts of different classes in a bucket that no bound excludes, and spent tables."""
+    """All pairs (a, b) of texts of different classes in a bucket that no bound excludes, and spent tables.
+
+    Two texts that are linked share 2s/(1 + s) of what the lighter one weighs at least, s being the
+    similarity, so their first common shingle is among the lighter one's first, from which on that much is left.
+    """
     named = buckets.withColumn("root", F.col("rid")) if roots is None else buckets.join(roots.select(F.col("node").alias("rid"), F.col("root").alias("r")), "rid", "left").select("bucket", "rid", F.coalesce("r", "rid").alias("root"))
     several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
     open_ = stash(named.join(several, "bucket"), "neardup-left")
     some = stash(open_.select("rid").distinct(), "neardup-some")
-    first = stash(prefixes(sets.join(small_side(some, BROADCAST_IDS), "rid", "left_semi"), idf), "neardup-prefixes")
-    keyed = open_.hint("merge").join(first, "rid").withColumn("key", F.xxhash64("bucket", "token")).drop("bucket", "token")
-    # most shingles have one text in a bucket
-    shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    heads = stash(prefixes(sets.join(small_side(some, BROADCAST_IDS), "rid", "left_semi"), idf), "neardup-prefixes")
+    keyed = open_.hint("merge").join(heads, "rid").withColumn("key", F.xxhash64("bucket", "token")).drop("bucket", "token")
+    # most shingles have one text in a bucket, or are none of the first of any text there
+    first = F.col("weight_left") >= FIRST * F.col("weight")
+    shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(first).alias("first")).filter("low < high AND first").select("key")
     keyed = stash(keyed.hint("merge").join(shared, "key"), "neardup-keys")
     other = keyed.select("key", *[F.col(c).alias(f"{c}_2") for c in keyed.columns if c != "key"])
     most = F.least("weight_left", "weight_left_2")
     may = most >= (SIMILAR - 1e-9) * (F.col("weight") + F.col("weight_2") - most)
-    met = keyed.hint("merge").join(other, "key").filter((F.col("rid") < F.col("rid_2")) & (F.col("root") != F.col("root_2")) & may)
-    return met.select(F.col("rid").alias("a"), F.col("rid_2").alias("b")).distinct(), [open_, some, first, keyed]
+    lighter = F.when(F.col("weight") <= F.col("weight_2"), F.col("weight_left")).otherwise(F.col("weight_left_2"))
+    near = lighter >= FIRST * F.least("weight", "weight_2")
+    met = keyed.hint("merge").join(other, "key").filter((F.col("rid") < F.col("rid_2")) & (F.col("root") != F.col("root_2")) & near & may)
+    return met.select(F.col("rid").alias("a"), F.col("rid_2").alias("b")).distinct(), [open_, some, heads, keyed]
 
 
-def link_classes(feats: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(copy, rid) of one document of each exact copy class, the links (a, b) between them, and spent tables."""
+def link_classes(feats: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(copy, rid) of one document of each exact copy class, the links (a, b) between them, the (node, root) of what they connect, and spent tables."""
     first = stash(feats.groupBy("copy").agg(F.min("rid").alias("rid")), "neardup-copies")
     bands = feats.join(first.select("rid"), "rid").select("rid", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -366,38 +404,50 @@ def link_classes(feats: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFram
         else:
             named = buckets.join(roots.withColumnRenamed("node", "rid"), "rid", "left")
             members = named.select("bucket", F.coalesce("root", "rid").alias("root"), F.coalesce("centre", "rid").alias("centre"), F.coalesce("size", F.lit(1)).cast("long").alias("size")).distinct()
+        if roots is None:
+            texts = buckets.withColumn("root", F.col("rid"))
+        else:
+            texts = named.select("bucket", "rid", F.coalesce("root", "rid").alias("root"))
         order = F.struct("size", draw_of(F.col("centre"), F.lit(turn)).alias("draw"), "centre")
         per = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max(order).alias("hub")).filter("n > 1").select("bucket", "n", F.col("hub.centre").alias("hub"))
         open_ = stash(members.join(per, "bucket").select("bucket", "centre", "hub", "n"), "neardup-open")
         star = open_.filter((F.col("n") > FEW) & (F.col("centre") != F.col("hub"))).select(F.least("centre", "hub").alias("a"), F.greatest("centre", "hub").alias("b"))
         few = open_.filter(F.col("n") <= FEW).groupBy("bucket").agg(F.array_sort(F.collect_list("centre")).alias("c"))
         pairs = few.select(F.explode("c").alias("a"), "c").select("a", F.explode(F.filter("c", lambda x: x > F.col("a"))).alias("b"))
-        pairs = stash(star.unionByName(pairs).distinct().join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+        large = texts.groupBy("bucket").agg(F.count("*").alias("n_texts")).join(per.filter(F.col("n") > FEW).select("bucket"), "bucket")
+        place = F.pmod(draw_of(F.col("rid"), F.col("bucket"), F.lit(-turn)), F.ceil(F.col("n_texts") / SHARE)).alias("share")
+        shares = texts.join(large, "bucket").groupBy("bucket", place).agg(F.array_sort(F.collect_list(F.struct("rid", "root"))).alias("c"))
+        others = F.filter("c", lambda x: (x["rid"] > F.col("x.rid")) & (x["root"] != F.col("x.root")))
+        mixed = shares.select(F.explode("c").alias("x"), "c").select(F.col("x.rid").alias("a"), F.explode(others).alias("y")).select("a", F.col("y.rid").alias("b"))
+        pairs = stash(star.unionByName(pairs).unionByName(mixed).distinct().join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
         if pairs.isEmpty():
             spent += [open_, pairs]
             break
         new = stash(verified(pairs, sets, idf).select("a", "b"), "neardup-links")
         tried = tried.unionByName(pairs)
+        open_classes = open_.select("centre").distinct().count()
         discard(open_)
-        if new.isEmpty() and turn > 2:
+        n_new = new.count()
+        if not n_new and turn > 2:
             break
         links = stash(links.unionByName(new), "neardup-links")
-        roots = components(links)
+        roots = merged(roots, new)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         best = roots.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre"), F.count("*").alias("size"))
         roots = stash(roots.join(best, "root").select("node", "root", "centre", "size"), "neardup-roots")
+        if turn > 1 and n_new * 50 < open_classes:
+            break
     pairs, used = untried_pairs(buckets, roots, sets, idf)
     pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-    links = stash(links.unionByName(verified(pairs, sets, idf).select("a", "b")), "neardup-links")
-    return first, links, [*spent, *used, pairs]
+    new = stash(verified(pairs, sets, idf).select("a", "b"), "neardup-links")
+    return first, links.unionByName(new), merged(roots, new), [*spent, *used, pairs]
 
 
 def near_duplicates(docs: DataFrame, rid: Column | None = None) -> DataFrame:
     """rid, doc_id, class_id (smallest doc_id of the class), class_rid (its first row), n_links of the text, class_size."""
     feats, idf = features(docs, rid)
-    first, links, spent = link_classes(feats, idf)
+    first, links, roots, spent = link_classes(feats, idf)
     discard(*spent)
-    roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = roots.join(degree, "node", "left").withColumnRenamed("node", "rid")
     classes = stash(first.join(named, "rid", "left").select("copy", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "neardup-classes")

@@ -110,8 +110,9 @@ def test_hot_bucket_is_compared_whole(spark):
     sets += [line[8 * k : 8 * k + 100] for k in range(10)]
     sets = [np.sort(x) for x in sets]
     feats = spark.createDataFrame([(i, i, b"%d" % i, [7], x.tobytes()) for i, x in enumerate(sets)], neardup.FEATURES)
-    _, links, _ = neardup.link_classes(feats, np.ones(neardup.SLOTS))
-    have = {x["node"]: x["root"] for x in neardup.components(links).collect()}
+    _, links, roots, _ = neardup.link_classes(feats, np.ones(neardup.SLOTS))
+    have = {x["node"]: x["root"] for x in roots.collect()}
+    assert have == {x["node"]: x["root"] for x in neardup.components(links).collect()}
     got = [have.get(i, i) for i in range(len(sets))]
     assert got == [0] * 20 + [20 + i // 2 * 2 for i in range(24)] + [44] * 10
 
@@ -210,3 +211,22 @@ def test_leaks_of_repetitive_texts():
     index = decontam.Index([(1, item)])
     assert [h[3] for h in index.find(["ab " * 30_000])[0]] == [0]
     assert [h[3] for h in index.find([("ab " * 399 + "qq ") * 60])[0]] == [2]
+
+
+def test_components_of_any_shape(spark):
+    """Chains, stars, rings and random graphs against a plain union."""
+    r = random.Random(12)
+    ids = list(range(400))
+    r.shuffle(ids)
+    links = [(ids[i], ids[i + 1]) for i in range(60)] + [(ids[100], ids[i]) for i in range(101, 140)] + [(ids[150 + i], ids[150 + (i + 1) % 30]) for i in range(30)]
+    links += [(ids[200 + r.randrange(150)], ids[200 + r.randrange(150)]) for _ in range(110)]
+    root = {x: x for e in links for x in e if e[0] != e[1]}
+    for _ in range(400):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {x["node"]: x["root"] for x in neardup.components(df).collect()} == root
+    first, rest = df.limit(120), spark.createDataFrame(links[120:], "a long, b long")
+    got = {x["node"]: x["root"] for x in neardup.merged(neardup.components(spark.createDataFrame(links[:120], "a long, b long")), rest).collect()}
+    assert {k: v for k, v in got.items() if k in root} == root and neardup.components(first.limit(0)).collect() == []
