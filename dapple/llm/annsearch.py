@@ -213,6 +213,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, keep: int = KEEP, sam
         found.append(stash(out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score")), "ann-found"))
         held.unpersist()
     discard(rows, index)
+    batch_rows(spark)
     return reduce(DataFrame.unionByName, found) if found else empty
 
 

@@ -64,8 +64,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes that a batch for a Python task may have, but for a single longer row.
+BATCH_BYTES = 16 << 20
+
+
 def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """How many rows Python tasks get at a time; few, where a row is a whole text, so memory stays bounded."""
+    """How much Python tasks get at a time: ``BATCH_BYTES`` at most, so whole texts are bounded, and ``rows``.
+
+    It holds for what runs from then on; who asks for other rows runs its jobs at once and calls this again.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
