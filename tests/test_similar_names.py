@@ -39,3 +39,39 @@ def test_jaccard_of_names_equals_brute_force(spark, tmp_path):
                 want.add(("Brand#1", x, y, round(score, 4)))
     assert {tuple(r) for r in QUERIES["sim1_3_jaccard"](spark, str(tmp_path)).collect()} == want
     assert QUERIES["sim1_3_name_parts"](spark, str(tmp_path)).count() == len(parts) + 2
+
+
+def test_hybrid_score_equals_brute_force(spark, tmp_path):
+    parts = write_parts(spark, tmp_path)
+    grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
+    want = []
+    for (a, x), (b, y) in combinations(parts, 2):
+        g, h = grams(x), grams(y)
+        j = len(g & h) / len(g | h) if g | h else 0.0
+        if j * 0.55 + 0.45 >= 0.6:
+            want.append((a, b, round(j * 0.55 + difflib.SequenceMatcher(None, x, y).ratio() * 0.45, 4)))
+    assert want and sorted(tuple(r) for r in QUERIES["sim2_hybrid_score"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_chunk_sizes_of_the_query(spark, tmp_path):
+    text = ("one two three. " * 200) + "\n" + "x" * 3000
+    spark.createDataFrame([(1, text), (2, None), (3, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["str13_boundary_chunks"](spark, str(tmp_path)).orderBy("doc_id", "chunk").collect()]
+    assert got[-1] == (3, 0, 5) and not [r for r in got if r[0] == 2]
+    own = [n for d, _, n in got if d == 1]
+    assert max(own) <= 1200 and sum(own) == len(text) + 180 * (len(own) - 1)
+
+
+def test_greedy_assignment_of_the_query(spark, tmp_path):
+    parts = [(i, 900.0 + 7 * i % 50, i % 9 + 1) for i in range(30)]
+    suppliers = [(i, 900.0 + 11 * i % 60) for i in range(20)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = [(-round(1 / (1 + abs(p - abs(b))), 9), i, j) for i, p, n in parts for j, b in suppliers if n % 10 + 1 == j % 10 + 1]
+    left, right, want = set(), set(), []
+    for s, i, j in sorted(pairs):
+        if i not in left and j not in right:
+            want.append((i, j, -s))
+            left.add(i)
+            right.add(j)
+    assert sorted(tuple(r) for r in QUERIES["jn15_greedy_assignment"](spark, str(tmp_path)).collect()) == sorted(want) and want
