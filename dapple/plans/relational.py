@@ -250,6 +250,16 @@ def _(t: Tables) -> DataFrame:
     return D.dictionary_matches(t.documents, terms)
 
 
+@query("jn16_substring_terms", """
+WITH t AS (SELECT DISTINCT substr(lower(text), CAST(i AS INTEGER), 7) AS term FROM (SELECT text, unnest(range(1, length(text) - 5, 5)) AS i FROM benchmark))
+SELECT doc_id, term, strpos(x, term) AS first_at FROM (SELECT doc_id, lower(text) AS x FROM documents) JOIN t ON contains(x, term)""")
+def _(t: Tables) -> DataFrame:
+    """JN-16: thousands of terms anywhere in all texts, across and inside words, as scripts without spaces need it."""
+    at = F.sequence(F.lit(1), F.greatest(F.length("text") - 6, F.lit(1)), F.lit(5))
+    pieces = t.benchmark.filter(F.length("text") > 6).select(F.explode(F.transform(at, lambda i: F.substring(F.lower("text"), i, F.lit(7)))).alias("term"))
+    return D.term_hits(t.documents.select("doc_id", F.lower("text").alias("x")), "doc_id", "x", pieces).drop("n")
+
+
 @query("jn17_region_expansion", """
 WITH co AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49),
 w AS (SELECT 3 AS n UNION SELECT b FROM co WHERE a = 3) SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n FROM w)""")

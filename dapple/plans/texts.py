@@ -9,7 +9,8 @@ from dapple.functions import text as T
 from dapple.operators import dictionary as D
 from dapple.operators import evidence as E
 from dapple.operators import search as S
-from dapple.operators.storage import fresh_path
+from dapple.operators.segments import SegmentedIndex
+from dapple.operators.storage import files_state, fresh_path
 from dapple.plans.registry import Tables, query
 
 _PARTS = r"""
@@ -33,8 +34,8 @@ _WITH_TRIGRAMS: set[tuple] = set()
 
 
 def stored_index(t: Tables, trigrams: bool = False) -> S.Index:
-    """The index of the documents: written once a session for a state of the table, and read from then on."""
-    key = (t.spark.sparkContext.applicationId, t.folder, tuple(t.documents.inputFiles()))
+    """The index of the documents: written once a session for a state of the table's files, and read from then on."""
+    key = (t.spark.sparkContext.applicationId, t.folder, files_state(t.documents))
     if key not in _STORED:
         _STORED[key] = S.write_index(t.documents, fresh_path(t.spark, "index"))
     if trigrams and key not in _WITH_TRIGRAMS:
@@ -57,6 +58,37 @@ def _(t: Tables) -> DataFrame:
     return S.bm25(i.postings, i.statistics, ["idiot", "licensed", "qqqq"])
 
 
+def _phrases_sql(*phrases: str) -> str:
+    each = ", ".join(f"('{p}', {[*p.split()]!r})" for p in phrases)
+    own = f"""asked(term, t) AS (VALUES {each}), own AS (SELECT doc_id, chunk, len(w) AS dl, term, len(list_filter(range(1, len(w) - len(t) + 2), lambda i: w[i:i + len(t) - 1] = t)) AS tf FROM held, asked)"""
+    return _bm25_sql(*phrases).replace(f"own AS (SELECT * FROM post WHERE term IN ({', '.join(repr(x) for x in phrases)}))", f"{own}, got AS (SELECT * FROM own WHERE tf > 0)").replace("FROM own", "FROM got").replace("FROM got WHERE", "FROM own WHERE")
+
+
+@query("fts4_phrases", _phrases_sql("licensed under the apache", "license"))
+def _(t: Tables) -> DataFrame:
+    """FTS-4: a quoted phrase and a word, both of which a passage must hold, from the stored places."""
+    i = stored_index(t)
+    return S.search(i.postings, i.statistics, '"Licensed under the Apache" license')
+
+
+@query("fts4_phrases_any", _phrases_sql("under the mit", "apache under the", "licensed under the gnu"))
+def _(t: Tables) -> DataFrame:
+    """FTS-4: no passage holds all phrases (the words of one stand nowhere in that order), so any counts."""
+    i = stored_index(t)
+    return S.search(i.postings, i.statistics, '"under the MIT" "apache under the" "licensed under the GNU"')
+
+
+@query("fts6_segments", _bm25_sql("license", "under").replace("coalesce(text, '') AS text, unnest(range(0, CAST(greatest(ceil((length(coalesce(text, '')) - 1200)", "x AS text, unnest(range(0, CAST(greatest(ceil((length(x) - 1200)").replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 8 THEN 'Under revision. ' || coalesce(text, '') ELSE coalesce(text, '') END AS x FROM documents WHERE doc_id % 50 <> 7))"))
+def _(t: Tables) -> DataFrame:
+    """FTS-6: an index of all documents, then a change of a fiftieth and the loss of another, each a segment; searched as one."""
+    d = t.documents.select("doc_id", "text")
+    index = SegmentedIndex(t.spark, fresh_path(t.spark, "segments"))
+    index.apply(d)
+    index.apply(d.filter("doc_id % 50 = 8").select("doc_id", F.concat(F.lit("Under revision. "), F.coalesce("text", F.lit(""))).alias("text")))
+    index.apply(d.limit(0), d.filter("doc_id % 50 = 7"))
+    return S.bm25(index.postings, index.statistics, ["license", "under"])
+
+
 @query("fts1_trigram_index", f"WITH {_PARTS} SELECT g AS gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT doc_id, chunk, substr(x, CAST(i AS INTEGER), 3) AS g FROM (SELECT doc_id, chunk, lower(content) AS x, unnest(range(1, greatest(length(content) - 1, 1))) AS i FROM parts WHERE length(content) >= 3)) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """FTS-1: the stored trigram postings of all passages, counted."""
