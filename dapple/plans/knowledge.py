@@ -59,11 +59,11 @@ def _(t: Tables) -> DataFrame:
     """SIM-2: 0.45 of the sequence ratio and 0.55 of the trigram Jaccard, spellings folded, within blocks."""
     name = F.regexp_replace(F.lower("p_name"), r"\bgrey\b", "gray")
     p = t.part.select(F.col("p_partkey").alias("a"), name.alias("x"), "p_brand", "p_size")
-    q = p.select(F.col("a").alias("b"), F.col("x").alias("y"), "p_brand", "p_size")
-    pairs = p.join(q, ["p_brand", "p_size"]).filter("a < b").withColumn("j", T.jaccard(T.ngrams(F.col("x"), 3), T.ngrams(F.col("y"), 3)))
-    # the ratio is at most 1, which bounds the score before it is computed
-    pairs = pairs.filter(F.col("j") * 0.55 + 0.45 >= 0.6)
-    return pairs.select("a", "b", F.round(F.col("j") * 0.55 + T.sequence_ratio("x", "y") * 0.45, 4).alias("score"))
+    block = ["p_brand", "p_size"]
+    names = D.hybrid_names(p, block, "x")
+    q = p.select(F.col("a").alias("b"), F.col("x").alias("y"), *block)
+    pairs = names.withColumn("score", F.round("score", 4)).join(p, [*block, "x"]).join(q, [*block, "y"]).filter("a < b")
+    return pairs.select("a", "b", "score")
 
 
 @query("str15_claim_structure", r"""

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from dapple.functions import text as T
 from dapple.operators import dictionary as D
 from dapple.operators import evidence as E
+from dapple.operators import graph as G
 from dapple.operators import search as S
 from dapple.operators.segments import SegmentedIndex
-from dapple.operators.storage import files_state, fresh_path
+from dapple.operators.storage import cut, files_state, fresh_path
 from dapple.plans.registry import Tables, query
 
 _PARTS = r"""
@@ -228,6 +229,32 @@ def _(t: Tables) -> DataFrame:
     return names.join(p, ["p_brand", "p_size", "x"]).join(q, ["p_brand", "p_size", "y"]).filter("a < b").select("a", "b", "score")
 
 
+def titles(t: Tables) -> DataFrame:
+    """page_id, lang, title of the pages that have a title."""
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), r"\s+", " "))
+    return t.pages.select("page_id", F.regexp_extract("html", r'(?i)<html[^>]* lang="([a-z]+)"', 1).alias("lang"), title.alias("title")).filter("title <> ''")
+
+
+@query("jn13_close_titles")
+def _(t: Tables) -> DataFrame:
+    """JN-13: titles of a language, of eight characters at least, that are nearly the same: pairs of distinct titles.
+
+    ``jn13_title_groups`` has the pages behind them.
+    """
+    return D.close_names(titles(t), "lang", "title")
+
+
+@query("jn13_title_groups")
+def _(t: Tables) -> DataFrame:
+    """JN-13, GRF-1: each page with its title's group, named by the smallest title that close titles lead to."""
+    rows = cut(titles(t), "titles")
+    node = lambda c: F.concat_ws("\x1f", "lang", c)
+    pairs = D.close_names(rows, "lang", "title").select(node("x").alias("src"), node("y").alias("dst"))
+    groups = G.connected_components(pairs)
+    near = rows.join(groups, node("title") == F.col("node"), "left")
+    return near.select("page_id", "lang", F.coalesce(F.element_at(F.split("component", "\x1f"), 2), "title").alias("title_group"))
+
+
 @query("jn14_best_directory")
 def _(t: Tables) -> DataFrame:
     """JN-14: for each name of a list and each type of the directory, all entries of the best score from 0.88 on."""

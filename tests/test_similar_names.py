@@ -1,6 +1,8 @@
 import difflib
+import random
 from itertools import combinations
 
+from dapple.operators import dictionary
 from dapple.plans import QUERIES
 
 NAMES = ["small rod", "old rod", "small rod", "red", "red wheel", "large red wheel", "wheel red large", "rod", "", "", "ab", "steel rod small", "old rods"]
@@ -75,3 +77,33 @@ def test_greedy_assignment_of_the_query(spark, tmp_path):
             left.add(i)
             right.add(j)
     assert sorted(tuple(r) for r in QUERIES["jn15_greedy_assignment"](spark, str(tmp_path)).collect()) == sorted(want) and want
+
+
+def test_close_names_equal_brute_force(spark):
+    r = random.Random(6)
+    names = ["".join(r.choice("abcde") for _ in range(r.randint(6, 24))) + r.choice(["", " company limited"]) for _ in range(60)]
+    for x in list(names):
+        for _ in range(3):
+            y = list(x)
+            for _ in range(r.randint(0, 3)):
+                y[r.randrange(len(y))] = r.choice(["", "x", "ab"])
+            names.append("".join(y))
+    names += ["aaaaaaaa", "aaaaaaaaa", "abababab", "ababababa", "short", "", None]
+    rows = [(r.choice(["p", "q", None]), n) for n in names for _ in range(2)]
+    want = set()
+    for block in ("p", "q", None):
+        own = sorted({n for b, n in rows if b == block and n is not None and len(n) >= 8})
+        want |= {(block, x, y, round(s, 4)) for x, y in combinations(own, 2) if (s := difflib.SequenceMatcher(None, x, y).ratio()) >= 0.9}
+    got = dictionary.close_names(spark.createDataFrame(rows, "b string, n string"), "b", "n").collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want and len(want) > 40
+    assert dictionary.close_names(spark.createDataFrame([], "b string, n string"), "b", "n").collect() == []
+
+
+def test_title_groups(spark, tmp_path):
+    page = lambda t, lang="en": f'<html lang="{lang}"><head><title>{t}</title></head></html>'
+    rows = [(1, page("annual report 2021")), (2, page("annual report 2022")), (3, page("annual report  2022")), (4, page("annual report 2022", "de")), (5, page("x")), (6, "<html>"), (7, None), (8, page("annual reports 2022"))]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.title_group for r in QUERIES["jn13_title_groups"](spark, str(tmp_path)).collect()}
+    assert got == {1: "annual report 2021", 2: "annual report 2021", 3: "annual report 2021", 8: "annual report 2021", 4: "annual report 2022", 5: "x"}
+    pairs = {(r.x, r.y) for r in QUERIES["jn13_close_titles"](spark, str(tmp_path)).collect()}
+    assert ("annual report 2021", "annual report 2022") in pairs and len(pairs) == 3
