@@ -12,14 +12,15 @@ Where the next document is too long for what is left, the order goes on with tho
 after pass, until less than ``NEAR`` of the target is left or nothing fits; then the shortest of the
 rest is taken if that is nearer.
 
-The order is a function of the row's doc_id and text, so reruns agree. The words before a place come
+The order is a function of the row's doc_id, source and text, so reruns agree. The words before a place come
 from sums over buckets of the order; the bucket at the border is split into finer ones until it has
 at most ``BORDER_ROWS`` places, so no source meets in one task. Tables with a row for each source, or
 for each source and size step, are the only ones that windows run over.
 
 Defined cases: a null text has size 0; rows of size 0 take no words; a null source is a source of its
-own, last in order; a table without words gives targets of 0; rows alike in doc_id and text share
-their place and so get the same number of copies; a null doc_id is placed by its text. In ``mix_rows``
+own, last in order; a table without words gives targets of 0; rows alike in doc_id, source and text are
+numbered and drawn each by itself, so a source of equal rows meets its target like any other, and how many
+of them are taken is the same in every run; a null doc_id is placed by its text. In ``mix_rows``
 every input column stays, and columns of the input that clash with working names are kept apart.
 """
 
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dapple.llm.common import WORD, discard, small_side, stash, table, text_of
+from dapple.operators.relational import running_totals
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -57,12 +59,36 @@ def word_count() -> Column:
     return F.regexp_count(text_of(), F.lit(WORD)).cast("long")
 
 
-def draw(seed: int) -> Column:
-    """A number in (0, 1) for each row, the same in every run."""
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), text_of())
+def row_key(seed: int) -> Column:
+    """What rows alike in doc_id, source and text share."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source").cast("string"), text_of())
+
+
+def unit(h: Column) -> Column:
+    """A number in (0, 1) from a hash."""
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def repeated(keyed: DataFrame) -> DataFrame:
+    """The keys ``h`` that several rows of a written table have. Written out."""
+    return stash(keyed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "mix-repeated")
+
+
+def with_draws(keyed: DataFrame, several: DataFrame) -> DataFrame:
+    """``keyed`` rows with a draw ``u`` each, the same set of draws in every run.
+
+    Rows alike are numbered, by ranges, so a key with a third of all rows is spread; the first has the draw
+    of its key, the others one of key and number. Which of them has which number does not matter.
+    """
+    if several.isEmpty():
+        return keyed.withColumn("u", unit(F.col("h")))
+    side = small_side(several, BROADCAST_ROWS)
+    alike = keyed.join(side, "h", "left_semi").withColumns({"_by": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
+    numbered = running_totals(alike, ["h"], "_by", "_one", "_number").drop("_by", "_one", "_number_all")
+    drawn = numbered.withColumn("u", unit(F.when(F.col("_number") == 1, F.col("h")).otherwise(F.xxhash64("h", "_number")))).drop("_number")
+    return keyed.join(side, "h", "left_anti").withColumn("u", unit(F.col("h"))).unionByName(drawn)
+
+
 def size_step() -> Column:
     return F.when(F.col("size") > 0, F.floor(STEPS * F.log2(F.col("size").cast("double")) + 1e-9)).otherwise(-1).cast("int")
 
@@ -225,21 +251,27 @@ def decide(rows: DataFrame, mix: Mix) -> DataFrame:
 
 
 def size_up(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), draw(seed).alias("u"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), row_key(seed).alias("h"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of every document."""
-    sized = stash(size_up(docs, seed), "mix-sized")
+    keyed = stash(size_up(docs, seed), "mix-keyed")
+    several = repeated(keyed)
+    sized = keyed.withColumn("u", unit(F.col("h"))) if several.isEmpty() else stash(with_draws(keyed, several), "mix-sized")
     out = decide(sized, plan_mix(sized, **options))
     return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mix_rows(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs``, all its columns, as often as the mix takes it."""
-    mix = plan_mix(stash(size_up(docs, seed), "mix-sized"), **options)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), draw(seed).alias("u"))
-    out = decide(held, mix).filter("copies > 0")
+    keyed = stash(size_up(docs, seed), "mix-keyed")
+    several = repeated(keyed)
+    sized = keyed.withColumn("u", unit(F.col("h"))) if several.isEmpty() else stash(with_draws(keyed, several), "mix-sized")
+    mix = plan_mix(sized, **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = docs.select(row, F.col("source").cast("string").alias("source"), word_count().alias("size"), row_key(seed).alias("h"))
+    out = decide(with_draws(held, several), mix).filter("copies > 0")
     return out.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n"), "_row").select("_row.*")
 
 

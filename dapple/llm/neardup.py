@@ -15,7 +15,8 @@ class is one member, the best-linked one; buckets of up to ``FEW`` classes compa
 ones compare every class with the centre of the largest, and their texts within random shares of about
 ``SHARE``, drawn anew each round. Links join classes, and rounds go on as long as they bring links for
 one of fifty open classes, so a group of n copies costs about n comparisons a round. What the rounds leave is then
-compared whole: every two texts of different classes that share a bucket meet, unless a bound shows
+compared whole: every two texts of different classes that share a bucket meet, the largest class of a bucket and
+shingle with the others but not with itself, unless a bound shows
 that they cannot be links. Texts are ordered rarest shingle first; two that are linked share a shingle
 within the first part of both, beyond which less than 0.8 of the heavier or 0.89 of the lighter is left
 (prefix filter), and what is left from there on bounds what they share. So after it no untried pair of a bucket can be a link.
@@ -375,13 +376,18 @@ def untried_pairs(buckets: DataFrame, roots: DataFrame | None, sets: DataFrame,
     first = F.col("weight_left") >= FIRST * F.col("weight")
     shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(first).alias("first")).filter("low < high AND first").select("key")
     keyed = stash(keyed.hint("merge").join(shared, "key"), "neardup-keys")
-    other = keyed.select("key", *[F.col(c).alias(f"{c}_2") for c in keyed.columns if c != "key"])
+    # of two texts of different classes one is outside the key's largest class, so that class need not meet itself,
+    # and what the others meet of their own is less than what they meet of it
+    sizes = keyed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
+    small = stash(keyed.hint("merge").join(largest, "key").filter("root <> top").drop("top"), "neardup-small")
+    other = small.select("key", *[F.col(c).alias(f"{c}_2") for c in keyed.columns if c != "key"])
     most = F.least("weight_left", "weight_left_2")
     may = most >= (SIMILAR - 1e-9) * (F.col("weight") + F.col("weight_2") - most)
     lighter = F.when(F.col("weight") <= F.col("weight_2"), F.col("weight_left")).otherwise(F.col("weight_left_2"))
     near = lighter >= FIRST * F.least("weight", "weight_2")
-    met = keyed.hint("merge").join(other, "key").filter((F.col("rid") < F.col("rid_2")) & (F.col("root") != F.col("root_2")) & near & may)
-    return met.select(F.col("rid").alias("a"), F.col("rid_2").alias("b")).distinct(), [open_, some, heads, keyed]
+    met = keyed.hint("merge").join(other, "key").filter((F.col("root") != F.col("root_2")) & near & may)
+    return met.select(F.least("rid", "rid_2").alias("a"), F.greatest("rid", "rid_2").alias("b")).distinct(), [open_, some, heads, keyed, small]
 
 
 def link_classes(feats: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:

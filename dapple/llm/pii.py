@@ -6,8 +6,9 @@ lexical patterns: its two left words, its left word, its left and right word. Th
 (pattern, candidate) edges is then scored in rounds, for each kind: a pattern's confidence is the
 sum of the scores of its candidates over their number (plus one), a candidate's score is the noisy-or
 of its patterns. Patterns below ``min_confidence`` or with fewer than ``min_support`` scored
-candidates count for nothing. Rounds go on until the patterns that count stay as they are, ``rounds`` at most. Candidates outside the base spans whose score reaches ``accept`` and
-whose form fits the kind become spans too; base spans always stay.
+candidates count for nothing. Rounds go on until the patterns that count stay as they are, to a thousandth
+of their confidence. Candidates outside the base spans whose score reaches ``accept`` and whose form fits
+the kind become spans too; base spans always stay.
 
 Copies of a text add no evidence, as edges are distinct. Sums over a frequent pattern are aggregated
 before the shuffle, joins on it may be split by the skew join. Contexts reach ``CONTEXT`` characters.
@@ -164,13 +165,13 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return cand.join(hits, ["rid", "start", "end"], "left")
 
 
-def find_pii(docs: DataFrame, rounds: int = 6, min_support: int = 3, min_confidence: float = 0.5, accept: float = 0.75) -> DataFrame:
+def find_pii(docs: DataFrame, rid: Column | None = None, min_support: int = 3, min_confidence: float = 0.5, accept: float = 0.75) -> DataFrame:
     """rid (a number of the row), doc_id, base and learned spans (arrays of kind, start, end) of every row.
 
-    Rows keep their rid if ``docs`` has one.
+    ``rid`` numbers the rows; without it they are numbered as they are read. Scores only rise from round to
+    round and are at most 1, so the patterns settle; rounds go on until they have.
     """
-    own = F.col("rid") if "rid" in docs.columns and "text" in docs.columns and len(docs.columns) == 3 else None
-    seen = matched(docs, own)
+    seen = matched(docs, rid)
     spots = [located(F.col(f"f{k}"), F.col(f"g{k}")).alias(f"b{k}") for k in range(len(KINDS) + 1)]
     seen = seen.select("rid", "doc_id", *spots)
     none = F.from_json(F.lit("[]"), "array<struct<kind:int,start:int,end:int>>")
@@ -183,7 +184,7 @@ def find_pii(docs: DataFrame, rounds: int = 6, min_support: int = 3, min_confide
     seeds = stash(occurs.select("s", F.explode("kinds").alias("kind")).distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
     sizes = stash(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-sizes")
     scores, state, spent = seeds, None, []
-    for _ in range(rounds):
+    while True:
         patterns = stash(score_patterns(edges, scores, sizes, min_support, min_confidence), "pii-patterns")
         spent.append(patterns)
         found = stash(score_candidates(edges, patterns), "pii-scores")
@@ -212,7 +213,7 @@ def digest(found: DataFrame) -> DataFrame:
 def extract_pii(docs: DataFrame, **options) -> DataFrame:
     """The spans of every row with what stands there, one row a span: rid, doc_id, kind, start, end, value."""
     numbered = stash(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("text")), "pii-texts")
-    found = find_pii(numbered, **options).select("rid", F.explode(F.concat("base", "learned")).alias("x"))
+    found = find_pii(numbered, F.col("rid"), **options).select("rid", F.explode(F.concat("base", "learned")).alias("x"))
     names = F.array(*[F.lit(k) for k in KINDS])
     got = found.join(numbered, "rid")
     return got.select("rid", "doc_id", F.get(names, F.col("x.kind")).alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("value"))

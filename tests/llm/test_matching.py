@@ -230,3 +230,31 @@ def test_components_of_any_shape(spark):
     first, rest = df.limit(120), spark.createDataFrame(links[120:], "a long, b long")
     got = {x["node"]: x["root"] for x in neardup.merged(neardup.components(spark.createDataFrame(links[:120], "a long, b long")), rest).collect()}
     assert {k: v for k, v in got.items() if k in root} == root and neardup.components(first.limit(0)).collect() == []
+
+
+def test_the_largest_class_does_not_meet_itself(spark):
+    r = random.Random(12)
+    words = prose(4, 60).split()
+
+    def copy(k):
+        own = list(words)
+        for _ in range(k):
+            own[r.randrange(len(own))] = "x%d" % r.randrange(10**6)
+        return " ".join(own)
+
+    rows = [(i, copy(1), "s") for i in range(300)] + [(900 + i, copy(3), "s") for i in range(6)]
+    feats, idf = neardup.features(make(spark, rows).repartition(1))
+    every = feats.select("rid", "doc_id", "shingles").collect()
+    number = {x.doc_id: x.rid for x in every}
+    buckets = feats.select(F.lit(1).alias("bucket"), "rid")
+    roots = feats.filter("doc_id < 900").select(F.col("rid").alias("node"), F.lit(number[0]).alias("root"))
+    pairs, spent = neardup.untried_pairs(buckets, roots, feats.select("rid", "shingles"), idf)
+    outside = {number[900 + i] for i in range(6)}
+    assert {x.rid for x in spent[-1].select("rid").distinct().collect()} <= outside  # what the keys are joined with
+    got = {(x.a, x.b) for x in pairs.collect()}
+    sets = {x.rid: x.shingles for x in every}
+    for a in outside:
+        for b in sets:
+            if a != b and neardup.similarity(sets[a], sets[b], idf) >= neardup.SIMILAR:
+                assert (min(a, b), max(a, b)) in got
+    assert all(a in outside or b in outside for a, b in got)

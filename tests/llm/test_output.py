@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dapple.llm import mixing, tokenbin
@@ -141,3 +142,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids["decontamination"]) == set(ids["near-dedup"]) - {502}
     assert set(ids["mixing"]) <= set(ids["decontamination"]) and sorted(ids["token-ids"]) == sorted(ids["mixing"])
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "near-dedup", "decontamination", "mixing", "token-ids"]
+
+
+def test_targets_are_met_where_rows_repeat(spark):
+    same = prose(1, 100)
+    rows = [(None, same, "A")] * 1000 + [(i, prose(i, 50 + i % 90), "B") for i in range(400)] + [(9, same, "C")] * 60 + [(1000 + i, prose(i, 100), "C") for i in range(60)]
+    docs = make(spark, rows, extra=True).repartition(5)
+    got = mixing.mix_documents(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.max(F.col("taken") / F.col("size")).alias("share")).collect()
+    for r in got:
+        assert abs(r.taken - r.target) <= max(0.002 * r.target, r.most) and r.share <= 3
+    counts = lambda n: sorted(map(str, mixing.mix_documents(docs.repartition(n)).groupBy("source", "doc_id", "copies").count().collect()))
+    assert counts(2) == counts(7)
+    mixed = {r.source: r.words for r in mixing.mix_rows(docs).groupBy("source").agg(F.sum(mixing.word_count()).alias("words")).collect()}
+    assert mixed == {r.source: r.taken for r in got}

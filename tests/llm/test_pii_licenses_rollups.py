@@ -179,3 +179,11 @@ def test_corpus_batches(spark, odd_rows, tmp_path):
     got = {(r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in roll.totals().collect()}
     assert got["c", "words-1"] == (1, 3)  # the repeated line went
     assert got["b", "words-1"] == (2, 42)  # so did the copy
+
+
+def test_columns_of_any_name_are_no_row_numbers(spark):
+    texts = [f"write to the billing contact {i}55-01{i:02d}-77{i:02d} or +1 202 555 01{i:02d} now" for i in range(10, 40)]
+    plain = make(spark, [(i, t, "s") for i, t in enumerate(texts)]).select("doc_id", "text")
+    want = sorted(map(str, pii.digest(pii.find_pii(plain)).collect()))
+    for name in ("rid", "s", "kind", "start", "tile", "score"):
+        assert sorted(map(str, pii.digest(pii.find_pii(plain.selectExpr("*", f"1 AS {name}"))).collect())) == want
