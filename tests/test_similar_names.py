@@ -93,7 +93,7 @@ def test_close_names_equal_brute_force(spark):
     want = set()
     for block in ("p", "q", None):
         own = sorted({n for b, n in rows if b == block and n is not None and len(n) >= 8})
-        want |= {(block, x, y, round(s, 4)) for x, y in combinations(own, 2) if (s := difflib.SequenceMatcher(None, x, y).ratio()) >= 0.9}
+        want |= {(block, x, y, int(s * 10000 + 0.5) / 10000) for x, y in combinations(own, 2) if (s := difflib.SequenceMatcher(None, x, y).ratio()) >= 0.9}
     got = dictionary.close_names(spark.createDataFrame(rows, "b string, n string"), "b", "n").collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want and len(want) > 40
     assert dictionary.close_names(spark.createDataFrame([], "b string, n string"), "b", "n").collect() == []
