@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dapple.operators import evidence as E
 from dapple.operators import formula as M
 from dapple.operators import graph as G
+from dapple.operators import identity as I
 from dapple.operators import lifecycle as L
 from dapple.operators import relational as R
 from dapple.operators import rules as U
@@ -241,6 +242,42 @@ def _(t: Tables) -> DataFrame:
     return L.as_of(log(t), "user_id", F.lit(15).cast("long"))
 
 
+_KINDS = ("recognition_publicity", "recognition", "review_due", "review_publicity", "continued_support", "annual_evaluation", "review_passed", "re_recognition", "changed", "revoked", "unheard_of")
+
+
+def lifecycle(t: Tables) -> DataFrame:
+    """The event log as events of all kinds: a day is a year, some have none; a third of the subjects have open validity."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.pmod(F.col("event_id") * 7 + F.length("event_type"), F.lit(len(_KINDS))) + 1).cast("int"))
+    year = F.when(F.col("event_id") % 37 != 0, 1995 + F.dayofmonth("ts"))
+    return L.lifecycle_steps(t.events, "user_id", year, kind, F.col("event_type"), F.when(F.col("user_id") % 3 != 0, 3))
+
+
+_LIFECYCLE = f"""
+WITH e AS (SELECT user_id, CASE WHEN event_id % 37 <> 0 THEN 1995 + day(ts) END::INTEGER AS year, {list(_KINDS)!r}[(event_id * 7 + length(event_type)) % {len(_KINDS)} + 1] AS kind, event_type AS status FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(year, 0), list_position({list(L.PRECEDENCE)!r}, kind) NULLS FIRST, status, kind) AS step FROM e),
+f AS (SELECT user_id, step, year, kind, 'not_recorded' AS previous_state,
+  CASE kind WHEN 'recognition_publicity' THEN 'publicity_pending' WHEN 'review_due' THEN 'review_due' WHEN 'review_publicity' THEN 'review_pending' WHEN 'revoked' THEN 'revoked' WHEN 'changed' THEN 'not_recorded' WHEN 'continued_support' THEN 'not_recorded' WHEN 'unheard_of' THEN 'not_recorded' ELSE 'active' END AS state,
+  CASE WHEN kind IN {L.ACTIVATING!r} AND user_id % 3 <> 0 THEN year + 3 WHEN kind = 'revoked' THEN year END AS valid_through FROM o WHERE step = 1
+  UNION ALL SELECT o.user_id, o.step, o.year, o.kind, f.state,
+  CASE o.kind WHEN 'recognition_publicity' THEN CASE f.state WHEN 'not_recorded' THEN 'publicity_pending' ELSE f.state END WHEN 'review_due' THEN 'review_due' WHEN 'review_publicity' THEN 'review_pending' WHEN 'revoked' THEN 'revoked' WHEN 'changed' THEN f.state WHEN 'continued_support' THEN f.state WHEN 'unheard_of' THEN f.state ELSE 'active' END,
+  CASE WHEN o.kind IN {L.ACTIVATING!r} AND o.year IS NOT NULL THEN CASE WHEN o.user_id % 3 <> 0 THEN o.year + 3 END WHEN o.kind = 'revoked' THEN o.year ELSE f.valid_through END
+  FROM f JOIN o ON o.user_id = f.user_id AND o.step = f.step + 1)"""
+_LIFECYCLE = _LIFECYCLE.replace("WITH e AS", "WITH RECURSIVE e AS", 1)
+
+
+@query("win4_lifecycle", f"{_LIFECYCLE} SELECT * FROM f")
+def _(t: Tables) -> DataFrame:
+    """WIN-4: all kinds of events, the state before and after each, open validity."""
+    return lifecycle(t)
+
+
+@query("win6_lifecycle_as_of", f"""{_LIFECYCLE}, l AS (SELECT user_id, arg_max(state, step) FILTER (year IS NULL OR year <= 2010) AS state, max(step) FILTER (year IS NULL OR year <= 2010) AS last_step FROM f GROUP BY 1)
+SELECT l.user_id, CASE WHEN l.state = 'active' AND f.valid_through < 2010 THEN 'expired_pending_review' ELSE coalesce(l.state, 'not_recorded') END AS state, f.valid_through, l.last_step FROM l LEFT JOIN f ON f.user_id = l.user_id AND f.step = l.last_step""")
+def _(t: Tables) -> DataFrame:
+    """WIN-6: where each subject stands at the end of a year."""
+    return L.lifecycle_as_of(lifecycle(t), "user_id", 2010)
+
+
 # graphs -------------------------------------------------------------------------------------------
 
 
@@ -309,6 +346,99 @@ def _(t: Tables) -> DataFrame:
     return a.select("alias", status.alias("status"), F.when(~b & ~y, F.col("k")).alias("identity"), F.when(b, F.col("paths")).alias("conflict_paths"))
 
 
+_CODE = "upper(substr(sha256(p_name || '/' || p_size), 1, 18))"
+
+
+def part_code() -> Column:
+    return F.upper(F.substring(F.sha2(F.concat_ws("/", "p_name", F.col("p_size").cast("string")), 256), 1, 18))
+
+
+def part_nodes(t: Tables) -> DataFrame:
+    """Names of a brand as subjects: its parts' types make former names, their sizes codes, the large ones were merged into it."""
+    name = F.concat_ws(" ", "p_name", "p_brand")
+    code, merged = F.when(F.col("p_size") % 10 != 0, part_code()), F.when(F.col("p_size") > 45, F.concat(F.lit("part:"), F.col("p_partkey").cast("string")))
+    return I.columns_of_nodes(t.part, name, current_name=name, former_name=F.concat_ws(" ", "p_name", "p_type"), unified_social_credit_code=code, merged_subject=merged)
+
+
+_NODES = f"""
+nodes AS (SELECT DISTINCT p_name || ' ' || p_brand AS subject, unnest(['current_name', 'former_name', 'unified_social_credit_code', 'merged_subject']) AS node_type,
+  unnest([p_name || ' ' || p_brand, p_name || ' ' || p_type, CASE WHEN p_size % 10 <> 0 THEN {_CODE} END, CASE WHEN p_size > 45 THEN 'part:' || p_partkey END]) AS value FROM part),
+n AS (SELECT *, CASE WHEN node_type = 'unified_social_credit_code' THEN lower(value) ELSE lower(regexp_replace(value, '[^a-zA-Z0-9]+', '', 'g')) END AS v FROM nodes WHERE value IS NOT NULL),
+names AS (SELECT DISTINCT subject, v FROM n WHERE node_type IN ('current_name', 'former_name')), codes AS (SELECT DISTINCT subject, value, v FROM n WHERE node_type = 'unified_social_credit_code'),
+conflicts AS (
+  SELECT 'same_name_multiple_subjects' AS kind, subject, v AS by, min(subject) OVER (PARTITION BY v) AS other FROM names QUALIFY count(*) OVER (PARTITION BY v) > 1
+  UNION ALL SELECT 'code_multiple_subjects', subject, v, min(subject) OVER (PARTITION BY v) FROM codes QUALIFY count(*) OVER (PARTITION BY v) > 1
+  UNION ALL SELECT 'subject_multiple_codes', subject, min(value) OVER (PARTITION BY subject), value FROM codes QUALIFY count(*) OVER (PARTITION BY subject) > 1
+  UNION ALL SELECT 'missing_unified_social_credit_code', subject, NULL, value FROM n WHERE node_type = 'current_name' AND subject NOT IN (SELECT subject FROM codes)
+  UNION ALL SELECT 'merged_subject', subject, NULL, value FROM n WHERE node_type = 'merged_subject')"""
+
+
+@query("grf7_conflict_paths", f"WITH {_NODES} SELECT * FROM conflicts")
+def _(t: Tables) -> DataFrame:
+    """GRF-7: the five kinds of conflicts of the whole identity graph, each with the path to what it conflicts with."""
+    return I.identity_conflicts(I.with_normal(part_nodes(t)))
+
+
+@query("grf7_identity_lookup", f"""
+WITH {_NODES}, q AS (SELECT p_partkey AS query_id, CASE p_partkey % 100 WHEN 0 THEN {_CODE} WHEN 1 THEN p_name || '-' || p_brand WHEN 2 THEN p_name || ' ' || p_type ELSE substr(p_name, 3) || ' ' || substr(p_brand, 1, 6) END AS query FROM part WHERE p_partkey % 100 < 4),
+k AS (SELECT query_id, p_code, CASE WHEN p_code THEN lower(query) ELSE lower(regexp_replace(query, '[^a-zA-Z0-9]+', '', 'g')) END AS v FROM (SELECT *, regexp_matches(query, '^[0-9A-HJ-NPQRTUWXY]{{18}}$') AS p_code FROM q)),
+hit AS (
+  SELECT query_id, subject, node_type, value, 'code' AS mode, k.v, 0 AS first FROM k JOIN n ON k.p_code AND node_type = 'unified_social_credit_code' AND n.v = k.v
+  UNION ALL SELECT query_id, subject, node_type, value, 'exact', k.v, 0 FROM k JOIN n ON NOT k.p_code AND node_type IN ('current_name', 'former_name') AND n.v = k.v
+  UNION ALL SELECT query_id, subject, node_type, value, 'within', k.v, CASE node_type WHEN 'current_name' THEN 0 ELSE 1 END FROM k JOIN n ON NOT k.p_code AND node_type IN ('current_name', 'former_name') AND contains(n.v, k.v) WHERE k.v NOT IN (SELECT v FROM names)),
+best AS (SELECT query_id, subject, node_type AS matched_by, arg_min(value, place) AS value, any_value(mode) AS mode, any_value(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, subject, node_type, value) AS place FROM hit) WHERE place <= 20 GROUP BY 1, 2, 3)
+SELECT b.query_id, b.subject, b.matched_by, b.value, coalesce(string_agg(DISTINCT c.kind, ',' ORDER BY c.kind) FILTER (CASE c.kind WHEN 'same_name_multiple_subjects' THEN c.by = b.v AND b.mode <> 'code' WHEN 'code_multiple_subjects' THEN c.by = b.v AND b.mode = 'code' ELSE true END), '') AS conflicts
+FROM best b LEFT JOIN conflicts c ON c.subject = b.subject GROUP BY 1, 2, 3, 4""")
+def _(t: Tables) -> DataFrame:
+    """GRF-7: codes, names and parts of names (a set of queries from the table) looked up in the whole graph."""
+    m = F.col("p_partkey") % 100
+    text = F.when(m == 0, part_code()).when(m == 1, F.concat_ws("-", "p_name", "p_brand")).when(m == 2, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.concat_ws(" ", F.expr("substr(p_name, 3)"), F.substring("p_brand", 1, 6)))
+    return I.lookup_identities(part_nodes(t), t.part.filter(m < 4).select(F.col("p_partkey").alias("query_id"), text.alias("query")))
+
+
+def part_identities(t: Tables) -> I.Identities:
+    """All parts as masters; a registry of their names with codes, some of which are invalid."""
+    name, other = F.concat_ws(" ", "p_name", "p_brand"), F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))
+    masters = t.part.select(F.col("p_partkey").alias("master"), name.alias("name"), F.array(other).alias("former"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("e"), F.col("p_partkey").cast("string"))).alias("platform_id"))
+    code = F.when(F.col("p_size") % 3 == 0, F.lit("unknown")).otherwise(part_code())
+    return I.resolve_identities(masters, t.part.filter("p_size > 5").select(name.alias("name"), F.when(F.col("p_size") % 4 == 0, other).alias("former_name"), code.alias("code")))
+
+
+_RESOLVED = f"""
+r AS (SELECT p_name || ' ' || p_brand AS a, CASE WHEN p_size % 4 = 0 THEN p_name || ' ' || p_type || ' ' || p_size END AS b, {_CODE} AS code FROM part WHERE p_size > 5 AND p_size % 3 <> 0),
+known AS (SELECT DISTINCT lower(regexp_replace(x, '[^a-zA-Z0-9]+', '', 'g')) AS v, code FROM (SELECT a AS x, code FROM r UNION ALL SELECT b, code FROM r) WHERE x IS NOT NULL),
+m AS (SELECT p_partkey AS master, p_name || ' ' || p_brand AS name, CASE WHEN p_size % 2 = 0 THEN 'e' || p_partkey END AS platform, [p_name || ' ' || p_brand, p_name || ' ' || p_type || ' ' || p_size] AS every FROM part),
+al AS (SELECT DISTINCT master, lower(regexp_replace(unnest(every), '[^a-zA-Z0-9]+', '', 'g')) AS v FROM m),
+met AS (SELECT master, v, code FROM al JOIN known USING (v)), cand AS (SELECT master, code, min(v) AS by FROM met GROUP BY 1, 2), cnt AS (SELECT master, count(*) AS k, min(code) AS code FROM cand GROUP BY 1),
+res AS (SELECT m.master, m.name, CASE WHEN k = 1 THEN code WHEN k > 1 THEN 'pending:' || coalesce(platform, lower(regexp_replace(name, '[^a-zA-Z0-9]+', '', 'g'))) ELSE coalesce('platform:' || platform, 'name:' || lower(regexp_replace(name, '[^a-zA-Z0-9]+', '', 'g'))) END AS identity_key,
+  CASE WHEN k = 1 THEN 'authoritative_code' WHEN k > 1 THEN 'conflict_pending_manual_review' ELSE 'platform_or_name_pending_code' END AS confidence, CASE WHEN k = 1 THEN code END AS code FROM m LEFT JOIN cnt USING (master))"""
+
+
+@query("grf8_identities", f"WITH {_RESOLVED} SELECT identity_key, max(code) AS code, arg_min(name, master) AS current_name, arg_min(confidence, master) AS confidence, count(*) AS n_masters FROM res GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """GRF-8: an identity for every part: by its one code, pending where codes conflict, by platform or name else."""
+    return part_identities(t).identities
+
+
+@query("grf8_code_conflicts", f"""
+WITH {_RESOLVED}, o AS (SELECT c.master, c.code, c.by, cnt.code AS anchor FROM cand c JOIN cnt USING (master) WHERE k > 1),
+sh AS (SELECT o.master, o.code, min(x.v) AS shared FROM o JOIN met x ON x.master = o.master AND x.code = o.code JOIN met y ON y.master = o.master AND y.code = o.anchor AND y.v = x.v WHERE o.code <> o.anchor GROUP BY 1, 2)
+SELECT o.master, o.code, CASE WHEN shared IS NOT NULL THEN o.anchor || ' > ' || shared || ' > ' || o.code ELSE o.anchor || ' > ' || a.by || ' > master:' || o.master || ' > ' || o.by || ' > ' || o.code END AS path
+FROM o JOIN o a ON a.master = o.master AND a.code = o.anchor LEFT JOIN sh ON sh.master = o.master AND sh.code = o.code WHERE o.code <> o.anchor""")
+def _(t: Tables) -> DataFrame:
+    """GRF-8: the codes that conflict for a part, each with its shortest path to the smallest."""
+    return part_identities(t).conflicts
+
+
+@query("grf8_components", f"""
+WITH RECURSIVE {_NODES}, k AS (SELECT subject, 'n' || v AS key FROM names UNION ALL SELECT subject, 'c' || v FROM codes), f AS (SELECT key, min(subject) AS src FROM k GROUP BY 1),
+e AS (SELECT DISTINCT src, subject AS dst FROM k JOIN f USING (key) WHERE src <> subject), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), walk AS (SELECT DISTINCT subject AS a, subject AS b FROM n UNION SELECT w.a, b.dst FROM walk w JOIN b ON b.src = w.b)
+SELECT a AS subject, min(b) AS component FROM walk GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    """GRF-8, GRF-1: subjects that names and codes connect."""
+    return I.identity_components(I.with_normal(part_nodes(t)))
+
+
 _POLICIES = "p AS (SELECT c_nationkey AS project, o_orderkey AS document, year(o_orderdate) AS y, o_orderstatus = 'F' AND o_orderkey % 50 = 0 AS in_force, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey), x AS (SELECT document, lag(document) OVER (PARTITION BY o_custkey ORDER BY document) AS cited FROM p)"
 
 
