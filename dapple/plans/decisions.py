@@ -12,6 +12,8 @@ from dapple.operators import identity as I
 from dapple.operators import lifecycle as L
 from dapple.operators import relational as R
 from dapple.operators import rules as U
+from dapple.operators.ledger import RunLedger
+from dapple.operators.storage import fresh_path
 from dapple.plans.registry import Tables, query
 
 RULE = {
@@ -527,6 +529,21 @@ def _(t: Tables) -> DataFrame:
     return g.withColumn("status", F.when(F.col("rejected") == 0, "success").when(F.col("rejected") == F.col("n"), "failed").otherwise("partial"))
 
 
+@query("ups4_run_ledger", """
+WITH r AS (SELECT event_type, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'no number' WHEN value < 1 OR event_type = 'error' THEN 'value' END AS problem FROM events)
+SELECT 'first' AS run, event_type AS input, CASE count(problem) WHEN 0 THEN 'success' WHEN count(*) THEN 'failed' ELSE 'partial' END AS status, count(*) AS rows, count(problem) AS rejected FROM r GROUP BY 2""")
+def _(t: Tables) -> DataFrame:
+    """UPS-4: a run over the event types as inputs, broken off after two and started again; its ledger."""
+    ledger = RunLedger(t.spark, fresh_path(t.spark, "ledger"))
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    problem = F.when(k.isNull(), "no number").when((F.col("value") < 1) | (F.col("event_type") == "error"), "value")
+    kinds = [r.event_type for r in t.events.select("event_type").distinct().orderBy("event_type").collect()]
+    inputs = {kind: lambda kind=kind: t.events.filter(F.col("event_type") == kind) for kind in kinds}
+    ledger.run("first", dict(list(inputs.items())[:2]), problem)
+    ledger.run("first", inputs, problem)
+    return ledger.entries().select("run", "input", "status", "rows", "rejected")
+
+
 @query("ups9_override_replay", "SELECT p_partkey, CASE WHEN p_partkey % 97 = 0 THEN 'manual' ELSE p_brand END AS cluster FROM part")
 def _(t: Tables) -> DataFrame:
     """UPS-9: assignments made by hand survive a rebuild. (Those are made up here.)"""
