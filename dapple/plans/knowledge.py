@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dapple.functions import text as T
 from dapple.operators import dictionary as D
+from dapple.operators import queryplan as Q
 from dapple.operators import relational as R
 from dapple.operators import rules as U
 from dapple.plans.registry import Tables, query
@@ -84,6 +85,50 @@ def _(t: Tables) -> DataFrame:
     return q.select("conv_id", "turn", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("rewritten"), F.regexp_extract("x", r"\b(20[0-9]{2})\b", 1).alias("year"), F.when(F.col("x").rlike(r"\b(not|without|except)\b"), "excluding").otherwise("plain").alias("kind"))
 
 
+#: Words that exclude what follows; words that only say that something is asked.
+_EXCLUDE, _INTENT = ("not", "without", "ne", "pas", "nicht", "kein", "sin", "no"), ("please", "tell me", "what is", "the", "le", "der", "la que")
+
+
+def question_aliases(t: Tables) -> DataFrame:
+    """Aliases from the benchmark: word pairs stand for projects, long words for regions, short ones for subjects."""
+    w = T.words(F.col("text"))
+    pairs = t.benchmark.select("item_id", F.posexplode(F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))).alias("i", "alias"))
+    pairs = pairs.filter(F.contains("alias", F.lit(" "))).groupBy("alias").agg(F.min("item_id").alias("item")).select("alias", F.lit("project").alias("kind"), F.concat(F.lit("project "), F.col("item").cast("string")).alias("canonical"))
+    words = t.benchmark.select(F.explode(w).alias("alias")).distinct()
+    long_ = words.filter(F.length("alias") >= 6).select("alias", F.lit("region").alias("kind"), F.upper("alias").alias("canonical"))
+    short = words.filter(F.length("alias").between(4, 5)).select("alias", F.lit("subject").alias("kind"), F.reverse("alias").alias("canonical"))
+    fixed = t.spark.createDataFrame([*((a, "exclude", a) for a in _EXCLUDE), *((a, "intent", "") for a in _INTENT)], "alias string, kind string, canonical string")
+    return pairs.unionByName(long_).unionByName(short).unionByName(fixed)
+
+
+_QUESTIONS = rf"""
+WITH RECURSIVE bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark), words AS (SELECT DISTINCT unnest(w) AS alias FROM bw),
+al AS (SELECT alias, arg_min(kind, (kind, canonical)) AS kind, arg_min(canonical, (kind, canonical)) AS canonical FROM (
+  SELECT alias, 'project' AS kind, 'project ' || min(item_id) AS canonical FROM (SELECT item_id, w[i] || ' ' || w[i + 1] AS alias FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM bw)) GROUP BY 1
+  UNION ALL SELECT alias, 'region', upper(alias) FROM words WHERE length(alias) >= 6 UNION ALL SELECT alias, 'subject', reverse(alias) FROM words WHERE length(alias) BETWEEN 4 AND 5
+  UNION ALL SELECT unnest({list(_EXCLUDE)!r}), 'exclude', unnest({list(_EXCLUDE)!r}) UNION ALL SELECT unnest({list(_INTENT)!r}), 'intent', '') GROUP BY 1),
+q AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM conversations),
+pos AS (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM q),
+at_ AS (SELECT conv_id, turn, i, coalesce(p.kind, o.kind) AS kind, coalesce(p.canonical, o.canonical) AS canonical, CASE WHEN p.kind IS NOT NULL THEN 2 ELSE 1 END AS n, w[i] AS word FROM pos LEFT JOIN al p ON p.alias = w[i] || ' ' || w[i + 1] LEFT JOIN al o ON o.alias = w[i]),
+walk AS (SELECT * FROM at_ WHERE i = 1 UNION ALL SELECT a.* FROM walk k JOIN at_ a ON a.conv_id = k.conv_id AND a.turn = k.turn AND a.i = k.i + k.n),
+m AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY conv_id, turn ORDER BY i) = 'exclude', false) AS gone FROM walk),
+g AS (SELECT conv_id, turn, trim(regexp_replace(string_agg(coalesce(canonical, word), ' ' ORDER BY i), ' +', ' ', 'g')) AS rewritten,
+  list(canonical ORDER BY i) FILTER (kind = 'project' AND NOT gone) AS p, list(canonical ORDER BY i) FILTER (kind = 'region' AND NOT gone) AS r, list(canonical ORDER BY i) FILTER (kind = 'subject' AND NOT gone) AS s, list(canonical ORDER BY i) FILTER (kind IN ('project', 'region', 'subject') AND gone) AS x FROM m GROUP BY 1, 2),
+d AS (SELECT conv_id, turn, rewritten, list_filter(coalesce(p, []), lambda v, i: list_position(p, v) = i) AS p, list_filter(coalesce(r, []), lambda v, i: list_position(r, v) = i) AS r, list_filter(coalesce(s, []), lambda v, i: list_position(s, v) = i) AS s, list_filter(coalesce(x, []), lambda v, i: list_position(x, v) = i) AS x FROM g)
+SELECT q.conv_id, q.turn, coalesce(rewritten, '') AS rewritten, coalesce(array_to_string(p, ','), '') AS projects, coalesce(array_to_string(r, ','), '') AS regions, coalesce(array_to_string(s, ','), '') AS subjects, coalesce(array_to_string(x, ','), '') AS excluded,
+  coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(q.text, '(?:^|[^0-9])(20[0-9]{{2}})(?:$|[^0-9])', 1))), ','), '') AS years,
+  CASE WHEN len(p) > 0 THEN array_to_string(list_transform(p, lambda v: array_to_string(list_append(r, v), ' ')), ',') ELSE coalesce(rewritten, '') END AS variants FROM q LEFT JOIN d ON d.conv_id = q.conv_id AND d.turn = q.turn"""
+
+
+@query("str17_18_alias_plan", _QUESTIONS)
+def _(t: Tables) -> DataFrame:
+    """STR-17, STR-18: every turn taken apart by a table of thousands of aliases, leftmost and longest first."""
+    rows = t.conversations.select(F.struct("conv_id", "turn").alias("key"), "text")
+    plan = Q.query_plan(rows, "key", "text", question_aliases(t))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return plan.select("key.*", "rewritten", *[text(c) for c in ("projects", "regions", "subjects", "excluded", "years", "variants")])
+
+
 #: Field, phrase; operator, phrase. Longer phrases first, so that "not less than" is not "less than".
 FIELDS = (("balance", "account balance"), ("balance", "balance"), ("orders", "number of orders"), ("segment", "market segment"))
 COMPARES = (("gte", "not less than"), ("gte", "at least"), ("lte", "no more than"), ("lte", "at most"), ("gt", "more than"), ("lt", "less than"))
