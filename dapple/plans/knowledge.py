@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dapple.functions import claims as C
 from dapple.functions import text as T
 from dapple.operators import dictionary as D
 from dapple.operators import queryplan as Q
@@ -85,6 +86,34 @@ def _(t: Tables) -> DataFrame:
     return q.select("conv_id", "turn", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("rewritten"), F.regexp_extract("x", r"\b(20[0-9]{2})\b", 1).alias("year"), F.when(F.col("x").rlike(r"\b(not|without|except)\b"), "excluding").otherwise("plain").alias("kind"))
 
 
+@query("str15_claim_analysis", """
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'MARKUSH' WHEN p_size % 2 = 0 OR p_size % 5 = 0 THEN 'ALTERNATIVE' ELSE 'CONJUNCTION' END AS logic_type,
+  CASE WHEN p_size % 7 = 0 THEN 3 ELSE 1 END AS nesting_depth,
+  concat_ws('|', CASE WHEN p_size % 2 = 0 THEN 'selection:' || p_name || ';' || p_type || ';bolts (M3, M4)' END, CASE WHEN p_size % 5 = 0 THEN 'parenthetical_or:dry;very wet' END) AS alternatives,
+  CASE WHEN p_size % 3 = 0 THEN 'R1,R2:alkyl;aryl;' || p_type || '|X3:' || p_brand || ';none' ELSE '' END AS markush,
+  p_size || '..' || (p_size + 2) || '.5 mm' AS ranges, 'FIG.1,FIG.' || p_size || 'b' AS figures,
+  concat_ws(',', CASE WHEN p_size % 3 = 0 THEN 'markush' END, CASE WHEN p_size % 10 = 0 THEN 'several_alternatives' END, CASE WHEN p_size % 7 = 0 THEN 'depth' END) AS reasons FROM part""")
+def _(t: Tables) -> DataFrame:
+    """STR-15: claims written from the columns of parts, taken apart again."""
+    size = F.col("p_size")
+    n, up = size.cast("string"), (size + 2).cast("string")
+    text = F.concat(
+        F.lit("A part as in FIG. 1 and FIG. "), n, F.lit("b, FIG. 1, between "), n, F.lit(" to "), up, F.lit(".5 mm (long)"),
+        F.when(size % 2 == 0, F.concat(F.lit("; one or more selected from "), "p_name", F.lit(", "), "p_type", F.lit(" and bolts (M3, M4)"))).otherwise(""),
+        F.when(size % 5 == 0, F.lit("; stored (dry or very wet)")).otherwise(""),
+        F.when(size % 3 == 0, F.concat(F.lit("; R1 and R2 are each independently alkyl, aryl or "), "p_type", F.lit("; X3 is "), "p_brand", F.lit(", none; R1 is this, that"))).otherwise(""),
+        F.when(size % 7 == 0, F.lit("; [a {b (c] d)} e]")).otherwise(""), F.lit("."),
+    )
+    got = C.claim_structure(t.part.select("p_partkey", text.alias("claim")), "p_partkey", "claim")
+    options = lambda g: F.array_join(g["options"], ";")
+    joined = lambda c, f, sep="|": F.array_join(F.transform(c, f), sep)
+    return got.select(
+        "p_partkey", "logic_type", "nesting_depth", joined("alternative_groups", lambda g: F.concat_ws(":", g["group_type"], options(g))).alias("alternatives"),
+        joined("markush_groups", lambda g: F.concat_ws(":", F.array_join(g["variables"], ","), options(g))).alias("markush"),
+        joined("numeric_ranges", lambda r: F.concat(r["lower"], F.lit(".."), r["upper"], F.lit(" "), r["unit"])).alias("ranges"), F.array_join("figure_markers", ",").alias("figures"), F.array_join("review_reasons", ",").alias("reasons"),
+    )
+
+
 #: Words that exclude what follows; words that only say that something is asked.
 _EXCLUDE, _INTENT = ("not", "without", "ne", "pas", "nicht", "kein", "sin", "no"), ("please", "tell me", "what is", "the", "le", "der", "la que")
 
