@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from dapple.functions import text as T
-from dapple.operators import graph, lifecycle, relational, rules, search
+from dapple.operators import assignment, graph, lifecycle, relational, rules, search
 
 
 def test_pick_best_and_latest(spark):
@@ -121,3 +122,21 @@ def test_greedy_match_equals_one_pass(spark):
     got = relational.greedy_match(spark.createDataFrame(pairs, "a long, b long, s double"), "a", "b", "s")
     assert {tuple(x) for x in got.collect()} == want
     assert relational.greedy_match(spark.createDataFrame([], "a long, b long, s double"), "a", "b", "s").collect() == []
+
+
+def test_nearest_assignment_equals_one_pass(spark):
+    r = random.Random(14)
+    for many, span in ((60, 400), (25, 12)):
+        left = [(i, r.choice("xyz"), r.randrange(span)) for i in range(many)] + [(900, None, 3), (901, "x", None), (902, "alone", 5)]
+        right = [(1000 + i, r.choice("xyz"), r.randrange(span)) for i in range(30)]
+        pairs = sorted((abs(v - w), i, j, p) for i, p, v in left for j, q, w in right if p == q and p is not None and v is not None)
+        used, want = set(), set()
+        for d, i, j, p in pairs:
+            if i not in used and j not in used:
+                used |= {i, j}
+                want.add((p, i, j, d))
+        schema = "id long, b string, v long"
+        x, y = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).withColumnRenamed("id", "other")
+        got = assignment.nearest_assignment(x, y, "b", F.col("v"), F.col("v"), "id", "other")
+        assert {tuple(z) for z in got.collect()} == want
+    assert assignment.nearest_assignment(x.limit(0), y, "b", F.col("v"), F.col("v"), "id", "other").collect() == []
