@@ -142,3 +142,16 @@ def composite_leaves(packs: DataFrame, key: str, text: str, suffix: str = "_met"
     bad = one.filter(F.col("field").endswith(suffix) & ~F.coalesce(F.col("semantics").isin(*atomic), F.lit(False)))
     joins = F.coalesce(F.col("quote").rlike(r"(?i)\b(and|or|both|either|unless)\b"), F.lit(False))
     return bad.select(key, F.col("at").alias("path"), "field", F.when(joins, "composite").otherwise("undeclared").alias("problem"))
+
+
+def validate_lineage(rows: DataFrame, keys: list[str], sources: DataFrame, on: Column, source_key: str, checks: dict[str, Column]) -> DataFrame:
+    """RUL-11: (keys, problem), a row for each problem of each record.
+
+    duplicate: another row has the keys; no source: no row of ``sources``, unique by ``source_key``, meets ``on``;
+    and the named checks, conditions on the record and its source, that hold. A null condition is no problem.
+    """
+    twice = rows.groupBy(*keys).agg(F.count("*").alias("_same")).filter("_same > 1")
+    counted = rows.join(twice.select(*[F.col(k).alias(f"_{k}") for k in keys], "_same"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    both = counted.join(sources, on, "left")
+    found = [F.when(F.col("_same") > 1, "duplicate"), F.when(F.col(source_key).isNull(), "no source"), *[F.when(c, F.lit(n)) for n, c in checks.items()]]
+    return both.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("problem"))

@@ -86,6 +86,25 @@ def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> D
     return part.crossJoin(F.broadcast(total)).withColumns({"has_more": more, "next_offset": F.when(more, F.lit(offset + limit))})
 
 
+def route_requests(asked: DataFrame, lists: DataFrame, family: str, fields: dict[str, str], most: int = 200) -> DataFrame:
+    """FLT-15: (id, status, total, page_size, first, has_more) of requests (id, family, field, wanted, size, start).
+
+    ``lists`` has the rows of all families; ``fields`` are the filters that they support and their columns. A
+    request to a family without rows or with another filter is rejected, sizes are clamped to 1..``most`` and
+    starts to 0 and more. Rows are counted once for all requests, by family, filter and value.
+    """
+    counts = None
+    for name, column in fields.items():
+        one = lists.groupBy(F.col(family).alias("_family"), F.lit(name).alias("_field"), F.col(column).cast("string").alias("_value")).agg(F.count("*").alias("_total"))
+        counts = one if counts is None else counts.unionByName(one)
+    known = lists.select(F.col(family).alias("_known")).distinct()
+    met = asked.join(known, F.col(family) == F.col("_known"), "left").join(counts, (F.col(family) == F.col("_family")) & (F.col("field") == F.col("_field")) & (F.col("wanted") == F.col("_value")), "left")
+    status = F.when(F.col("_known").isNull(), "unknown list").when(~F.coalesce(F.col("field").isin(*fields), F.lit(False)), "unsupported filter").otherwise("accepted")
+    size, first = F.least(F.greatest("size", F.lit(1)), F.lit(most)), F.greatest("start", F.lit(0))
+    total = F.when(status == "accepted", F.coalesce("_total", F.lit(0)))
+    return met.select("id", status.alias("status"), total.alias("total"), size.alias("page_size"), first.alias("first"), (total > first + size).alias("has_more"))
+
+
 def top_per_group(rows: DataFrame, keys: Keys, order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group with their rank; Spark cuts each task's groups to k before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

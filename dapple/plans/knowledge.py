@@ -9,6 +9,7 @@ from dapple.functions import claims as C
 from dapple.functions import text as T
 from dapple.operators import assignment as A
 from dapple.operators import dictionary as D
+from dapple.operators import evidence as E
 from dapple.operators import queryplan as Q
 from dapple.operators import relational as R
 from dapple.operators import rules as U
@@ -192,6 +193,83 @@ def _(t: Tables) -> DataFrame:
     return rows.select("k", "id", validity.alias("validity"), F.when(F.col("s") != "P", F.col("next")).alias("replaced_by"))
 
 
+_TITLES = ("拟认定名单公示", "认定名单", "撤销资格的通知", "继续支持名单", "重新认定名单", "拟复核名单", "复核通过名单", "复核对象名单", "更名公告", "科技型中小企业评价", "通知")
+_RULE_ORDER = [(k, w, i) for i, (k, ws) in enumerate(U.EVENT_TERMS) for w in ws]
+
+
+@query("rul12_event_kinds", f"""
+WITH o AS (SELECT o_orderkey, {list(_TITLES)!r}[o_orderkey % {len(_TITLES)} + 1] || ' ' || CASE WHEN o_orderstatus = 'P' THEN '变更' ELSE '' END AS x, CASE WHEN o_custkey % 10 = 0 THEN '{U.ANNUAL_PROJECT}' ELSE '其他' END AS project FROM orders),
+r(kind, term, i) AS (VALUES {', '.join(f"('{k}', '{w}', {i})" for k, w, i in _RULE_ORDER)})
+SELECT o_orderkey, coalesce((SELECT arg_min(kind, i) FROM (SELECT kind, i FROM r WHERE contains(x, term) UNION ALL SELECT 'annual_evaluation', {[k for k, _ in U.EVENT_TERMS].index("annual_evaluation")} WHERE project = '{U.ANNUAL_PROJECT}')), 'recognition') AS kind FROM o""")
+def _(t: Tables) -> DataFrame:
+    """RUL-12: what kind of event a title and a status tell of, by the ordered terms."""
+    title = F.element_at(F.array(*[F.lit(x) for x in _TITLES]), (F.col("o_orderkey") % len(_TITLES) + 1).cast("int"))
+    project = F.when(F.col("o_custkey") % 10 == 0, U.ANNUAL_PROJECT).otherwise("其他")
+    return t.orders.select("o_orderkey", U.event_kind(title, F.when(F.col("o_orderstatus") == "P", "变更"), project).alias("kind"))
+
+
+_MODES = ("current-assessment", "forecast", "historical-fact", "pre-application")
+
+
+@query("rul8_transition_routes", f"""
+WITH g AS (SELECT p_brand AS family, p_type AS place, 'F' || min(p_partkey) AS formal, {['in_force', 'draft', 'invalid-expired']!r}[min(p_size) % 3 + 1] AS formal_status, CASE WHEN max(p_size) % 4 > 0 THEN 'N' || max(p_partkey) END AS prospective, {['draft', 'active_candidate', 'withdrawn']!r}[max(p_size) % 3 + 1] AS prospective_status, count(*) % 3 > 0 AS verified, max(p_size) % 5 > 0 AS replaces FROM part GROUP BY 1, 2),
+q AS (SELECT c_custkey AS id, 'Brand#' || (c_custkey % 28) AS family, CASE c_nationkey % 4 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'PROMO' WHEN 2 THEN 'ECONOMY' ELSE 'NOWHERE' END AS place, {list(_MODES)!r}[c_custkey % 4 + 1] AS mode FROM customer),
+j AS (SELECT q.*, g.* EXCLUDE (family, place), g.family IS NOT NULL AS known, mode IN ('forecast', 'pre-application') AND prospective IS NOT NULL AND prospective_status IN ('draft', 'active_candidate') AND verified AND replaces AS draft FROM q LEFT JOIN g ON g.family = q.family AND g.place = q.place)
+SELECT id, CASE WHEN known THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN draft THEN prospective ELSE formal END AS primary_policy, CASE WHEN draft THEN prospective_status ELSE formal_status END AS primary_status, coalesce(known AND draft, false) AS draft_used,
+  CASE WHEN known THEN CASE WHEN draft THEN 'current-formal-and-historical-only' WHEN mode = 'historical-fact' THEN 'historical-time-point-only' ELSE 'current-formal' END END AS old_policy_role, coalesce(known AND NOT draft AND mode <> 'historical-fact' AND formal_status = 'in_force', false) AS formal_allowed FROM j""")
+def _(t: Tables) -> DataFrame:
+    """RUL-8: the policy that a place and a purpose lead to, and what it may be used for."""
+    pick = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), (c % len(names) + 1).cast("int"))
+    low, high = F.min("p_size"), F.max("p_size")
+    registry = t.part.groupBy(F.col("p_brand").alias("family"), F.col("p_type").alias("place")).agg(
+        F.concat(F.lit("F"), F.min("p_partkey").cast("string")).alias("formal"), pick(("in_force", "draft", "invalid-expired"), low).alias("formal_status"),
+        F.when(high % 4 > 0, F.concat(F.lit("N"), F.max("p_partkey").cast("string"))).alias("prospective"), pick(("draft", "active_candidate", "withdrawn"), high).alias("prospective_status"), (F.count("*") % 3 > 0).alias("verified"), (high % 5 > 0).alias("replaces"),
+    )
+    n = F.col("c_nationkey") % 4
+    place = F.when(n == 0, "SMALL").when(n == 1, "PROMO").when(n == 2, "ECONOMY").otherwise("NOWHERE")
+    requests = t.customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 28).cast("string")).alias("family"), place.alias("place"), pick(_MODES, F.col("c_custkey")).alias("mode"))
+    return U.transition_routes(registry, requests)
+
+
+@query("rul13_supersession", r"""
+WITH r AS (SELECT array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:2], ' ') AS term, item_id % 7 AS priority, 'item ' || item_id AS replacement, CASE WHEN item_id % 2 = 0 THEN 'notice' ELSE 'text' END AS basis FROM benchmark),
+u AS (SELECT term, min((priority, replacement, basis)) AS m FROM r GROUP BY 1), d AS (SELECT doc_id, lower(text) AS x, coalesce(lang = 'de', false) AS draft FROM documents),
+b AS (SELECT doc_id, arg_min(u.term, (r.priority, r.term, r.replacement, r.basis)) AS term, min((r.priority, r.term, r.replacement, r.basis)) AS k FROM d JOIN r ON NOT draft AND r.term <> '' AND contains(x, r.term) JOIN u USING (term) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN draft THEN 'draft' WHEN b.doc_id IS NOT NULL THEN 'superseded' ELSE 'current' END AS validity, k[3] AS replacement, k[4] AS basis FROM d LEFT JOIN b ON b.doc_id = d.doc_id""")
+def _(t: Tables) -> DataFrame:
+    """RUL-13: which documents a table of term rules says are superseded, by what and on what basis; drafts are exempt."""
+    n = F.col("item_id")
+    rules = t.benchmark.select(F.array_join(F.slice(T.words(F.col("text")), 1, 2), " ").alias("term"), (n % 7).alias("priority"), F.concat(F.lit("item "), n.cast("string")).alias("replacement"), F.when(n % 2 == 0, "notice").otherwise("text").alias("basis"))
+    docs = t.documents.select("doc_id", F.lower("text").alias("x"), "lang")
+    return U.supersession(docs, "doc_id", "x", F.col("lang") == "de", rules)
+
+
+@query("flt15_routing_table", """
+WITH asked AS (SELECT c_custkey AS id, ['volume', 'compact', 'offers', 'antiques'][c_custkey % 4 + 1] AS list, ['brand', 'size', 'colour'][c_custkey % 3 + 1] AS field, CASE WHEN c_custkey % 3 = 0 THEN 'Brand#' || (c_custkey % 26) ELSE (c_custkey % 50)::VARCHAR END AS wanted, c_custkey % 700 - 100 AS size, c_nationkey * 7 - 20 AS start FROM customer),
+kinds(list, type) AS (VALUES ('volume', 'STANDARD'), ('volume', 'LARGE'), ('compact', 'SMALL'), ('compact', 'MEDIUM'), ('offers', 'ECONOMY'), ('offers', 'PROMO')),
+c AS (SELECT list, 'brand' AS field, p_brand AS wanted, count(*) AS total FROM part JOIN kinds ON p_type = type GROUP BY 1, 3 UNION ALL SELECT list, 'size', p_size::VARCHAR, count(*) FROM part JOIN kinds ON p_type = type GROUP BY 1, 3)
+SELECT id, CASE WHEN a.list = 'antiques' THEN 'unknown list' WHEN a.field = 'colour' THEN 'unsupported filter' ELSE 'accepted' END AS status, CASE WHEN a.list <> 'antiques' AND a.field <> 'colour' THEN coalesce(total, 0) END AS total, least(greatest(size, 1), 200) AS page_size, greatest(start, 0) AS first,
+  CASE WHEN a.list <> 'antiques' AND a.field <> 'colour' THEN coalesce(total, 0) > greatest(start, 0) + least(greatest(size, 1), 200) END AS has_more FROM asked a LEFT JOIN c ON c.list = a.list AND c.field = a.field AND c.wanted = a.wanted""")
+def _(t: Tables) -> DataFrame:
+    """FLT-15: a table of requests to the list families that answer for them, with the rows each would get."""
+    k = F.col("c_custkey")
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+    wanted = F.when(k % 3 == 0, F.concat(F.lit("Brand#"), (k % 26).cast("string"))).otherwise((k % 50).cast("string"))
+    asked = t.customer.select(k.alias("id"), pick("volume", "compact", "offers", "antiques").alias("list"), pick("brand", "size", "colour").alias("field"), wanted.alias("wanted"), (k % 700 - 100).alias("size"), (F.col("c_nationkey") * 7 - 20).alias("start"))
+    kinds = t.spark.createDataFrame([("volume", "STANDARD"), ("volume", "LARGE"), ("compact", "SMALL"), ("compact", "MEDIUM"), ("offers", "ECONOMY"), ("offers", "PROMO")], "list string, p_type string")
+    return R.route_requests(asked, t.part.join(F.broadcast(kinds), "p_type"), "list", {"brand": "p_brand", "size": "p_size"})
+
+
+@query("rul11_lineage_validators", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_returnflag, o_orderkey, o_orderdate, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS same FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P')
+SELECT l_orderkey, l_linenumber, unnest(list_filter([CASE WHEN same > 1 THEN 'duplicate' END, CASE WHEN o_orderkey IS NULL THEN 'no source' END, CASE WHEN l_shipdate < o_orderdate THEN 'before its source' END, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'enumeration' END, CASE WHEN l_quantity IS NULL OR l_quantity > 49 THEN 'range' END], lambda x: x IS NOT NULL)) AS problem FROM l""")
+def _(t: Tables) -> DataFrame:
+    """RUL-11: records against what they rest on: duplicates, missing sources, dates before the source's, enumerations, ranges."""
+    sources = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_orderdate")
+    checks = {"before its source": F.col("l_shipdate") < F.col("o_orderdate"), "enumeration": ~F.col("l_returnflag").isin("A", "N"), "range": F.col("l_quantity").isNull() | (F.col("l_quantity") > 49)}
+    return E.validate_lineage(t.lineitem, ["l_orderkey", "l_linenumber"], sources, F.col("l_orderkey") == F.col("o_orderkey"), "o_orderkey", checks)
+
+
 @query("rul10_claim_matrix", r"""
 WITH b AS (SELECT item_id AS claim, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark), f AS (SELECT DISTINCT claim, array_to_string(w[i:i + 2], ' ') AS feature FROM (SELECT claim, w, unnest(range(1, len(w) - 1)) AS i FROM b)),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS feature FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),

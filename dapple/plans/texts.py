@@ -13,6 +13,7 @@ from dapple.operators import search as S
 from dapple.operators.segments import SegmentedIndex
 from dapple.operators.storage import cut, files_state, fresh_path
 from dapple.plans.registry import Tables, query
+from dapple.sources import files as src
 
 _PARTS = r"""
 parts AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk, substr(text, CAST(i * 1020 + 1 AS INTEGER), 1200) AS content FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(0, CAST(greatest(ceil((length(coalesce(text, '')) - 1200) / 1020.0), 0) AS BIGINT) + 1)) AS i FROM documents)),
@@ -207,6 +208,50 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_count(low, F.lit("<tr[ >]")).cast("long").alias("n_rows"), F.regexp_count(low, F.lit("<(td|th|li|p)[ >]")).cast("long").alias("n_cells"), title.alias("title"))
 
 
+def order_pages(t: Tables) -> DataFrame:
+    """A page for each order, with a table of its lines under a heading."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>Part <b>"), F.col("l_partkey").cast("string"), F.lit("</b>\nWorks </td><TD class='q'>"), F.col("l_returnflag"), F.lit("</TD></tr>")).alias("tr"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["tr"]), "\n").alias("trs"))
+    html = F.concat(F.lit("<h1>Orders</h1><p>intro</p><h2 id='x'>Order <i>"), F.col("l_orderkey").cast("string"), F.lit("</i></h2><table><tr><th>No</th><th>Name</th></tr>"), "trs", F.lit("</table>"))
+    return rows.select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
+
+
+@query("src11_table_cells", "SELECT l_orderkey AS page_id, l_linenumber::INTEGER AS row, l_linenumber || '|Part ' || l_partkey || ' Works|' || l_returnflag AS cells FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 0, 'No|Name' FROM lineitem")
+def _(t: Tables) -> DataFrame:
+    """SRC-11: the cells of all table rows, from pages that are written from the orders."""
+    got = src.table_cells(order_pages(t))
+    # a row's number in its page is its line's, as orders number their lines from 1 without gaps
+    return got.select("page_id", F.when(F.col("row") == 0, 0).otherwise(F.get("cells", F.lit(0)).cast("int")).alias("row"), F.array_join("cells", "|").alias("cells"))
+
+
+@query("str9_table_entities", "SELECT l_orderkey AS page_id, l_linenumber::INTEGER AS sequence, 'Part ' || l_partkey || ' Works' AS name, 'Order ' || l_orderkey AS context FROM lineitem")
+def _(t: Tables) -> DataFrame:
+    """STR-9, WIN-8: the names in the tables of pages, with their sequence and the heading they stand under."""
+    return src.table_entities(order_pages(t), r"\S.* Works").drop("place")
+
+
+@query("jsn2_entities", "SELECT l_orderkey AS k, 'Part ' || l_partkey AS name, CASE WHEN l_orderkey % 3 = 1 THEN l_shipdate::DATE::VARCHAR END AS day, l_returnflag AS flag, l_quantity::BIGINT::VARCHAR AS amount FROM lineitem")
+def _(t: Tables) -> DataFrame:
+    """JSN-2: records out of JSON texts of several shapes (lists, lists in an object), fields under several names."""
+    n = F.col("l_orderkey") % 3
+    none = F.lit(None).cast("string")
+    name = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
+    record = F.struct(F.when(n == 0, name).alias("name"), F.when(n == 1, F.lit(" ")).otherwise(none).alias("title"), F.when(n != 0, name).alias("enterprise"), F.when(n == 1, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("long").alias("qty"))
+    texts = t.lineitem.groupBy("l_orderkey").agg(F.to_json(F.collect_list(record)).alias("x"))
+    n = F.col("l_orderkey") % 3
+    text = F.when(n == 2, F.concat(F.lit('{"total": 9, "data": '), "x", F.lit("}"))).otherwise(F.col("x"))
+    fields = {"name": ("name", "title", "enterprise"), "day": ("day", "date"), "flag": ("flag",), "amount": ("amount", "qty")}
+    return src.json_entities(texts.select(F.col("l_orderkey").alias("k"), text.alias("t")), "k", "t", fields).drop("place")
+
+
+@query("str1_nfkc_names", r"SELECT c_custkey, lower(regexp_replace(c_name, '[^\p{L}\p{N}]+', '', 'g')) || 'kg1' AS name FROM customer")
+def _(t: Tables) -> DataFrame:
+    """STR-1: names in full-width letters, with compatibility signs, in their normal form."""
+    narrow = "".join(chr(c) for c in range(0x21, 0x7F))
+    wide = F.translate("c_name", narrow, "".join(chr(ord(c) + 0xFEE0) for c in narrow))
+    return t.customer.select("c_custkey", T.compact_name(T.nfkc(F.concat(wide, F.lit(" \u338f\u00b9")))).alias("name"))
+
+
 @query("str1_2_names", r"SELECT c_custkey, lower(regexp_replace(c_name, '[^\p{L}\p{N}]+', '', 'g')) AS name, sha256(c_name || chr(31) || c_mktsegment) AS id FROM customer")
 def _(t: Tables) -> DataFrame:
     """STR-1, STR-2."""

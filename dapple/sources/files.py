@@ -67,6 +67,46 @@ def table_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     return pages.select(key, F.posexplode(row).alias("row", "tr")).select(key, "row", clean.alias("cells"))
 
 
+def table_entities(pages: DataFrame, name: str, key: str = "page_id", html: str = "html") -> DataFrame:
+    """STR-9: (key, place, sequence, name, context) of the table rows that hold a name.
+
+    ``name`` is a pattern for a whole cell; the first cell of a row that fits is its name. The sequence is the
+    first cell, if it is a number and not the name; the context is the text of the last heading before the row,
+    or else ''. Places count headings and rows from 0. Pages that are null or have no rows give none.
+    """
+    part = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>|<tr\b[^>]*>.*?</tr>"), F.lit(0))
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
+    is_row = lambda x: F.lower(F.left(x, F.lit(3))) == "<tr"
+    first = F.struct(F.lit("").alias("context"), F.from_json(F.lit("[]"), "array<struct<context:string,tr:string>>").alias("rows"))
+
+    def carry(acc: Column, x: Column) -> Column:
+        row = F.struct(acc["context"].alias("context"), F.when(is_row(x), x).alias("tr"))
+        return F.struct(F.when(is_row(x), acc["context"]).otherwise(bare(x)).alias("context"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    rows = pages.select(key, F.posexplode(F.aggregate(part, first, carry)["rows"]).alias("place", "r")).select(key, "place", "r.*").filter("tr IS NOT NULL")
+    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: bare(c))
+    held = rows.select(key, "place", "context", cells.alias("cells")).withColumn("name", F.get(F.filter("cells", lambda c: c.rlike(f"^(?:{name})$")), F.lit(0))).filter("name IS NOT NULL")
+    lead = F.get("cells", F.lit(0))
+    return held.select(key, "place", F.when((lead != F.col("name")) & lead.rlike("^[0-9]{1,9}$"), lead.cast("int")).alias("sequence"), "name", "context")
+
+
+def json_entities(rows: DataFrame, key: str, text: str, fields: dict[str, tuple[str, ...]], containers: tuple[str, ...] = ("records", "data", "items", "rows")) -> DataFrame:
+    """JSN-2: (key, place, one column for each field) of the records in JSON texts.
+
+    A list is its records; an object that holds a list under one of ``containers`` is that list's, the first of
+    them in order; any other object is one record. A field is the first of its names that a record has with a
+    value that is neither null nor blank, as text. Records without the first field, and texts that are no JSON,
+    give nothing.
+    """
+    read = rows.select(key, F.try_parse_json(text).alias("v")).filter("v IS NOT NULL")
+    listed = lambda path: F.try_variant_get("v", path, "array<variant>")
+    found = F.coalesce(listed("$"), *[listed(f"$.{c}") for c in containers], F.array("v"))
+    each = read.select(key, F.posexplode(found).alias("place", "r"))
+    value = lambda name: F.nullif(F.trim(F.try_variant_get("r", f"$.{name}", "string")), F.lit(""))
+    out = each.select(key, "place", *[F.coalesce(*[value(n) for n in names]).alias(f) for f, names in fields.items()])
+    return out.filter(F.col(next(iter(fields))).isNotNull())
+
+
 def markdown_table(text: Column, heading: str) -> Column:
     """SRC-12: the cells of the pipe table under a heading, row by row, without the ruler."""
     block = F.regexp_extract(text, rf"(?m)^#+\s*{heading}\s*$\n+((?:^\|.*$\n?)+)", 1)
