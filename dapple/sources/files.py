@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 TEXT_FORMATS = ("txt", "md", "csv", "json", "jsonl", "html", "htm", "xml", "yaml", "yml")
 SYSTEM_PARTS = r"/(\.git|__pycache__|\.DS_Store|node_modules)(/|$)"
@@ -44,13 +43,12 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
     """SRC-7, SRC-8, PRJ-3: records with named columns from the first alias that is filled, and the lines that do not parse."""
-    names = list(dict.fromkeys(a for xs in aliases.values() for a in xs))
-    schema = StructType([StructField(n, StringType()) for n in names] + [StructField("_bad", StringType())])
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    rows = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    filled = lambda n: F.nullif(F.trim(F.col(f"r.`{n}`")), F.lit(""))
-    good = rows.filter("r._bad IS NULL").select(*[F.coalesce(*[filled(a) for a in xs]).alias(c) for c, xs in aliases.items()])
-    return good, rows.filter("r._bad IS NOT NULL").select("value")
+    # names may differ in case only, so records are maps and not structs
+    rows = lines.select("value", F.from_json("value", "map<string,string>").alias("r"))
+    filled = lambda n: F.nullif(F.trim(F.try_element_at("r", F.lit(n))), F.lit(""))
+    good = rows.filter("r IS NOT NULL").select(*[F.coalesce(*[filled(a) for a in xs]).alias(c) for c, xs in aliases.items()])
+    return good, rows.filter("r IS NULL").select("value")
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -120,8 +118,8 @@ def canonical_json(rows: DataFrame) -> DataFrame:
 
 
 def export_csv(rows: DataFrame, path: str, order: Sequence[str]) -> None:
-    """SNK-2: ordered CSV files with a header; the order runs through the part files."""
-    rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+    """SNK-2: ordered CSV files with a header, quotes doubled as ``csv_rows`` reads them; the order runs through the part files."""
+    rows.orderBy(*order).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def export_json_lines(rows: DataFrame, path: str, order: Sequence[str]) -> None:
