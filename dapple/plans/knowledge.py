@@ -10,6 +10,7 @@ from dapple.functions import text as T
 from dapple.operators import assignment as A
 from dapple.operators import dictionary as D
 from dapple.operators import evidence as E
+from dapple.operators import priorart as P
 from dapple.operators import queryplan as Q
 from dapple.operators import relational as R
 from dapple.operators import rules as U
@@ -285,6 +286,18 @@ def _(t: Tables) -> DataFrame:
     return m.select("claim", "doc_id", "shared", F.when(F.col("shared") >= F.col("features") * 0.8, "disclosed").when(F.col("shared") >= F.col("features") * 0.3, "partial").otherwise("trace").alias("status"))
 
 
+@query("rul10_prior_art")
+def _(t: Tables) -> DataFrame:
+    """RUL-10: the sentences of the benchmark as features against the sentences of all documents: terms, likeness, the best passages."""
+    sentences = lambda rows, key, name: rows.select(F.col(key).alias(name), F.posexplode(T.clauses(F.coalesce("text", F.lit("")))).alias("locator", "text"))
+    f = sentences(t.benchmark, "item_id", "claim")
+    terms = F.slice(F.array_distinct(F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 9)), 1, 8)
+    features = f.select(F.concat_ws("-", F.col("claim").cast("string"), F.col("locator").cast("string")).alias("feature"), "text", terms.alias("terms"))
+    found = P.prior_art_matrix(features, sentences(t.documents, "doc_id", "document"))
+    first = F.get("candidates", F.lit(0))
+    return found.select("feature", "document", "status", "basis", F.size("candidates").alias("n_candidates"), first["locator"].alias("locator"), F.array_join(first["terms"], ",").alias("terms"), first["score"].alias("score"))
+
+
 @query("rul11_15_validators", """
 WITH d AS (SELECT doc_id, text, lang, n_chars, count(*) OVER (PARTITION BY doc_id) AS same FROM documents)
 SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'language' END, CASE WHEN n_chars <> length(text) THEN 'length' END, CASE WHEN same > 1 THEN 'duplicate' END], lambda x: x IS NOT NULL)) AS problem FROM d) GROUP BY 1""")
