@@ -99,8 +99,8 @@ def json_leaves(rows: DataFrame, key: str, text: str, deepest: int = 32) -> Data
     """PRJ-4, JSN-1: (key, path, value) of every leaf of a JSON text, names and places as a.b[0].
 
     Values are JSON texts, so 1 and "1" differ. Objects and lists are opened level by level, as long as
-    there are any; empty ones have no leaves, text that does not parse has none either. A text nested
-    deeper than ``deepest`` is an error.
+    there are any; empty ones have no leaves, text that does not parse has none either. What is nested
+    deeper than ``deepest`` is one leaf there, as its JSON text.
     """
     open_ = rows.select(key, F.lit("").alias("path"), F.try_parse_json(text).alias("v")).filter("v IS NOT NULL")
     out = None
@@ -116,7 +116,7 @@ def json_leaves(rows: DataFrame, key: str, text: str, deepest: int = 32) -> Data
         open_ = cut(objects.unionByName(lists), "json")
         if open_.isEmpty():
             return out
-    raise ValueError(f"JSON nested deeper than {deepest}")
+    return out.unionByName(open_.select(key, "path", F.to_json("v").alias("value")))
 
 
 def json_diff(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:

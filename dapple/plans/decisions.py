@@ -303,13 +303,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("grf2_3_reachable", f"""
-WITH RECURSIVE {_TRADE}, walk AS (SELECT DISTINCT src AS start, src AS node, 0 AS distance FROM edges UNION SELECT w.start, e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.distance < 3),
+WITH RECURSIVE {_TRADE}, walk AS (SELECT DISTINCT src AS start, src AS node, 0 AS distance FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION SELECT w.start, e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.distance < 3),
 near AS (SELECT start, node, min(distance) AS distance FROM walk GROUP BY 1, 2)
 SELECT n.start, n.node, n.distance, min(p.node) AS via FROM near n LEFT JOIN (near p JOIN edges e ON e.src = p.node) ON p.start = n.start AND e.dst = n.node AND p.distance = n.distance - 1 GROUP BY 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    """GRF-2, GRF-3: reached within three steps from every start, by the first discovery, with the edge that led there."""
+    """GRF-2, GRF-3: reached within three steps from the roots, by the first discovery, with the edge that led there."""
     e = trade(t)
-    return G.reachable(e, e.select(F.col("src").alias("node")).distinct(), 3)
+    roots = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
+    return G.reachable(e, roots, 3)
 
 
 @query("grf4_5_paths", """

@@ -261,13 +261,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("jn17_region_expansion", """
-WITH co AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49),
-w AS (SELECT 3 AS n UNION SELECT b FROM co WHERE a = 3) SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n FROM w)""")
-def _(t: Tables) -> DataFrame:
-    """JN-17: asked regions and those that occur with them, one hop."""
-    line = t.lineitem.filter("l_quantity >= 49").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    co = line.join(t.customer.filter("c_nationkey = 3"), F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("n"))
-    wide = co.unionByName(t.spark.range(1).select(F.lit(3).alias("n"))).distinct()
+WITH co AS (SELECT s_nationkey AS b, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = 3 GROUP BY 1),
+w AS (SELECT 3 AS n UNION SELECT b FROM co WHERE n > (SELECT avg(n) FROM co)) SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n FROM w)""")
+def _(t: Tables) -> DataFrame:
+    """JN-17: asked regions and those that occur with them more often than the mean, one hop."""
+    line = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    co = line.join(t.customer.filter("c_nationkey = 3"), F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("n")).agg(F.count("*").alias("lines"))
+    often = co.crossJoin(F.broadcast(co.agg(F.avg("lines").alias("mean")))).filter("lines > mean").select("n")
+    wide = often.unionByName(t.spark.range(1).select(F.lit(3).alias("n"))).distinct()
     return t.supplier.join(F.broadcast(wide), F.col("s_nationkey") == F.col("n"), "left_semi").select("s_suppkey")
 
 

@@ -414,13 +414,13 @@ def _(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", left.alias("days_left")).filter(F.col("days_left").between(0, 370))
 
 
-@query("dt4_backfill", "WITH h AS (SELECT date_trunc('hour', ts) AS h, event_type FROM events), r AS (SELECT unnest(generate_series((SELECT min(h) FROM h), (SELECT max(h) FROM h), INTERVAL 1 HOUR)) AS h) SELECT strftime(h, '%Y-%m-%d %H') AS slot FROM r WHERE h NOT IN (SELECT h FROM h WHERE event_type = 'error') ORDER BY h DESC LIMIT 100")
+@query("dt4_backfill", "WITH h AS (SELECT date_trunc('hour', ts) AS h, event_type FROM events), r AS (SELECT unnest(generate_series((SELECT min(h) FROM h), (SELECT max(h) FROM h), INTERVAL 1 HOUR)) AS h) SELECT strftime(h, '%Y-%m-%d %H') AS slot FROM r WHERE h NOT IN (SELECT h FROM h WHERE event_type = 'error')")
 def _(t: Tables) -> DataFrame:
-    """DT-4, WIN-7: hours without a run, to be done again; the latest hundred at most."""
+    """DT-4, WIN-7: hours without a run, to be done again, all of them."""
     e = t.events.select(F.date_trunc("hour", "ts").alias("h"), "event_type")
     span = e.agg(F.min("h").alias("a"), F.max("h").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("h"))
     missing = span.join(e.filter("event_type = 'error'").select("h").distinct(), "h", "left_anti")
-    return missing.orderBy(F.desc("h")).limit(100).select(F.date_format("h", "yyyy-MM-dd HH").alias("slot"))
+    return missing.select(F.date_format("h", "yyyy-MM-dd HH").alias("slot"))
 
 
 @query("dt5_cooldown", "SELECT user_id, strftime(max(ts) + INTERVAL 7 DAY, '%Y-%m-%d') AS next_day FROM events GROUP BY 1")

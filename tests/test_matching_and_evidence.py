@@ -169,3 +169,24 @@ def test_stored_index(spark, tmp_path):
     parts = search.passages(docs, 600, 90)
     plain = search.bm25(search.postings(parts), search.statistics(parts), ["red", "fox"]).collect()
     assert search.bm25(i.postings, i.statistics, ["red", "fox"]).collect() == plain and plain
+
+
+def test_json_deeper_than_the_bound(spark):
+    rows = spark.createDataFrame([(1, '{"a": {"b": {"c": [1, {"d": 2}]}}, "x": 3}'), (2, "[[[[4]]]]")], "id long, j string")
+    got = {(r.id, r.path, r.value) for r in evidence.json_leaves(rows, "id", "j", deepest=3).collect()}
+    assert got == {(1, "a.b.c", '[1,{"d":2}]'), (1, "x", "3"), (2, "[0][0][0]", "[4]")}
+
+
+def test_the_stored_index_follows_the_table(spark, tmp_path):
+    from dapple.plans import QUERIES
+
+    def put(text):
+        spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/new")
+        part = next(p for p in (tmp_path / "new").iterdir() if p.name.endswith(".parquet"))
+        part.replace(tmp_path / "documents.parquet")
+
+    found = lambda: [r.doc_id for r in QUERIES["fts_passage_search"](spark, str(tmp_path)).collect()]
+    put("a license under which")
+    assert found() == [1]
+    put("something else that is longer")
+    assert found() == []
