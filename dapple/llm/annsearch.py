@@ -39,6 +39,8 @@ ETA = 4.0
 KEEP = 300
 QUERY_BLOCK = 20_000
 SHARES = 16
+#: Numbers of the vectors that a task reranks at a time, whatever their dimension.
+HELD_NUMBERS = 4_000_000
 ROUNDS = 6
 FOUND = "n long, query_id long, vec_id long, score double"
 
@@ -187,7 +189,10 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, keep: int = KEEP, sam
                     score = scan(book.value.tables(part), packed)
                     score[numbers[a : a + 256, None] == own[None, :]] = -np.inf
                     at = best_of(score, keep)
-                    exact = np.einsum("qd,qkd->qk", part, v[at])
+                    exact = np.empty(at.shape)
+                    step = max(1, HELD_NUMBERS // (at.shape[1] * dim))
+                    for q in range(0, len(part), step):
+                        exact[q : q + step] = np.einsum("qd,qkd->qk", part[q : q + step], v[at[q : q + step]])
                     exact[numbers[a : a + 256, None] == own[at]] = -np.inf
                     # the best of the exact scores, ties to the smaller id
                     order = np.lexsort((v_ids[at], -exact), axis=1)[:, :k]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dapple.operators.storage import shared_dir
+
 #: ASCII white space as the contracts spell it; everything between is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,21 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session may do without it; it then gets a folder under /tmp.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        base = "file://" + tempfile.mkdtemp(prefix="dapple-", dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/dapple/{label}-{uuid.uuid4().hex[:12]}"
 
