@@ -17,8 +17,8 @@ whole text.
 
 At most about ``SAMPLE`` labelled rows, drawn by a hash of id and text, are mined and calibrate, and at
 most about ``SAMPLE`` documents train the regression: half of them with votes and half without,
-weighted back. The lexicon holds at most ``LEXICON`` entries, so the model that tasks get has a fixed
-bound. Votes and scores are a pass over the documents each, without a shuffle of texts.
+weighted back. The lexicon holds all significant entries of the mined rows, of whose number ``SAMPLE`` is
+the bound. Votes and scores are a pass over the documents each, without a shuffle of texts.
 
 Defined cases: null and empty texts score the model's base rate; rows without a label, with a null
 doc_id, or held out teach no label; a doc_id labelled both ways counts as what it is more often, as
@@ -45,7 +45,6 @@ from pyspark.sql import functions as F
 from dapple.llm.common import batch_rows, discard, held_out, stash, table, text_of
 
 SAMPLE = 20_000
-LEXICON = 3_000
 BEGINNINGS = (4, 5, 6)
 #: Log odds from which an entry counts as very strong, strong, and at all.
 TIERS = (5.5, 4.5, 3.5)
@@ -107,8 +106,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return rows.select("text", "toxic")
 
 
-def mine(rows: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """Entries with their tiers by the strength of their association, at most ``size``, and the general list.
+def mine(rows: DataFrame) -> dict[str, int]:
+    """All significant entries with their tiers by the strength of their association, and the general list.
 
     An entry is in from a log likelihood ratio on at which, by chance, about one in seven corpora would have
     one of all entries that were counted.
@@ -143,7 +142,7 @@ def mine(rows: DataFrame, size: int = LEXICON) -> dict[str, int]:
     both, all_ = pos + neg, p + n
     ratio = 2 * (term(pos, both * p / all_) + term(neg, both * n / all_) + term(p - pos, (all_ - both) * p / all_) + term(n - neg, (all_ - both) * n / all_))
     least = 2 * math.log(max(2, counts.count())) + 4
-    best = counts.filter("entry <> ''").withColumn("odds", odds).withColumn("ratio", ratio).filter((F.col("odds") >= TIERS[-1]) & (F.col("ratio") >= least)).orderBy(F.col("ratio").desc(), "entry").limit(size)
+    best = counts.filter("entry <> ''").withColumn("odds", odds).withColumn("ratio", ratio).filter((F.col("odds") >= TIERS[-1]) & (F.col("ratio") >= least)).orderBy(F.col("ratio").desc(), "entry")
     found = {r["entry"]: next(i for i, t in enumerate(TIERS) if r["odds"] >= t) for r in best.select("entry", "odds").collect()}
     return dict.fromkeys(GENERAL, 0) | found
 
