@@ -163,6 +163,25 @@ def running_totals(rows: DataFrame, keys: Keys, by: str, amount: str, name: str)
     return dealt.withColumn("_within", within).join(parts, ["_part", *keys]).withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
 
 
+def carried(rows: DataFrame, keys: Keys, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``, the last value that is not null before each row of its key, in rising ``order``.
+
+    Rows are dealt out by range of key and order. Within a range it is a running window; the last values of the
+    ranges before, one row for each range and key, stand in where a range has none yet. So a key with a third of
+    all rows is spread. The order should tell all rows of a key apart.
+    """
+    places = [f"_o{i}" for i in range(len(order))]
+    named = rows.withColumns({**dict(zip(places, order, strict=True)), "_value": value})
+    dealt = cut(named.repartitionByRange(*keys, *places).withColumn("_part", F.spark_partition_id()), "dealt")
+    own = Window.partitionBy("_part", *keys).orderBy(*places).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn("_within", F.last("_value", ignorenulls=True).over(own))
+    parts = dealt.groupBy("_part", *keys).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*places))).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    both = within.join(before, [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]])
+    return both.select(*rows.columns, F.coalesce("_within", "_before").alias(name))
+
+
 def greedy_match(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """Pairs by falling score, each side used once, ties to the smaller left, then right.
 

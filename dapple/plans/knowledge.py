@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dapple.functions import claims as C
@@ -188,8 +188,7 @@ def _(t: Tables) -> DataFrame:
     """RUL-8, RUL-13: what replaces what; drafts neither replace nor are replaced."""
     v = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_orderdate").alias("d"))
     # seen from the newest on, the last that is no draft before a row is what replaces it
-    later = Window.partitionBy("k").orderBy(F.desc("d"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = v.withColumn("next", F.last(F.when(F.col("s") != "P", F.col("id")), ignorenulls=True).over(later))
+    rows = R.carried(v, ["k"], [-F.unix_micros(F.col("d").cast("timestamp")), -F.col("id")], F.when(F.col("s") != "P", F.col("id")), "next")
     validity = F.when(F.col("s") == "P", "draft").when(F.col("next").isNull(), "current").otherwise("superseded")
     return rows.select("k", "id", validity.alias("validity"), F.when(F.col("s") != "P", F.col("next")).alias("replaced_by"))
 

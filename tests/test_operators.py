@@ -140,3 +140,16 @@ def test_nearest_assignment_equals_one_pass(spark):
         got = assignment.nearest_assignment(x, y, "b", F.col("v"), F.col("v"), "id", "other")
         assert {tuple(z) for z in got.collect()} == want
     assert assignment.nearest_assignment(x.limit(0), y, "b", F.col("v"), F.col("v"), "id", "other").collect() == []
+
+
+def test_carried_values_of_a_hot_key(spark):
+    r = random.Random(21)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), i * 7 % 501, r.choice([None, None, i])) for i in range(400)]
+    want, last = [], {}
+    for k, at, v in sorted(rows, key=lambda x: x[1]):
+        want.append((k, at, v, last.get(k)))
+        last[k] = v if v is not None else last.get(k)
+    frame = spark.createDataFrame(rows, "k string, at long, v long")
+    got = relational.carried(frame, ["k"], [F.col("at")], F.col("v"), "before")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert relational.carried(frame.limit(0), ["k"], [F.col("at")], F.col("v"), "before").collect() == []
