@@ -44,7 +44,9 @@ def nearest_assignment(left: DataFrame, right: DataFrame, block: str, value: Col
     """(block, a, b, distance), the pairs that a pass over all pairs of a block by (distance, a, b) takes, each side once.
 
     Values are whole numbers; rows with a null block or value take no part; ids are unique within a side. The
-    smaller side of a block is used up. Rows of one side with the same value are served one a round.
+    smaller side of a block is used up. Where many rows of one side lie between two of the other, or at the same
+    value, they are served one a round, so this is for sides that are mixed; ``relational.greedy_match`` takes any
+    list of pairs.
     """
     side = lambda rows, v, key, s: rows.select(F.col(block).alias("block"), v.cast("long").alias("value"), F.lit(s).alias("side"), F.col(key).alias("id"))
     free = cut(side(left, value, a, 0).unionByName(side(right, other_value, b, 1)).filter("block IS NOT NULL AND value IS NOT NULL"), "free")
