@@ -1,12 +1,14 @@
 """Importance resampling towards a target distribution over hashed n-gram buckets.
 
 The features of a text are its runs of ``low`` to ``high`` words; a feature's bucket is the crc32 of its
-UTF-8 bytes modulo ``buckets``. The sparse document-by-bucket count matrix is written once, as CSR
-blocks: a row of the table is a block of documents with their row starts, bucket numbers and counts.
-Column sums of the blocks give the distribution of the raw documents, those of the target texts the
-distribution aimed at; a bucket's gain is the scaled logarithm of the two shares with one count added
-everywhere. The matrix times the gains gives a document's weight. With Gumbel noise, a function of seed
-and doc_id, added, the highest scores are a draw without repetition in proportion to the weights.
+UTF-8 bytes modulo ``buckets``. The sparse document-by-bucket count matrix is written once: a row of the
+table is a document with its bucket numbers and their counts, at most ``buckets`` of them, and an Arrow
+batch is a CSR block, whose row starts are the offsets of its lists. (Parquet's readers and writers hold
+thousands of rows whatever their length, so a row is never a block.) Column sums of the blocks give the
+distribution of the raw documents, those of the target texts the distribution aimed at; a bucket's gain is
+the scaled logarithm of the two shares with one count added everywhere. The matrix times the gains gives a
+document's weight. With Gumbel noise, a function of seed and doc_id, added, the highest scores are a draw
+without repetition in proportion to the weights.
 
 Column sums leave a task as one row of at most ``buckets`` numbers, so the driver and a task hold the
 gains and never more. Draws are numbered by ranges of the order, not in one task.
@@ -21,6 +23,7 @@ not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,12 +41,12 @@ SEED = 2024
 LEAST_WORDS = 20
 PERCENT = 10
 #: Distinct features whose buckets a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 #: Bytes to bytes: A-Z to lower case, what is no part of a word to a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-BLOCK = "doc_ids array<long>, n_words array<long>, starts array<long>, columns array<int>, counts array<long>"
+BLOCK = "doc_id long, n_words long, columns array<int>, counts array<int>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -59,12 +62,12 @@ def runs(words: list[bytes], low: int, high: int) -> Iterator[bytes]:
 
 
 def count_matrix(docs: DataFrame, low: int = 1, high: int = 1, buckets: int = BUCKETS) -> DataFrame:
-    """The CSR blocks of a table of texts: row i of a block has the entries starts[i] to starts[i + 1]."""
+    """The count matrix of a table of texts: for each its words, and the buckets and counts of its features."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
-            n_words, starts, columns, counts = [], [0], [], []
+            n_words, starts, columns, counts = [], [0], array("i"), array("i")
             for text in b.column(1).to_pylist():
                 words = words_of(text)
                 row: Counter[int] = Counter()
@@ -76,22 +79,20 @@ def count_matrix(docs: DataFrame, low: int = 1, high: int = 1, buckets: int = BU
                         at = known[feature] = zlib.crc32(feature) % buckets
                     row[at] += n
                 n_words.append(len(words))
-                columns += row.keys()
-                counts += row.values()
+                columns.extend(row.keys())
+                counts.extend(row.values())
                 starts.append(len(columns))
-            one = (b.column(0).to_pylist(), n_words, starts, columns, counts)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, BLOCK_TYPES, strict=True)], names=BLOCK_NAMES)
+            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.array(x, np.int32))) for x in (columns, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), *lists], names=["doc_id", "n_words", "columns", "counts"])
 
     batch_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(count, BLOCK)
 
 
-BLOCK_TYPES = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-BLOCK_NAMES = [part.split()[0] for part in BLOCK.split(", ")]
-
-
-def flat(b: pa.RecordBatch, name: str, row: int) -> np.ndarray:
-    return b.column(b.schema.get_field_index(name))[row].values.to_numpy(zero_copy_only=False)
+def entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of a CSR block, one row after the other."""
+    columns, counts = (b.column(b.schema.get_field_index(x)).flatten().to_numpy() for x in ("columns", "counts"))
+    return columns, counts.astype(np.int64)
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -100,12 +101,10 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            for i in range(b.num_rows):
-                np.add.at(total, flat(b, "columns", i), flat(b, "counts", i))
+            np.add.at(total, *entries(b))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    batch_rows(blocks.sparkSession, 8)
     sums = blocks.select("columns", "counts").mapInArrow(add, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(buckets, np.int64)
     out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
@@ -124,13 +123,12 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                starts, counts = flat(b, "starts", i), flat(b, "counts", i)
-                sums = [np.concatenate([[0], np.cumsum(x)])[starts] for x in (counts, counts * held.value[flat(b, "columns", i)])]
-                ids = b.column(b.schema.get_field_index("doc_ids"))[i].values
-                yield pa.RecordBatch.from_arrays([ids, pa.array(flat(b, "n_words", i)), *[pa.array(np.diff(x)) for x in sums]], names=["doc_id", "n_words", "n_features", "weight"])
+            columns, counts = entries(b)
+            starts = np.cumsum([0, *b.column(b.schema.get_field_index("columns")).value_lengths().to_pylist()])
+            sums = [np.concatenate([[0], np.cumsum(x)])[starts] for x in (counts, counts * held.value[columns])]
+            ids, n_words = (b.column(b.schema.get_field_index(x)) for x in ("doc_id", "n_words"))
+            yield pa.RecordBatch.from_arrays([ids, n_words, *[pa.array(np.diff(x)) for x in sums]], names=["doc_id", "n_words", "n_features", "weight"])
 
-    batch_rows(blocks.sparkSession, 8)
     return blocks.mapInArrow(multiply, "doc_id long, n_words long, n_features long, weight long")
 
 
