@@ -12,9 +12,11 @@ of the rare symbol, and what the discount frees is the share of unknown words, t
 the base score.
 
 How many occurrences are enough grows with the square root of the training tokens (``Least``): the tree
-grows with the corpus, though slower. It is what tasks get whole, so its size is counted before: beyond
-``TREE_PAIRS`` the bound for pairs of a level is doubled until they fit. Word counts and the counts of each
-level come from all training texts. The words that are broadcast with their counts have at least
+grows with the corpus, though slower. Tasks get its contexts whole, and its pairs by what follows, at most
+``TREE_PAIRS`` or one symbol's at a time: whatever state a token is scored in, the pairs that matter have
+the token's symbol, so a pass for each part of the symbols scores each token once, with the whole tree's
+result. Texts become symbols once, in the first pass; levels and scores read those. Word counts and the
+counts of each level come from all training texts. The words that are broadcast with their counts have at least
 ``COMMON_SHARE`` of all tokens, so there are 1 / COMMON_SHARE at most; other words meet their counts in a
 join. Word keys are 64-bit hashes.
 
@@ -30,6 +32,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ from dapple.llm.common import batch_rows, discard, held_out, stash, table, text_
 from dapple.llm.neardup import in_blocks, word_hashes
 
 DEPTH = 5
+#: Pairs that tasks hold at a time.
 TREE_PAIRS = 4_000_000
 GAIN = 5.0
 COMMON_SHARE = 2.5e-7
@@ -141,23 +145,27 @@ class Tree:
         word[at] = True
         return h, doc, s, word
 
-    def contexts_of(self, s: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each symbol the number of its context by length; -1 where there is none. Texts start after an end."""
+    def contexts_of(self, s: np.ndarray, depth: int, mine: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each symbol the number of its context by length; -1 where there is none, or it is not ``mine``. Texts start after an end."""
         before = np.concatenate([[END], s[:-1]])
         out = [np.zeros(len(s), np.int64), before]
         older = before
+        # a longer context ends in a symbol that is one itself
+        able = self.candidates[before] if mine is None else self.candidates[before] & mine
         for k in range(2, depth + 1):
-            inside = older != END  # a context does not reach beyond the start of its text
+            able &= older != END  # a context does not reach beyond the start of its text
             older = np.concatenate([[END], older[:-1]])
-            i, hit = place_in(self.contexts[k], (older << BITS) | np.maximum(out[-1], 0))
-            out.append(np.where(inside & hit & (out[-1] >= 0), i, -1))
-            older = np.where(inside, older, END)
+            at = np.flatnonzero(able)
+            i, hit = place_in(self.contexts[k], (older[at] << BITS) | out[-1][at])
+            able[at[~hit]] = False
+            out.append(np.full(len(s), -1))
+            out[-1][at[hit]] = i[hit]
         return out
 
-    def log_p(self, s: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol in its longest state."""
-        out, open_ = np.zeros(len(s)), np.arange(len(s))
-        contexts = self.contexts_of(s, len(self.states))
+    def log_p(self, s: np.ndarray, mine: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each symbol, or 0 where it is not ``mine``, in its longest state."""
+        out, open_ = np.zeros(len(s)), np.arange(len(s)) if mine is None else np.flatnonzero(mine)
+        contexts = self.contexts_of(s, len(self.states), mine)
         for k in range(len(self.states), 0, -1):
             c = contexts[k][open_]
             weight = np.where(c >= 0, self.states[k - 1][np.maximum(c, 0)], np.nan)
@@ -171,6 +179,12 @@ class Tree:
         return out
 
 
+def symbol_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks of texts' symbols: how many texts, and their symbols one after the other."""
+    for block in in_blocks(column.to_pylist()):
+        yield len(block), np.frombuffer(b"".join(block), np.int32).astype(np.int64)
+
+
 def count_level(rows: DataFrame, tree: Tree, k: int) -> DataFrame:
     """(context, next, n) for the candidate contexts of k symbols."""
     held = rows.sparkSession.sparkContext.broadcast(tree)
@@ -186,8 +200,7 @@ def count_level(rows: DataFrame, tree: Tree, k: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"context": pa.array(keys >> BITS), "next": pa.array(keys & ((1 << BITS) - 1)), "n": pa.array(n)})
 
         for b in batches:
-            for block in in_blocks([t.encode() for t in b.column(0).to_pylist()]):
-                s = held.value.sequence(block)[2]
+            for _, s in symbol_blocks(b.column(0)):
                 c = held.value.contexts_of(s, k)[k]
                 own = held.value.candidates[c] if k == 1 else c >= 0
                 parts.append(np.unique((c[own] << BITS) | s[own], return_counts=True))
@@ -198,20 +211,27 @@ def count_level(rows: DataFrame, tree: Tree, k: int) -> DataFrame:
         if parts:
             yield out(*merged())
 
-    return rows.select("text").mapInArrow(count, "context long, next long, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
+    return rows.select("symbols").mapInArrow(count, "context long, next long, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
 
 
-def grow(rows: DataFrame, words: DataFrame, total: int, ends: int, depth: int = DEPTH, bounds: Least | None = None, gain: float = GAIN) -> Tree:
-    """The tree, level by level, from the training texts ``rows`` and their (h, n) words."""
-    spark = rows.sparkSession
-    least_symbol, least, least_pair = (bounds or Least()).of(total)
+def root_of(words: DataFrame, total: int, ends: int, bounds: Least) -> Tree:
+    """The tree's symbols and their shares, from (h, n) of the training words."""
+    least_symbol, least, _ = bounds.of(total)
     top = words.filter(F.col("n") >= least_symbol).toArrow()
     h, n = top.column("h").to_numpy().astype(_U), top.column("n").to_numpy()
     order = np.argsort(h)
     counts = np.concatenate([[ends, total - ends - n.sum()], n[order]]).astype(float)
     counts[:FIRST_WORD] += 1
-    tree = Tree(h[order], np.log10(counts / counts.sum()), counts >= least)
-    shorter = F.broadcast(spark.createDataFrame(pa.table({"next": np.arange(len(counts)), "below": counts / counts.sum()})))
+    return Tree(h[order], np.log10(counts / counts.sum()), counts >= least)
+
+
+def grow(rows: DataFrame, tree: Tree, total: int, depth: int = DEPTH, bounds: Least | None = None, gain: float = GAIN) -> DataFrame:
+    """Grows contexts and states, level by level, from the symbols of the training texts; returns the pairs of
+    the states, (level, context, next, p), as a written table."""
+    spark = rows.sparkSession
+    _, least, least_pair = (bounds or Least()).of(total)
+    n_symbols = len(tree.root)
+    shorter = F.broadcast(spark.createDataFrame(pa.table({"next": np.arange(n_symbols), "below": 10**tree.root})))
     levels = []
     for k in range(1, depth + 1):
         grams = stash(count_level(rows, tree, k), "tree-counts")
@@ -226,10 +246,7 @@ def grow(rows: DataFrame, words: DataFrame, total: int, ends: int, depth: int =
             codes = tree.contexts[k]
             parents = F.broadcast(spark.createDataFrame(pa.table({"context": np.arange(len(codes)), "parent": codes & ((1 << BITS) - 1)})))
             got = got.join(parents, "context").join(levels[-1].select(F.col("context").alias("parent"), "next", F.col("p").alias("below")), ["parent", "next"])
-        own = least_pair
-        while grams.filter(F.col("n") >= own).count() > TREE_PAIRS:
-            own *= 2
-        kinds, below, often = F.col("kinds"), F.col("below"), F.col("n") >= own
+        kinds, below, often = F.col("kinds"), F.col("below"), F.col("n") >= least_pair
         rest = F.broadcast(grams.filter(often).groupBy("context").agg(F.sum("n").alias("kept")))
         got = got.join(rest, "context", "left").withColumn("weight", (F.col("total") + kinds - F.coalesce("kept", F.lit(0))) / (F.col("total") + kinds))
         got = got.withColumn("p", F.when(often, F.col("n") / (F.col("total") + kinds)).otherwise(0.0) + F.col("weight") * below)
@@ -245,6 +262,7 @@ def grow(rows: DataFrame, words: DataFrame, total: int, ends: int, depth: int =
             if not len(code):
                 break
     keep: np.ndarray | None = None
+    pairs = []
     for k in range(len(levels), 0, -1):
         tested = levels[k - 1].groupBy("context").agg(F.sum("gain").alias("gain"), F.first("weight").alias("weight")).toArrow()
         c, weight = tested.column("context").to_numpy(), tested.column("weight").to_numpy()
@@ -252,16 +270,24 @@ def grow(rows: DataFrame, words: DataFrame, total: int, ends: int, depth: int =
         if keep is not None:
             good |= np.isin(c, tree.contexts[k + 1][keep] & ((1 << BITS) - 1))
         keep = c[good]
-        state = np.full(max(len(counts) if k == 1 else len(tree.contexts[k]), 1), np.nan)
+        state = np.full(max(n_symbols if k == 1 else len(tree.contexts[k]), 1), np.nan)
         state[keep] = np.log10(weight[good])
         names = F.broadcast(spark.createDataFrame(pa.table({"context": pa.array(keep, pa.int64())})))
-        own = levels[k - 1].filter("often").join(names, "context").select((F.shiftleft("context", BITS) + F.col("next")).alias("key"), F.log10("p").alias("p")).toArrow()
-        key = own.column("key").to_numpy()
-        at = np.argsort(key)
-        tree.seen.insert(0, (key[at], own.column("p").to_numpy()[at]))
+        pairs.append(levels[k - 1].filter("often").join(names, "context").select(F.lit(k).alias("level"), "context", "next", "p"))
         tree.states.insert(0, state)
+    out = stash(reduce(DataFrame.unionAll, pairs), "tree-pairs")
     discard(*levels)
-    return tree
+    return out
+
+
+def part_of(pairs: DataFrame, part: int, parts: int, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By level the sorted keys and log10 p of the pairs whose next symbol is of a part."""
+    key = (F.shiftleft("context", BITS) + F.col("next")).alias("key")
+    got = pairs.filter(F.col("next") % parts == part).select("level", key, F.log10("p").alias("p")).toArrow()
+    level, key, p = (got.column(x).to_numpy() for x in ("level", "key", "p"))
+    order = np.lexsort((key, level))
+    ends = np.searchsorted(level[order], np.arange(1, levels + 2))
+    return [(key[order[a:b]], p[order[a:b]]) for a, b in zip(ends, ends[1:])]
 
 
 def longer(tree: Tree, k: int, context: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -303,18 +329,17 @@ def rare_share(n: np.ndarray, c: Counts) -> np.ndarray:
     return np.log10(np.where(n > 0, n - DISCOUNT, DISCOUNT * c.rare_kinds) / c.rare_tokens)
 
 
-FIRST = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<h:long,tf:int>>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+FIRST = f"{SCORED}, rest array<struct<h:long,tf:int>>, symbols binary"
 
 
 def first_pass(rows: DataFrame, counts: Counts) -> DataFrame:
-    """Sums over each text's common words, and the rest of its words with their counts in the text."""
+    """Sums over each text's common words, the rest of its words with their counts in the text, and its symbols."""
     held = rows.sparkSession.sparkContext.broadcast(counts)
 
     def score(texts: list[bytes]) -> tuple[list, ...]:
         c, n = held.value, len(texts)
         h, doc, s, word = c.tree.sequence(texts)
-        p = c.tree.log_p(s)
-        total = np.bincount(np.cumsum(~word) - ~word, p, n)
         i, hit = place_in(c.common, h)
         i, d = i[hit], doc[hit]
         least = np.log10(c.n + c.v + 1)
@@ -322,7 +347,7 @@ def first_pass(rows: DataFrame, counts: Counts) -> DataFrame:
         known = np.bincount(d, minlength=n) + (c.ends > 0)
         base = np.bincount(d, np.log10(c.count[i] + 1.0) - least, n) + np.log10(c.ends + 1.0) - least
         rare = s[word][hit] == RARE
-        total += np.bincount(d[rare], rare_share(c.count[i[rare]], c), n)
+        total = np.bincount(d[rare], rare_share(c.count[i[rare]], c), n).astype(float)
         other = np.flatnonzero(~hit)
         other = other[np.lexsort((h[other], doc[other]))]
         first = np.flatnonzero(np.concatenate([[True], (h[other][1:] != h[other][:-1]) | (doc[other][1:] != doc[other][:-1])])) if len(other) else other
@@ -330,20 +355,40 @@ def first_pass(rows: DataFrame, counts: Counts) -> DataFrame:
         at = other[first]
         flat = pa.StructArray.from_arrays([pa.array(h[at].astype(np.int64)), pa.array(tf, pa.int32())], names=["h", "tf"])
         rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(n + 1)), pa.int32()), flat)
-        return tokens, known, base, total, rest
+        begins = np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32) * np.int32(4)
+        symbols = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(begins), pa.py_buffer(s.astype(np.int32))])
+        return tokens, known, base, total, rest, symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, at = [t.encode() for t in b.column(3).to_pylist()], 0
             for block in in_blocks(texts):
                 part = b.slice(at, len(block))
-                tokens, known, base, total, rest = score(block)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), rest], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+                tokens, known, base, total, rest, symbols = score(block)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), rest, symbols], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "symbols"])
                 at += len(block)
 
     return rows.mapInArrow(run, FIRST)
 
 
+def tree_pass(rows: DataFrame, tree: Tree, part: int, parts: int) -> DataFrame:
+    """``rows`` of ``first_pass`` without the rest, their scores with those of the symbols of a part of the tree added."""
+    held = rows.sparkSession.sparkContext.broadcast(tree)
+    last = part == parts - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [np.empty(0)]
+            for n, s in symbol_blocks(b.column(7)):
+                p = held.value.log_p(s, s % parts == part if parts > 1 else None)
+                sums.append(np.bincount(np.cumsum(s == END) - (s == END), p, n))
+            score = pa.array(b.column(6).to_numpy() + np.concatenate(sums))
+            columns = [*b.columns[:6], score, *b.columns[7:]]
+            yield pa.RecordBatch.from_arrays(columns[: 7 if last else 8], names=b.schema.names[: 7 if last else 8])
+
+    return rows.drop("rest").mapInArrow(run, SCORED if last else f"{SCORED}, symbols binary")
+
+
 def score_documents(docs: DataFrame, depth: int = DEPTH, bounds: Least | None = None, gain: float = GAIN) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     bounds = bounds or Least()
@@ -353,21 +398,30 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, bounds: Least | None =
     words = stash(count_words(train), "lm-words")
     total, kinds, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
     known = stash(hashed(words), "lm-lookup")
-    tree = grow(train, known, total, ends, depth, bounds, gain)
+    tree = root_of(known, total, ends, bounds)
     common = known.filter(F.col("n") >= max(2.0, COMMON_SHARE * total)).toArrow()
     h, n = common.column("h").to_numpy().astype(_U), common.column("n").to_numpy()
     order = np.argsort(h)
     rare = known.filter(F.col("n") < bounds.of(total)[0]).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     counts = Counts(total, kinds, ends, tree, h[order], n[order], rare[0], rare[1])
-    first = stash(first_pass(rows, counts), "lm-first")
-    rest = first.select("rid", F.explode("rest").alias("r")).select("rid", F.col("r.h").alias("h"), F.col("r.tf").alias("tf"))
+    coded = stash(first_pass(rows, counts), "lm-first")
+    pairs = grow(coded.filter(~F.col("held_out")), tree, total, depth, bounds, gain)
+    parts = max(1, -(-pairs.count() // TREE_PAIRS))
+    first = coded
+    for part in range(parts):
+        tree.seen = part_of(pairs, part, parts, len(tree.states))
+        spent, first = first, stash(tree_pass(first, tree, part, parts), "lm-scores")
+        if part:
+            discard(spent)
+    discard(pairs)
+    rest = coded.select("rid", F.explode("rest").alias("r")).select("rid", F.col("r.h").alias("h"), F.col("r.tf").alias("tf"))
     least = float(np.log10(total + kinds + 1))
     new, one = (float(x) for x in rare_share(np.array([0, 1]), counts))
     seen = F.coalesce("n", F.lit(0))
     share = F.when(seen == 0, new).otherwise(F.log10(F.greatest(seen - DISCOUNT, F.lit(DISCOUNT / 4))) + (one - float(np.log10(1 - DISCOUNT)))) if counts.rare_tokens else F.lit(0.0)
     met = rest.join(known, "h", "left")
     met = met.groupBy("rid").agg(F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("known2"), F.sum(F.col("tf") * (F.log10(seen + 1.0) - least)).alias("base2"), F.sum(F.col("tf") * share).alias("score2"))
-    out = first.drop("rest").join(met, "rid", "left")
+    out = first.join(met, "rid", "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", add("n_known", "known2").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), add("base", "base2").alias("base_score"), add("score", "score2").alias("score"))
 
