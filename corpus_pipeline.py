@@ -2,14 +2,15 @@
 
 Toxic documents go; one document of each near-duplicate class stays; documents that hold a benchmark
 item go; the rest is mixed to the target weights, rows repeated or left out as the mix says; the last
-stage writes token ids to seekable files and returns what it reads back from them.
+stage writes token ids to seekable files and returns what it reads back from them. A stage begins by letting
+go of what the driver still holds of the one before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dapple.llm.common import stash, table
+from dapple.llm.common import let_go, stash, table
 from dapple.llm.decontam import drop_leaks
 from dapple.llm.mixing import mix_rows
 from dapple.llm.neardup import drop_near_duplicates
@@ -18,22 +19,27 @@ from dapple.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return mix_rows(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return token_output(docs)
 
 

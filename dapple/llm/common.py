@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,13 @@ def discard(*tables: DataFrame) -> None:
             drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collects what nothing refers to any more on the driver, plans, generated classes and broadcasts among
+    it: Spark drops a broadcast or a shuffle when its handle is collected, which a long session puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a written table, to be broadcast if it has at most ``rows`` rows, else for a sort-merge join."""
     return F.broadcast(df) if df.count() <= rows else df.hint("merge")
