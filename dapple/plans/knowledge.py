@@ -126,7 +126,7 @@ def question_aliases(t: Tables) -> DataFrame:
     pairs = t.benchmark.select("item_id", F.posexplode(F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))).alias("i", "alias"))
     pairs = pairs.filter(F.contains("alias", F.lit(" "))).groupBy("alias").agg(F.min("item_id").alias("item")).select("alias", F.lit("project").alias("kind"), F.concat(F.lit("project "), F.col("item").cast("string")).alias("canonical"))
     words = t.benchmark.select(F.explode(w).alias("alias")).distinct()
-    long_ = words.filter(F.length("alias") >= 6).select("alias", F.lit("region").alias("kind"), F.upper("alias").alias("canonical"))
+    long_ = words.filter(F.length("alias") >= 6).select("alias", F.lit("region").alias("kind"), T.simple_upper(F.col("alias")).alias("canonical"))
     short = words.filter(F.length("alias").between(4, 5)).select("alias", F.lit("subject").alias("kind"), F.reverse("alias").alias("canonical"))
     fixed = t.spark.createDataFrame([*((a, "exclude", a) for a in _EXCLUDE), *((a, "intent", "") for a in _INTENT)], "alias string, kind string, canonical string")
     return pairs.unionByName(long_).unionByName(short).unionByName(fixed)
