@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dapple.functions import claims as C
 from dapple.functions import text as T
+from dapple.operators import assignment as A
 from dapple.operators import dictionary as D
 from dapple.operators import evidence as E
 from dapple.operators import priorart as P
@@ -45,8 +46,7 @@ def _(t: Tables) -> DataFrame:
     """JN-15: parts to suppliers one to one, by falling similarity of a score."""
     p = t.part.select(F.col("p_partkey").alias("a"), (F.col("p_size") % 10 + 1).alias("p_size"), "p_retailprice")
     s = t.supplier.select(F.col("s_suppkey").alias("b"), (F.col("s_suppkey") % 10 + 1).cast("int").alias("p_size"), "s_acctbal")
-    pairs = p.join(s, "p_size").select("a", "b", F.round(1 / (1 + F.abs(F.col("p_retailprice") - F.abs("s_acctbal"))), 9).alias("score"))
-    return R.greedy_match(pairs, "a", "b", "score")
+    return A.similar_assignment(p, s, "p_size", F.col("p_retailprice"), F.abs("s_acctbal"), "a", "b")
 
 
 @query("set7_taxonomy_merge", """
