@@ -299,7 +299,7 @@ def _(t: Tables) -> DataFrame:
     pairs = D.close_names(rows, "lang", "title").select(node("x").alias("src"), node("y").alias("dst"))
     groups = G.connected_components(pairs)
     near = rows.join(groups, node("title") == F.col("node"), "left")
-    return near.select("page_id", "lang", F.coalesce(F.element_at(F.split("component", "\x1f"), 2), "title").alias("title_group"))
+    return near.select("page_id", "lang", F.coalesce(F.element_at(F.split("component", "\x1f", 2), 2), "title").alias("title_group"))
 
 
 @query("jn14_best_directory")
