@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -13,15 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dapple.functions import text as T
-from dapple.operators.dictionary import term_hits
+from dapple.operators.dictionary import counted, occurrences, term_hits
 from dapple.operators.storage import cut
 
 # The weights of the score, the least score of a candidate, how many of them are kept.
 RATIO, JACCARD = 0.45, 0.55
 LEAST, KEEP = 0.42, 5
-#: Characters of features that a task holds at a time.
-BLOCK_CHARS = 500_000
-BINS = 64
+#: Characters of features, and features, that a task holds at a time; passages that it compares with them at once.
+BLOCK_CHARS, BLOCK_FEATURES, ROWS = 100_000, 2_000, 256
+#: Columns of the counts of letters at most.
+BINS = 1024
 
 
 def folded(c: Column, groups: Sequence[tuple[str, Sequence[str]]] = ()) -> Column:
@@ -37,12 +36,54 @@ def grams(c: Column) -> Column:
     return F.when(F.length(c) > 3, T.ngrams(c, 3)).when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
 
 
-def gram_counts(x: str) -> Counter:
-    return Counter(x[i : i + 3] for i in range(len(x) - 2)) if len(x) > 3 else Counter([x] if x else [])
-
-
-def histogram(x: str) -> np.ndarray:
-    return np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") % BINS, minlength=BINS)
+def gram_set(x: str) -> set[str]:
+    return {x[i : i + 3] for i in range(len(x) - 2)} if len(x) > 3 else {x} if x else set()
+
+
+class Common:
+    """Longest common subsequences of some texts with others, a bit for each letter of a text, many pairs at a time."""
+
+    def __init__(self, texts: Sequence[str]):
+        letters = sorted({ord(c) for x in texts for c in x})
+        self.kinds = len(letters) + 1
+        self.places = np.full(0x110000, len(letters), np.int32)  # the last is for letters of no text
+        self.places[letters] = np.arange(len(letters))
+        self.words = np.array([-(-len(x) // 64) for x in texts])
+        self.masks = np.zeros((int(self.words.max(initial=1)), len(texts), self.kinds), np.uint64)
+        for i, x in enumerate(texts):
+            for k, c in enumerate(x):
+                self.masks[k // 64, i, self.places[ord(c)]] |= np.uint64(1 << k % 64)
+
+    def lengths(self, held: np.ndarray, others: Sequence[str], which: np.ndarray) -> np.ndarray:
+        """The length for each pair of a text held and one of the others."""
+        out = np.zeros(len(held), np.int64)
+        size = np.array([len(x) for x in others], np.int64)
+        begins = np.append(0, np.cumsum(size))
+        letters = self.places[np.frombuffer("".join(others).encode("utf-32-le", "surrogatepass"), "<u4")]
+        flat = self.masks.reshape(len(self.masks), -1)
+        for words in np.unique(self.words[held]):
+            every = np.flatnonzero(self.words[held] == words)
+            every = every[np.argsort(size[which[every]], kind="stable")]
+            for own in (every[i : i + 16384] for i in range(0, len(every), 16384)):
+                longer = np.searchsorted(size[which[own]], np.arange(size[which[own[-1]]]), "right")
+                base, begin = held[own] * self.kinds, begins[which[own]]
+                v = [np.full(len(own), ~np.uint64(0)) for _ in range(words)]
+                for step, first in enumerate(longer.tolist()):
+                    place, carry = base[first:] + letters[begin[first:] + step], None
+                    for w in range(words):
+                        mask, now = flat[w][place], v[w][first:]
+                        u = now & mask
+                        total = now + u
+                        if words > 1:
+                            over = total < u
+                            if carry is not None:
+                                total += carry
+                                over |= total < carry
+                            carry = over.astype(np.uint64)
+                        now &= ~mask
+                        now |= total
+                out[own] = 64 * words - sum(np.bitwise_count(x).astype(np.int64) for x in v)
+        return out
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -54,54 +95,65 @@ def spread(rows: DataFrame) -> DataFrame:
 def likely_pairs(features: DataFrame, passages: DataFrame, least: float = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(feature, document, locator, score) of the pairs whose score reaches ``least``.
 
-    Features (feature, x) are few and come in blocks; each passage (document, locator, x) meets the features it
-    shares a trigram with, by an index over the block. Two texts of n and m characters that match in M of them
-    have M - 2(n + m - 2M + 1) common trigrams at least, and M is at most what their characters have in common;
-    both bound the ratio, which is worked out only where the bound and the Jaccard reach ``least``.
+    Features (feature, x) are few and come in blocks; each passage (document, locator, x) meets all features of a
+    block at once: a row of a matrix for each of its trigrams, added up, has what it shares with each. The ratio is
+    at most what the letters of both have in common, a product of matrices, and at most their longest common
+    subsequence, which is worked out for the pairs that are left, by bits; the ratio itself where that allows it.
     """
     if least <= 0.405:
         raise ValueError("pairs without a common trigram could reach a score of 0.405")
+    spark = features.sparkSession
     features = cut(features.filter("x <> ''").select("feature", "x").distinct(), "features")
-    size = features.agg(F.sum(F.length("x"))).first()[0] or 0
-    blocks, parts = max(1, -(-size // block_chars)), []
+    size, n = features.agg(F.sum(F.length("x")), F.count("*")).first()
+    blocks, parts = max(1, -(-(size or 0) // block_chars), -(-n // BLOCK_FEATURES)), []
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     for block in range(blocks):
         own = features if blocks == 1 else features.filter(F.pmod(F.xxhash64("feature", "x"), F.lit(blocks)) == block)
-        held = features.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])
+        held = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
 
         def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, texts = zip(*held.value, strict=True) if held.value else ((), ())
-            listed: dict[str, list[int]] = defaultdict(list)
-            for i, x in enumerate(texts):
-                for g in gram_counts(x):
-                    listed[g].append(i)
-            index = {g: np.array(i) for g, i in listed.items()}
-            kinds = np.array([len(gram_counts(x)) for x in texts])
-            n = np.array([len(x) for x in texts])
-            bins = np.stack([histogram(x) for x in texts]) if texts else np.zeros((0, BINS), int)
+            if not held.value:
+                return
+            ids, texts = zip(*held.value, strict=True)
+            grams = [gram_set(x) for x in texts]
+            index = {g: i for i, g in enumerate(dict.fromkeys(g for own in grams for g in own))}
+            kinds, n = np.array([len(g) for g in grams], np.float32), np.array([len(x) for x in texts], np.float32)
+            holds = np.zeros((len(index) + 1, len(texts)), np.uint8 if kinds.max() < 256 else np.uint32)  # the last row is for trigrams of no feature
+            for i, own in enumerate(grams):
+                holds[[index[g] for g in own], i] = 1
+            common, none = Common(texts), len(index)
+            row, kind = occurrences(texts, 1)
+            columns = np.unique(kind)
+            letters = counted(row, np.searchsorted(columns, kind) % BINS, len(texts), min(BINS, len(columns)))
             for b in batches:
-                at, which, scores = [], [], []
-                for row, x in enumerate(b.column(2).to_pylist()):
-                    own = gram_counts(x)
-                    met = [(index[g], times) for g, times in own.items() if g in index]
-                    if not met:
-                        continue
-                    at_f = np.concatenate([i for i, _ in met])
-                    shared = np.bincount(at_f, minlength=len(ids))
-                    occurs = np.bincount(at_f, np.repeat([t for _, t in met], [len(i) for i, _ in met]), len(ids))
-                    f = np.flatnonzero(shared)
-                    s = shared[f]
-                    total = n[f] + len(x)
-                    alike = np.minimum(bins[f], histogram(x)).sum(1)
-                    by_grams = np.where(np.minimum(n[f], len(x)) > 3, (2 * occurs[f] + 4 * total + 4) / (5 * total), 1.0)
-                    ratio = np.minimum(2 * alike / total, by_grams)
-                    jaccard = s / (kinds[f] + len(own) - s)
-                    may = RATIO * ratio + JACCARD * jaccard >= least - 1e-4
-                    for i, j in zip(f[may].tolist(), jaccard[may].tolist(), strict=True):
-                        score = round(RATIO * difflib.SequenceMatcher(None, texts[i], x).ratio() + JACCARD * j, 4)
-                        if score >= least:
-                            at.append(row)
-                            which.append(ids[i])
-                            scores.append(score)
+                at, which, scores, left = [], [], [], []
+                every = b.column(2).to_pylist()
+                if not every:
+                    continue
+                for start in range(0, len(every), ROWS):
+                    xs = every[start : start + ROWS]
+                    own = [gram_set(x) for x in xs]
+                    shared = np.stack([holds[np.array([index.get(g, none) for g in g_x], np.intp)].sum(0, dtype=holds.dtype) for g_x in own])
+                    m, k = np.array([len(x) for x in xs], np.float32)[:, None], np.array([len(g) for g in own], np.float32)[:, None]
+                    jaccard = shared / (kinds + k - shared)
+                    total = n + m
+                    row, kind = occurrences(xs, 1)
+                    column = np.searchsorted(columns, kind).clip(max=len(columns) - 1)
+                    known = columns[column] == kind
+                    alike = counted(row[known], column[known] % BINS, len(xs), letters.shape[1]) @ letters.T
+                    most = np.minimum(np.minimum(alike, n), m) * (2 * RATIO) / total
+                    i, j = np.nonzero((shared > 0) & (most + JACCARD * jaccard >= least - 1e-4))
+                    s = shared[i, j].astype(np.float64)
+                    left.append((start + i, j, total[i, j], s / (kinds[j].astype(np.float64) + k[i, 0] - s)))
+                i, j, total, jaccard = map(np.concatenate, zip(*left, strict=True))
+                may = RATIO * 2 * common.lengths(j, every, i) / total + JACCARD * jaccard >= least - 1e-4
+                for row, f, own in zip(i[may].tolist(), j[may].tolist(), jaccard[may].tolist(), strict=True):
+                    score = round(RATIO * T.ratio(texts[f], every[row]) + JACCARD * own, 4)
+                    if score >= least:
+                        at.append(row)
+                        which.append(ids[f])
+                        scores.append(score)
                 rows = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), b.column(0).take(rows), b.column(1).take(rows), pa.array(scores, pa.float64())], names=["feature", "document", "locator", "score"])
 
