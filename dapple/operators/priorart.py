@@ -87,9 +87,9 @@ class Common:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """The rows over as many tasks as there are cores at least."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """The rows over four times as many tasks as there are cores at least, so that no core waits for a last long one."""
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
 
 
 def likely_pairs(features: DataFrame, passages: DataFrame, least: float = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -179,6 +179,7 @@ def prior_art_matrix(features: DataFrame, passages: DataFrame, mappings: DataFra
     wanted = held.select("feature", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
     keyed = texts.select(F.struct("document", "locator").alias("key"), "low")
     lexical = term_hits(keyed, "key", "low", wanted).join(wanted, "term").groupBy("feature", "key.document", "key.locator").agg(F.count("*").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("matched"))
+    lexical = cut(lexical, "lexical")  # read twice
     likely = likely_pairs(held.select("feature", F.col("fx").alias("x")), texts, least)
     keys = ["feature", "document", "locator"]
     likely = cut(likely, "likely")
